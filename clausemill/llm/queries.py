@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_recipes, langid, quality
+from . import chunk_recipes, credentials, langid, quality
 from .common import documents, fold_remainder
 
 
@@ -16,6 +16,34 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(documents(spark, sf_dir))
+
+
+def _op5_sql() -> str:
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = dict(zip(credentials.KINDS, [credentials.ASSIGN, credentials.ACCESS, credentials.HEX, credentials.LOGIN, credentials.OPAQUE, credentials.ENDPOINT], strict=True))
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS kind, unnest(range(len(m))) AS i, unnest(m) AS hit, unnest(g[1:len(m)]) AS gap FROM (SELECT doc_id, regexp_extract_all(s, {q(p)}, 0) AS m, "
+        f"list_transform(regexp_split_to_array(s, {q(p)}), lambda x: length(x)) AS g FROM t) WHERE len(m) > 0"
+        for i, p in enumerate(patterns.values())
+    )
+    has = lambda *k: "coalesce(bool_or(kind IN (" + ", ".join(str(credentials.KINDS.index(x)) for x in k) + ")) OVER near, false)"
+    spans = lambda where: f"coalesce(string_agg(name || ':' || s0 || ':' || e0, ',' ORDER BY s0, kind, e0) FILTER ({where}), '')"
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), each_ AS ({each}),
+        placed AS (SELECT *, sum(gap + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e0 FROM each_),
+        long_ AS (SELECT doc_id, kind, e0 - length(hit) AS s0, e0, {[*credentials.KINDS]}[kind + 1] AS name FROM placed
+            WHERE CASE kind WHEN 0 THEN length(regexp_extract(hit, {q(credentials.ASSIGN)}, 2)) >= 8 WHEN 1 THEN length(hit) >= 16 WHEN 4 THEN length(hit) = 40 ELSE true END),
+        flags AS (SELECT *, {has("access", "login")} AS identity_, {has("assign", "hex", "opaque")} AS secret_ FROM long_
+            WINDOW near AS (PARTITION BY doc_id ORDER BY s0 RANGE BETWEEN {credentials.SCOPE} PRECEDING AND {credentials.SCOPE} FOLLOWING)),
+        kept AS (SELECT * FROM flags WHERE CASE kind WHEN 3 THEN secret_ WHEN 4 THEN identity_ WHEN 5 THEN identity_ AND secret_ ELSE true END)
+        SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               sha256({spans("kind < 3")}) AS base_sha256, {spans("kind IS NOT NULL")} AS spans
+        FROM documents LEFT JOIN kept USING (doc_id) GROUP BY doc_id
+    """
+
+
 def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -30,11 +58,13 @@ def op7_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language_bitmask": op3_language_bitmask,
+    "op5_credential_linking": op5_credential_linking,
     "op6_quality_ftrl": op6_quality_ftrl,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
 }
 
 SQL = {
+    "op5_credential_linking": _op5_sql(),
     "op7_chunk_recipe_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
