@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_recipes, credentials, langid, quality
+from . import bpe, chunk_recipes, credentials, langid, quality
 from .common import documents, fold_remainder
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -56,11 +59,16 @@ def op7_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
     "op3_language_bitmask": op3_language_bitmask,
     "op5_credential_linking": op5_credential_linking,
     "op6_quality_ftrl": op6_quality_ftrl,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
+    "op8_bpe_transducer": op8_bpe_transducer,
 }
 
 SQL = {
