@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, langid, quality
+from . import bpe, chunk_recipes, credentials, langid, packing, quality
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.report(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language_bitmask": op3_language_bitmask,
+    "op4_swap_packing": op4_swap_packing,
     "op5_credential_linking": op5_credential_linking,
     "op6_quality_ftrl": op6_quality_ftrl,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
