@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, langid, packing, quality
+from . import bpe, chunk_recipes, credentials, langid, packing, quality, simhash
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,6 +67,10 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_language_bitmask": op3_language_bitmask,
     "op4_swap_packing": op4_swap_packing,
@@ -74,6 +78,7 @@ QUERIES = {
     "op6_quality_ftrl": op6_quality_ftrl,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
     "op8_bpe_transducer": op8_bpe_transducer,
+    "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
 }
 
 SQL = {
