@@ -162,3 +162,23 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), letters.alias("letters")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
+    """docs(doc_id, text, ...) without the rows whose language can't be told: those that predict() calls 'und'
+    or scores below `least`. Rows are filtered where they are."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = held.value
+        for batch in batches:
+            keep = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, end, data, offsets in text_blocks(batch.column(text_at)):
+                if f.languages:
+                    count, n = scores(f, data, offsets)
+                    keep[first:end] &= count.max(1) >= least * np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(keep))
+
+    text_at = docs.columns.index("text")
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.select("*", letters.alias("__letters")).mapInArrow(run, docs.schema)

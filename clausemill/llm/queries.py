@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, langid, packing, quality, simhash
+from . import bpe, chunk_recipes, credentials, langid, packing, quality, simhash, topk
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,6 +67,10 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op9_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op6_quality_ftrl": op6_quality_ftrl,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
     "op8_bpe_transducer": op8_bpe_transducer,
+    "op9_threshold_topk": op9_threshold_topk,
     "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
 }
 
@@ -89,4 +94,12 @@ SQL = {
                doc_id = min(doc_id) OVER w AS kept, sha256(s) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY s)
     """,
+    "op9_threshold_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 5
+    """,
 }
