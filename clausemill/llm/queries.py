@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, langid, packing, quality, simhash, topk
+from . import bpe, chunk_recipes, credentials, langid, packing, quality, rlz, simhash, topk
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold_remainder(F.col("doc_id"), 4) == 2
@@ -76,6 +80,7 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_relative_lz": op2_relative_lz,
     "op3_language_bitmask": op3_language_bitmask,
     "op4_swap_packing": op4_swap_packing,
     "op5_credential_linking": op5_credential_linking,
@@ -87,6 +92,16 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_relative_lz": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20),
+        h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM p),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM h WHERE n > 1),
+        g AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+        SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(coalesce(js, []), j)), lambda j: w[j]), ' ')) AS kept_sha256
+        FROM t LEFT JOIN g USING (doc_id)
+    """,
     "op5_credential_linking": _op5_sql(),
     "op7_chunk_recipe_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents)
