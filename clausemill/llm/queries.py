@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, langid, packing, quality, rlz, simhash, topk
+from . import bpe, chunk_recipes, credentials, langid, packing, quality, rlz, run_index, simhash, topk
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_repeats(documents(spark, sf_dir))
+
+
 def op2_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.remove_repeats(documents(spark, sf_dir))
 
@@ -80,6 +84,7 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_run_length_index": op1_run_length_index,
     "op2_relative_lz": op2_relative_lz,
     "op3_language_bitmask": op3_language_bitmask,
     "op4_swap_packing": op4_swap_packing,
