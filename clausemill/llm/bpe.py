@@ -17,14 +17,13 @@ import hashlib
 import heapq
 import json
 import re
-import sys
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,43 +33,27 @@ LOOKAHEAD_CHARS = 3
 #: A piece that is still open and longer than this is encoded while it arrives.
 LONG_PIECE = 512
 #: Entries of each of the two generations of known pieces.
-CACHE = 200_000
-
-
-@lru_cache(1)
-def _classes() -> dict[str, str]:
-    """Character sets for letters and numbers, from the Unicode categories."""
-    spans: dict[str, list[str]] = {"L": [], "N": []}
-    last, start = "", 0
-    for c in range(sys.maxunicode + 2):
-        kind = unicodedata.category(chr(c))[0] if c <= sys.maxunicode else ""
-        if kind != last:
-            if last in spans:
-                spans[last].append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            last, start = kind, c
-    return {k: "".join(v) for k, v in spans.items()}
-
-
-@lru_cache(1)
-def patterns() -> dict[str, re.Pattern]:
-    """The split pattern, a faster one that is the same where no number outside category Nd occurs, and
-    what continues an open piece of each class."""
-    L, N = _classes()["L"], _classes()["N"]
-    odd = "".join(f"\\U{c:08x}" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
-    return {
-        "split": re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"),
-        "fast": re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
-        "odd": re.compile(f"[{odd}]"),
-        "L": re.compile(f"[{L}]*"),
-        "N": re.compile(f"[{N}]*"),
-        "S": re.compile(r"\s*"),
-        "O": re.compile(rf"[^\s{L}{N}]*"),
-    }
+CACHE = 300_000
+
+
+#: The split pattern of byte-level vocabularies, a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SPLIT = regex.compile(SPLIT)
+#: The same for texts of Latin-1 letters without its six numbers that aren't digits, in a faster library.
+_LATIN = re.compile(r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+_ODD = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
+#: What an open piece of each class goes on with.
+_MORE = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": regex.compile(r"\s*"), "O": regex.compile(r"[^\s\p{L}\p{N}]*")}
 
 
 def split(text: str) -> list[str]:
-    p = patterns()
-    return p["fast" if text.isascii() or not p["odd"].search(text) else "split"].findall(text)
+    if text.isascii():
+        return _LATIN.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _SPLIT.findall(text)
+    return (_SPLIT if any(c in text for c in _ODD) else _LATIN).findall(text)
 
 
 def _byte_names() -> dict[str, int]:
@@ -102,6 +85,7 @@ class Vocabulary:
         #: left id and right id in one number -> rank and merged id in one number
         self.merge = {ids[a] << 20 | ids[b]: r << 20 | ids[a + b] for r, (a, b) in enumerate(merges)}
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in merges])
+        self.same = list(range(len(self.bytes)))  # one object for each id, whatever holds it
         self.decimal = [str(i) for i in range(len(self.bytes))]
         self.find_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
@@ -120,7 +104,7 @@ class Vocabulary:
                 if len(data) > LONG_PIECE:
                     run = Run(self)
                     return (*run.push(data), *run.finish())
-                found = tuple(self.merged(data))
+                found = tuple(map(self.same.__getitem__, self.merged(data)))
             if len(self.known) >= CACHE:
                 self.before, self.known = self.known, {}
             self.known[piece] = found
@@ -222,7 +206,7 @@ class Encoder:
         out: list[int] = []
         text, self.tail = self.tail + text, ""
         if self.run:
-            end = patterns()[self.kind].match(text).end()
+            end = _MORE[self.kind].match(text).end()
             if end == len(text):
                 hold = 1 if self.kind == "S" else 0
                 self.tail = text[len(text) - hold :] if hold else ""
@@ -244,7 +228,7 @@ class Encoder:
         if len(last) <= LONG_PIECE:
             return
         out.extend(chain.from_iterable(map(self.v.piece, first)))
-        self.kind = "S" if last.isspace() else next(k for k in "LNO" if patterns()[k].match(last[-1]).end())
+        self.kind = "S" if last.isspace() else next(k for k in "LNO" if _MORE[k].match(last[-1]).end())
         self.run, self.tail = Run(self.v), last[-1:] if self.kind == "S" else ""
         out.extend(self.run.push(last[: len(last) - len(self.tail)].encode()))
 

@@ -9,12 +9,14 @@ Bins that are still underfull meet those of other groups in further rounds.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain, combinations
+from functools import lru_cache
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,7 @@ from .common import settle
 
 SEQUENCE = 1024
 GROUP = 2000
-#: Underfull bins of so many groups meet in the next round.
-MERGE, ROUNDS = 16, 3
+ROUNDS = 3
 #: Emptiest bins whose pairs are tried, and exchanges for each underfull bin at most.
 DONORS, STEPS = 6, 40
 
@@ -139,16 +140,25 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["uid", "length", "sequence_id", "offset", "fill"])
 
 
+@lru_cache(4)
+def encoding(path: str) -> tiktoken.Encoding:
+    """The vocabulary of a tokenizers file, whose ids after the bytes are its merges in order."""
+    v = bpe.vocabulary(path)
+    ranks = {b: i for i, b in enumerate(v.bytes) if i not in v.special.values()}
+    return tiktoken.Encoding("own", pat_str=bpe.SPLIT, mergeable_ranks=ranks, special_tokens=v.special)
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE) -> DataFrame:
     """doc_id, n, crc array<long>: tokens with the end id, and the checksum of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = bpe.vocabulary(path)
+        e = encoding(path)
         for batch in batches:
             n, crc = [], []
             for value in batch.column(1):
-                ids = array("I", chain.from_iterable(bpe.encode(v, value.as_py() or "")))
-                ids.append(end_id)
+                text = value.as_py() or ""
+                special = any(s in text for s in e._special_tokens)
+                ids = np.array((e.encode(text, allowed_special="all") if special else e.encode_ordinary(text)) + [end_id], "<u4")
                 raw, first = ids.tobytes(), (len(ids) - 1) % size + 1
                 n.append(len(ids))
                 crc.append([zlib.crc32(raw[: 4 * first]), *[zlib.crc32(raw[4 * i : 4 * (i + size)]) for i in range(first, len(ids), size)]])
@@ -160,17 +170,16 @@ def tokenise(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE) -> D
 
 def assign(items: DataFrame, group: int = GROUP) -> DataFrame:
     """uid, length, sequence_id, offset for items(uid, length) that are shorter than a sequence."""
-    groups = max(1, -(-items.count() // group))
     todo = items.select("uid", "length", F.col("uid").alias("sequence_id"))
     done = []
     for turn in range(ROUNDS):
+        groups = max(1, -(-todo.count() // group))  # so that no group grows with the input
         packed = settle(todo.groupBy(F.pmod(F.xxhash64(F.lit(turn), "sequence_id"), F.lit(groups)).alias("g")).applyInPandas(_pack_group, "uid long, length long, sequence_id long, offset long, fill long"))
         if turn == ROUNDS - 1 or groups == 1:
             done.append(packed)
             break
         done.append(packed.where(F.col("fill") == SEQUENCE))
         todo = packed.where(F.col("fill") < SEQUENCE).select("uid", "length", "sequence_id")
-        groups = max(1, groups // MERGE)
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
