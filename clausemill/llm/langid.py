@@ -57,6 +57,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = offsets + np.arange(1, n + 2) * pad - 1
     keep = np.ones(len(g), bool)
     keep[: starts[0]] = False
+    # what begins in the blanks behind a document would reach into the next
+    keep[starts[1:-1] - 1] = keep[starts[1:-1] - 2] = False
     g = np.where(keep, g, _NOTHING)
     return g, np.minimum(starts, len(g))
 
