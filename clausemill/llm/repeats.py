@@ -4,10 +4,13 @@ Each window of `width` symbols picks the least of its k-grams as its anchor, so
 anchors. Windows in a row with one anchor make a segment, and a row for each segment - anchor hash, content
 hash, place - is all that is compared at first:
 
-* A segment that stands earlier with the same anchor and content repeats as a whole.
+* A segment that stands earlier with the same anchor and content repeats as a whole. What a batch already
+  tells is marked there, so that frequent content moves once for each batch.
 * A first segment whose anchor stands in other segments too may repeat in part. Only its content goes to the
   block of its anchor, where an index of the method at hand (a function `match`) tells which of its windows
   stand in a segment that comes before it.
+* Anchors with more than LARGE contents would make a block that grows with the corpus. The windows of their
+  first segments are compared one by one instead, each as a segment and an anchor of its own.
 
 Marks (place, number of windows) go back to the documents. A mark is one long: start, windows, row, kind.
 """
@@ -28,7 +31,9 @@ from .common import settle, text_blocks
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 28) - 1)
-REPEATED, PARTLY = 0, 1
+REPEATED, PARTLY, SINGLY = 0, 1, 2
+#: Contents of one anchor from which on a block doesn't take them.
+LARGE = 2000
 #: Bytes of segments that one index holds, and of text in a vectorised step.
 INDEX_BYTES, STEP_BYTES = 1 << 20, 1 << 18
 
@@ -146,66 +151,113 @@ def _pieces(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[which] + 255 * part, np.minimum(255, n[which] - 255 * part)
 
 
+_ROWS = "a long, s long, doc_id long, place long, known boolean"
+
+
+def _compared(a: list[np.ndarray], s: list[np.ndarray], ids: list[np.ndarray], place: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch; known: the batch holds an earlier one of the same anchor and content."""
+    if a:
+        a, s, ids, place = (np.concatenate(x) for x in (a, s, ids, place))
+        order = np.lexsort((place, ids, s))
+        s_, ids_, start = s[order], ids[order], place[order] >> 24
+        new = np.append(True, s_[1:] != s_[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+        known = np.zeros(len(s), bool)
+        known[order] = ~new & ((ids_ != ids_[first]) | (start != start[first]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), s.view(np.int64), ids, place, known)], ["a", "s", "doc_id", "place", "known"])
+
+
 def _rows(alphabet: Alphabet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            out = ([], [], [], [])
             for first, _, data, offsets in text_blocks(b.column(2), STEP_BYTES):
                 symbols, places, _, _ = alphabet.symbols(data, offsets)
                 doc, start, n, a, s = segments(alphabet, symbols, places)
-                if len(doc):
-                    arrays = [a.view(np.int64), s.view(np.int64), ids[first + doc], _place(start, n, row[first + doc])]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["a", "s", "doc_id", "place"])
+                for held, x in zip(out, (a, s, ids[first + doc], _place(start, n, row[first + doc])), strict=True):
+                    held.append(x)
+            yield from _compared(*out)
 
     return run
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(most: int):
     """doc_id, mark of segments that repeat and of firsts with other segments beside them, from rows in the
-    order of a, s, doc_id, place. Keeps one row back, so a group may have any size."""
-    last = None  # a, s, and the id and start of the first of that s
-    held = None  # the first segment of the last anchor, as long as that has no other
-    for b in batches:
-        a, s, ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(a):
-            continue
-        start = place >> 24
-        new_a, new_s = np.ones(len(a), bool), np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_s[1:] = new_a[1:] | (s[1:] != s[:-1])
-        if last is not None:
-            new_a[0] = a[0] != last[0]
-            new_s[0] = new_a[0] or s[0] != last[1]
-        firsts = np.flatnonzero(new_s)
-        group = np.cumsum(new_s) - 1  # -1: the group that the last batch began
-        f_id, f_start = ids[firsts], start[firsts]
-        if last is not None:
-            f_id, f_start = np.append(f_id, last[2]), np.append(f_start, last[3])
-        repeated = ~new_s & ((ids != f_id[group]) | (start != f_start[group]))
-        # a first is partly repeated if its anchor has another segment before or after it
-        more = np.zeros(len(firsts), bool)
-        more[:-1] = ~new_a[firsts[1:]]
-        partly = firsts[~new_a[firsts] | more]
-        out_ids = [ids[repeated], ids[partly]]
-        out = [place[repeated] << 1 | REPEATED, place[partly] << 1 | PARTLY]
-        if held is not None and len(firsts):
-            if not new_a[firsts[0]]:
-                out_ids.append(np.array([held[0]]))
-                out.append(np.array([held[1] << 1 | PARTLY]))
-            held = None
-        if len(firsts):
-            end = firsts[-1]
-            if new_a[end]:
-                held = (ids[end], place[end])
-            last = (a[-1], s[-1], ids[end], start[end])
-        if any(map(len, out)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids).astype(np.int64)), pa.array(np.concatenate(out).astype(np.int64))], ["doc_id", "mark"])
+    order of a, s, doc_id, place. Keeps the firsts of one anchor, `most` at most, so a group may have any size."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # a, s, and the id and start of the first of that s
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # firsts of the last anchor
+        large = False  # whether it has more than that
 
-def _contents(alphabet: Alphabet):
-    """a, doc_id, place, content of the segments that may repeat in part."""
+        def settled() -> tuple[np.ndarray, np.ndarray]:
+            """Marks of the held firsts, once their anchor is complete or large."""
+            ids, place = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+            if large:
+                return ids, place << 2 | SINGLY
+            return (ids, place << 2 | PARTLY) if len(ids) > 1 else (ids[:0], place[:0])
+
+        def batch(ids: list[np.ndarray], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if any(map(len, marks)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, marks)], ["doc_id", "mark"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            a, s, ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            out_ids, out = [ids[known]], [place[known] << 2 | REPEATED]
+            a, s, ids, place = (x[~known] for x in (a, s, ids, place))
+            if not len(a):
+                yield from batch(out_ids, out)
+                continue
+            start = place >> 24
+            new_a, new_s = np.ones(len(a), bool), np.ones(len(a), bool)
+            new_a[1:] = a[1:] != a[:-1]
+            new_s[1:] = new_a[1:] | (s[1:] != s[:-1])
+            if last is not None:
+                new_a[0] = a[0] != last[0]
+                new_s[0] = new_a[0] or s[0] != last[1]
+            firsts = np.flatnonzero(new_s)
+            group = np.cumsum(new_s) - 1  # -1: the group that the last batch began
+            f_id, f_start = ids[firsts], start[firsts]
+            if last is not None:
+                f_id, f_start = np.append(f_id, last[2]), np.append(f_start, last[3])
+            repeated = ~new_s & ((ids != f_id[group]) | (start != f_start[group]))
+            out_ids.append(ids[repeated])
+            out.append(place[repeated] << 2 | REPEATED)
+            # firsts by anchor: those before the first change belong to the held ones, those after the last are held
+            change = np.flatnonzero(new_a[firsts])
+            head = firsts[: change[0]] if len(change) else firsts
+            held.append((ids[head], place[head]))
+            large |= sum(len(h[0]) for h in held) > most
+            if len(change) or large:
+                for x, y in zip((out_ids, out), settled(), strict=True):
+                    x.append(y)
+                held = []
+            if len(change):
+                whole = firsts[change[0] : change[-1]]
+                sizes = np.diff(change)
+                sizes = np.repeat(sizes, sizes)
+                kind = np.where(sizes > most, SINGLY, PARTLY)[sizes > 1]
+                whole = whole[sizes > 1]
+                out_ids.append(ids[whole])
+                out.append(place[whole] << 2 | kind)
+                tail = firsts[change[-1] :]
+                held, large = [(ids[tail], place[tail])], len(tail) > most
+            if len(firsts):
+                last = (a[-1], s[-1], ids[firsts[-1]], start[firsts[-1]])
+            yield from batch(out_ids, out)
+        ids, marks = settled()
+        yield from batch([ids], [marks])
+
+    return run
+
+
+def _chosen(alphabet: Alphabet, kind: int):
+    """Over documents with their marks: each step's ids and rows, bytes, symbols and the segments with a mark of
+    the kind."""
+
+    def steps(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             ids, row, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_pylist()
             for first, end, data, offsets in _opened(b.column(2)):
@@ -215,16 +267,37 @@ def _contents(alphabet: Alphabet):
                 bounds = np.searchsorted(doc, np.arange(end - first + 1))
                 for i in range(end - first):
                     marks = np.array(lists[first + i], np.int64)
-                    marks = marks[(marks & 1) == PARTLY] >> 25
+                    marks = marks[(marks & 3) == kind] >> 26
                     lo, hi = bounds[i], bounds[i + 1]
                     wanted[lo:hi] = np.isin(start[lo:hi], marks)
                 w = np.flatnonzero(wanted)
                 if len(w):
-                    at = places[doc[w]] + start[w]
-                    whole = data.tobytes()
-                    content = [whole[i:j] for i, j in zip(starts[at].tolist(), ends[at + n[w] + alphabet.width - 2].tolist(), strict=True)]
-                    arrays = [pa.array(a[w].view(np.int64)), pa.array(ids[first + doc[w]]), pa.array(_place(start[w], n[w], row[first + doc[w]])), pa.array(content, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["a", "doc_id", "place", "content"])
+                    yield ids[first + doc[w]], row[first + doc[w]], data, symbols, starts, ends, places[doc[w]] + start[w], start[w], n[w], a[w]
+
+    return steps
+
+
+def _contents(alphabet: Alphabet):
+    """a, doc_id, place, content of the segments that may repeat in part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, data, _, starts, ends, at, start, n, a in _chosen(alphabet, PARTLY)(batches):
+            whole = data.tobytes()
+            content = [whole[i:j] for i, j in zip(starts[at].tolist(), ends[at + n + alphabet.width - 2].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(ids), pa.array(_place(start, n, row)), pa.array(content, pa.binary())], ["a", "doc_id", "place", "content"])
+
+    return run
+
+
+def _windows(alphabet: Alphabet):
+    """Rows of the single windows of segments whose anchor is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, _, symbols, _, _, at, start, n, _ in _chosen(alphabet, SINGLY)(batches):
+            of = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            h = Rolling(symbols)(at[of] + step, at[of] + step + alphabet.width)
+            yield from _compared([h], [h], [ids[of]], [_place(start[of] + step, np.ones(len(of), np.int64), row[of])])
 
     return run
 
@@ -261,6 +334,23 @@ def repeated_windows(match: Match, symbols: np.ndarray, offsets: np.ndarray, gro
     return found
 
 
+def may_share(alphabet: Alphabet, symbols: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which segments may share a window with another of their group. Windows in common hold the anchor, so they
+    agree on half of what is left of a window either before the anchor or behind it."""
+    k, half = alphabet.gram, (alphabet.width - alphabet.gram) // 2
+    rolling = Rolling(symbols)
+    v = rolling.grams(k)
+    key = (v & ~_POS) | (_POS - np.arange(len(v), dtype=np.uint64))
+    anchor = (_POS - (sliding_least(key, alphabet.width - k + 1)[offsets[:-1]] & _POS)).astype(np.int64)
+    out = np.zeros(len(group), bool)
+    for low, high in ((anchor - half, anchor + k), (anchor, anchor + k + half)):
+        inside = np.flatnonzero((low >= offsets[:-1]) & (high <= offsets[1:]))
+        h = mix(rolling(low[inside], high[inside]) + group[inside].astype(np.uint64))
+        _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+        out[inside] |= count[which] > 1
+    return out
+
+
 def _gather(symbols: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = offsets[which + 1] - offsets[which]
     out = np.zeros(len(which) + 1, np.int64)
@@ -279,6 +369,11 @@ def _in_blocks(alphabet: Alphabet, match: Match):
         raw = np.frombuffer(data.buffers()[2], np.uint8)[offs[0] : offs[-1]]
         symbols, places, _, _ = alphabet.symbols(raw, offs - offs[0])
         group = np.cumsum(np.append(False, a[1:] != a[:-1]))
+        keep = np.flatnonzero(may_share(alphabet, symbols, places, group))
+        if not len(keep):
+            return
+        ids, place, group = ids[keep], place[keep], group[keep]
+        symbols, places = _gather(symbols, places, keep)
         found = repeated_windows(match, symbols, places, group)
         # whole windows only, in stretches
         at = np.flatnonzero(found)
@@ -292,7 +387,7 @@ def _in_blocks(alphabet: Alphabet, match: Match):
             seg = seg[first]
             start, n2 = _pieces((place[seg] >> 24) + at[first] - places[seg], n)
             back = np.repeat(seg, (n + 254) // 255)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[back]), pa.array(_place(start, n2, place[back] & 0xFFFF) << 1 | REPEATED)], ["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[back]), pa.array(_place(start, n2, place[back] & 0xFFFF) << 2 | REPEATED)], ["doc_id", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -318,18 +413,24 @@ def _in_blocks(alphabet: Alphabet, match: Match):
     return run
 
 
-def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable, schema: str) -> DataFrame:
+def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable, schema: str, large: int = LARGE) -> DataFrame:
     """finish(bytes, symbol starts, symbol ends, covered) gives the columns after doc_id of one document;
     covered tells which symbols a window covers that also starts earlier."""
-    rows = _keyed(docs).mapInArrow(_rows(alphabet), "a long, s long, doc_id long, place long")
-    sorted_ = rows.repartition("a").sortWithinPartitions("a", "s", "doc_id", "place")
-    key = ["doc_id", F.shiftright("mark", 1).bitwiseAND(0xFFFF).alias("row")]
+    key = ["doc_id", F.shiftright("mark", 2).bitwiseAND(0xFFFF).alias("row")]
     lists = lambda df: df.groupBy(*key).agg(F.collect_list("mark").alias("marks"))
-    first = settle(lists(sorted_.mapInArrow(_marks, "doc_id long, mark long")))
-    partly = first.where(F.exists("marks", lambda m: m.bitwiseAND(1) == PARTLY))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        # what is known already may go anywhere
+        where = F.when(F.col("known"), F.xxhash64("doc_id", "place")).otherwise(F.col("a"))
+        return rows.repartition(where).sortWithinPartitions("known", "a", "s", "doc_id", "place").mapInArrow(_marks(large), "doc_id long, mark long")
+
+    first = settle(lists(compared(_keyed(docs).mapInArrow(_rows(alphabet), _ROWS))))
     texts = sealed(docs)
-    contents = texts.join(partly, ["doc_id", "row"]).select("doc_id", "row", "z", "marks").mapInArrow(_contents(alphabet), "a long, doc_id long, place long, content binary")
+    of_kind = lambda kind: texts.join(first.where(F.exists("marks", lambda m: m.bitwiseAND(3) == kind)), ["doc_id", "row"]).select("doc_id", "row", "z", "marks")
+    contents = of_kind(PARTLY).mapInArrow(_contents(alphabet), "a long, doc_id long, place long, content binary")
     blocks = contents.repartition("a").sortWithinPartitions("a", "doc_id", "place").mapInArrow(_in_blocks(alphabet, match), "doc_id long, mark long")
+    if not first.where(F.exists("marks", lambda m: m.bitwiseAND(3) == SINGLY)).isEmpty():
+        blocks = blocks.unionAll(compared(of_kind(SINGLY).mapInArrow(_windows(alphabet), _ROWS)))
     second = lists(blocks).select("doc_id", "row", F.col("marks").alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,9 +442,9 @@ def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable,
                 for i in range(first, end):
                     s, e = places[i - first], places[i - first + 1]
                     step = np.zeros(e - s + 1, np.int64)
-                    marks = np.array([m for x in lists for m in x[i] if m & 1 == REPEATED], np.int64)
+                    marks = np.array([m for x in lists for m in x[i] if m & 3 == REPEATED], np.int64)
                     if len(marks):
-                        start, n = marks >> 25, (marks >> 17) & 0xFF
+                        start, n = marks >> 26, (marks >> 18) & 0xFF
                         np.add.at(step, start, 1)
                         np.add.at(step, start + n - 1 + alphabet.width, -1)
                     o = offsets[i - first]

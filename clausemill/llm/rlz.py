@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Alphabet, Rolling, marked, mix
+from .repeats import LARGE, Alphabet, Rolling, marked, mix
 
 WINDOW = 20
 ANCHOR = 6
@@ -104,11 +104,11 @@ def _finish(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, covered: np.
 ALPHABET = Alphabet(WINDOW, ANCHOR, words)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs(doc_id, text).
 
     Words covered by a window of 20 words that also starts earlier go. Null and empty texts have no words. A
     null id is before all others. Rows that share an id are one document: of windows at the same start
     neither is earlier. An empty table gives no rows. Only doc_id and text are read.
     """
-    return marked(docs, ALPHABET, match, _finish, "n_words long, n_removed long, kept_sha256 string")
+    return marked(docs, ALPHABET, match, _finish, "n_words long, n_removed long, kept_sha256 string", large)

@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Alphabet, Rolling, marked, mix
+from .repeats import LARGE, Alphabet, Rolling, marked, mix
 
 WIDTH = 100
 ANCHOR = 24
@@ -157,11 +157,11 @@ def _finish(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, covered: np.
 ALPHABET = Alphabet(WIDTH, ANCHOR, byte_symbols)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text).
 
     Bytes covered by a string of 100 bytes that also starts earlier go. Null texts count as empty. A null id
     is before all others. Rows that share an id are one document: of strings at the same start neither is
     earlier. An empty table gives no rows. Only doc_id and text are read.
     """
-    return marked(docs, ALPHABET, match, _finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs, ALPHABET, match, _finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", large)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from clausemill.llm import rlz, run_index
+from clausemill.llm import repeats, rlz, run_index
 from clausemill.llm.queries import op1_run_length_index, op2_relative_lz
 
 SMALL = "/root/testdata/sf0.001"
@@ -73,11 +73,12 @@ def collection(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_made_up_collections(spark, seed):
+@pytest.mark.parametrize("large", [repeats.LARGE, 3])
+def test_made_up_collections(spark, seed, large):
     docs = collection(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert by_id(run_index.remove_repeats(df)) == brute_bytes(docs)
-    assert by_id(rlz.remove_repeats(df)) == brute_words(docs)
+    assert by_id(run_index.remove_repeats(df, large)) == brute_bytes(docs)
+    assert by_id(rlz.remove_repeats(df, large)) == brute_words(docs)
 
 
 def test_documents(spark):
