@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def lcs(a: str, b: str) -> int:
@@ -72,11 +73,11 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(found)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def partial_ratio_udf(term: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(a or "", b or "") for a, b in zip(term, text, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access_queries, account_queries, admin_queries  # noqa: F401  (each registers its queries)
+from . import access_queries, account_queries, admin_queries, retrieval_queries  # noqa: F401  (each registers its queries)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

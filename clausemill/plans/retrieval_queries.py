@@ -283,7 +283,7 @@ def _phrases(v):
 
 @query("R13_term_expansion", f"""WITH e AS (SELECT query_id, 0 AS a, 0 AS b, phrase AS term FROM {_ASKED} UNION ALL SELECT query_id, 1 + i, j, x FROM {_ASKED}, {_SYN} WHERE contains(lower(phrase), k)
     UNION ALL SELECT query_id, 1000, n, w FROM (SELECT query_id, unnest(range(len(ws))) AS n, unnest(ws) AS w FROM (SELECT query_id, regexp_split_to_array(trim(lower(phrase)), '\\s+') AS ws FROM {_ASKED})) WHERE length(w) > 3),
-    f AS (SELECT query_id, term, min({{'a': a, 'b': b}}) AS at FROM e GROUP BY query_id, term) SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY at) - 1 AS pos FROM f""")
+    f AS (SELECT query_id, term, min({{'a': a, 'b': b}}) AS place FROM e GROUP BY query_id, term) SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS pos FROM f""")
 def _(v):
     p = _phrases(v).select("query_id", F.posexplode(retrieval.expanded(F.col("phrase"), SYNONYMS)).alias("pos", "term"))
     return p.select("query_id", "term", F.col("pos").cast("long").alias("pos"))
