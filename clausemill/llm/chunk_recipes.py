@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, text_blocks
@@ -136,11 +136,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates drops, columns unchanged."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    mine = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.sha2(_collapsed(F.col("text")), 256).alias("__text"))
-    joined = mine.join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")), "left_semi")
-    return joined.select("__row.*")
+    """docs without the rows that exact_duplicates drops, columns unchanged. Of rows that repeat an id and a
+    text, null ids included, one stays."""
+    key = ["__none", "__doc", "__text"]
+    named = lambda doc, text: [doc.isNull().alias("__none"), F.coalesce(doc.cast("string"), F.lit("")).alias("__doc"), text.alias("__text")]
+    kept = exact_duplicates(docs).where("kept").select(*named(F.col("doc_id"), F.col("text_sha256")))
+    mine = docs.select(F.struct("*").alias("__row"), *named(F.col("doc_id"), F.sha2(_collapsed(F.col("text")), 256)))
+    # the join deals and sorts by the key already; a group has the copies of one id only
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("__text"))
+    return mine.join(kept, key, "left_semi").withColumn("__n", nth).where("__n = 1").select("__row.*")
 
 
 def _collapsed(text):
