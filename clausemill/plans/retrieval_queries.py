@@ -140,18 +140,18 @@ _TRIG = f"""g AS (SELECT id, {_gram_sql("heading || ' ' || clause_number")} AS h
 
 @query("R8_trigram", f"WITH {_TRIG} SELECT query_id, term_pos, chunk_id, round(score, 6) AS score FROM ts WHERE score >= 0.3")
 def _(v):
-    return retrieval.trigram(v.chunks, _terms(v), chars=200).select("query_id", "term_pos", "chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.trigram(v.chunks, _terms(v)).select("query_id", "term_pos", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("A26_best_over_terms", f"WITH {_TRIG} SELECT query_id, chunk_id, round(max(score), 6) AS score FROM ts WHERE score >= 0.3 GROUP BY query_id, chunk_id")
 def _(v):
-    s = retrieval.trigram(v.chunks, _terms(v), chars=200)
+    s = retrieval.trigram(v.chunks, _terms(v))
     return fusion.best_score(s).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("U8_best_score", f"WITH {_TRIG} SELECT query_id, count(*) AS n, round(sum(best), 6) AS total FROM (SELECT query_id, chunk_id, max(score) AS best FROM ts WHERE score >= 0.3 GROUP BY ALL) GROUP BY query_id")
 def _(v):
-    return fusion.best_score(retrieval.trigram(v.chunks, _terms(v), chars=200)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+    return fusion.best_score(retrieval.trigram(v.chunks, _terms(v))).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
 _HF = f"""hs AS (SELECT query_id, term_pos, id AS chunk_id, CASE WHEN lower(clause_number) = lower(term) THEN 100 WHEN lower(clause_number) LIKE lower(term) || '.%' THEN 95 WHEN lower(term) LIKE lower(clause_number) || '.%' THEN 90

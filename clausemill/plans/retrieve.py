@@ -25,7 +25,7 @@ def signals(v: Views, chunks: DataFrame, queries: DataFrame) -> dict[str, DataFr
     """signal -> rows(query_id, chunk_id, rank)"""
     ask, names = retrieval.clean_terms(queries, "rephrased_query", "term1", "term2"), retrieval.clean_terms(queries, "heading1", "heading2")
     vectors = v.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    per_term = retrieval.trigram(chunks, retrieval.clean_terms(queries, "term1", "term2"), chars=200)
+    per_term = retrieval.trigram(chunks, retrieval.clean_terms(queries, "term1", "term2"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id", "term_pos").orderBy(F.desc(F.round("score", 9)), "chunk_id")
