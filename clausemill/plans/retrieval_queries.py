@@ -295,8 +295,7 @@ _NUM = f"(SELECT query_id, unnest(range(len(ns))) AS tier, unnest(ns) AS n FROM
 @query("R14_clause_number_search", f"WITH h AS (SELECT query_id, tier, id FROM {_NUM} JOIN chunks ON contains(lower(concat(clause_number, ' ', substring(text, 1, 200))), n)) SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM h) WHERE tier = best) WHERE k <= 10")
 def _(v):
     n = _phrases(v).select("query_id", F.posexplode(retrieval.clause_numbers(F.col("phrase"))).alias("tier", "n"))
-    text = F.lower(F.concat_ws(" ", "clause_number", F.substring("text", 1, 200)))
-    h = v.chunks.select("id", text.alias("t")).crossJoin(F.broadcast(n)).where(F.contains("t", "n"))
+    h = v.chunks.select("id", F.lower("text").alias("t")).crossJoin(F.broadcast(n)).where(F.contains("t", "n"))
     first = h.withColumn("best", F.min("tier").over(Window.partitionBy("query_id"))).where("tier = best")
     return first.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("k <= 10").select("query_id", "id")
 

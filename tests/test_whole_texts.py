@@ -32,3 +32,9 @@ def test_trigrams_of_2000_characters(spark, tmp_path):
     assert {(r.query_id, r.term_pos, r.chunk_id) for r in catalog.QUERIES["R8_trigram"](spark, d).collect()} == want == {(1, 0, 0), (1, 1, 1)}
     assert {r.chunk_id for r in catalog.QUERIES["A26_best_over_terms"](spark, d).collect()} == {0, 1}
     assert [r.n for r in catalog.QUERIES["U8_best_score"](spark, d).collect()] == [2]
+
+
+def test_clause_number_in_the_whole_text_only(spark, tmp_path):
+    d = folder(spark, tmp_path, [FILL + "see 2.4.3", "no number", FILL])
+    found = {(r.query_id, r.id) for r in catalog.QUERIES["R14_clause_number_search"](spark, d).collect()}
+    assert found == {(3, 0)}
