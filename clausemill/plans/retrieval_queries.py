@@ -83,12 +83,12 @@ def _(v):
 
 @query("R3_vector_proxy")
 def _(v):
-    return fusion.ranked(retrieval.vector_proxy(retrieve.corpus(v.chunks.where("id < 300")), _ask(v)), "proxy", 20)
+    return fusion.ranked(retrieval.vector_proxy(retrieve.corpus(v.chunks), _ask(v)), "proxy", 20)
 
 
 @query("R4_fuzzy")
 def _(v):
-    return fusion.ranked(retrieval.fuzzy(retrieve.corpus(v.chunks.where("id < 300")), _terms(v), 40), "fuzzy", 20)
+    return fusion.ranked(retrieval.fuzzy(retrieve.corpus(v.chunks), _terms(v), 40), "fuzzy", 20)
 
 
 _H_SUM = f"""SELECT query_id, id AS chunk_id, sum(CASE WHEN lower(trim(clause_number)) <> '' AND (lower(trim(clause_number)) = lower(term) OR starts_with(lower(trim(clause_number)), lower(term) || '.') OR starts_with(lower(term), lower(trim(clause_number)))) THEN 100
@@ -404,7 +404,7 @@ def _(v):
 
 @query("R28_text_builders", "SELECT id, concat_ws(' ', nullif(text, ''), nullif(heading, ''), nullif(clause_number, '')) AS search_text, concat_ws(chr(10), nullif(clause_number, ''), nullif(heading, ''), nullif(text, '')) AS embed_text FROM chunks WHERE id < 200")
 def _(v):
-    return v.chunks.where("id < 200").select("id", retrieval.search_text().alias("search_text"), joined(F.col("clause_number"), F.col("heading"), F.col("text"), separator="\n").alias("embed_text"))
+    return v.chunks.select("id", retrieval.search_text().alias("search_text"), joined(F.col("clause_number"), F.col("heading"), F.col("text"), separator="\n").alias("embed_text"))
 
 
 @query("R29_cache_keys", "SELECT query_id, substring(sha256(concat_ws(chr(10), 'src1', lower(trim(rephrased_query)), 'v1')), 1, 40) AS answer_key, substring(sha256('{\"fts\":\"' || term1 || '\",\"q\":\"' || rephrased_query || '\"}'), 1, 24) AS retrieval_key FROM queries")
