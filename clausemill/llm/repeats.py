@@ -1,18 +1,21 @@
-"""Windows of symbols that also start earlier, found over a whole corpus without moving it window by window.
-
-Each window of `width` symbols picks the least of its k-grams as its anchor, so equal windows pick equal
-anchors. Windows in a row with one anchor make a segment, and a row for each segment - anchor hash, content
-hash, place - is all that is compared at first:
-
-* A segment that stands earlier with the same anchor and content repeats as a whole. What a batch already
-  tells is marked there, so that frequent content moves once for each batch.
-* A first segment whose anchor stands in other segments too may repeat in part. Only its content goes to the
-  block of its anchor, where an index of the method at hand (a function `match`) tells which of its windows
-  stand in a segment that comes before it.
-* Anchors with more than LARGE contents would make a block that grows with the corpus. The windows of their
-  first segments are compared one by one instead, each as a segment and an anchor of its own.
-
-Marks (place, number of windows) go back to the documents. A mark is one long: start, windows, row, kind.
+"""Windows of symbols that also start earlier, found over a whole corpus without every document meeting every block.
+
+Each window of `width` symbols picks the least of its k-grams as its anchor, so equal windows pick equal anchors at
+equal distances. Windows in a row with one anchor make a segment.
+
+1. A row for each segment - its anchor's hash and its place - tells which anchors stand more than once. Only their
+   segments go on. A batch sends one row for an anchor, however often it holds it.
+2. Each of these segments is dealt into RANGES by the distance of a window to its anchor. All windows of a range hold
+   the same stretch around the anchor, the range's core, and its hash says in which block the content meets others.
+   Copies in a batch, equal byte by byte, travel as places beside one content.
+3. A block asks an index of the method at hand (a function `match`) for all it marks: for a content that stands more
+   than once, the index of that content itself; else an index of the contents before it. Groups with many contents
+   are told apart by longer cores first. A group too large for one task goes on with longer cores in a further round,
+   so no task holds more than GROUP_BYTES of one group and no link is lost. Cores end as whole windows, of which
+   there is one content.
+
+Hashes only say what meets; what is marked has been found by the index, or is equal, byte by byte, to what was.
+Marks (start, windows, row) go back to the documents as one long each.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +35,13 @@ from .common import settle, text_blocks
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 28) - 1)
-REPEATED, PARTLY, SINGLY = 0, 1, 2
-#: Contents of one anchor from which on a block doesn't take them.
-LARGE = 2000
-#: Bytes of segments that one index holds, and of text in a vectorised step.
-INDEX_BYTES, STEP_BYTES = 1 << 20, 1 << 18
+#: Parts into which the distances of a window to its anchor are dealt at first.
+RANGES = 4
+#: Contents of a group from which on it is told apart by longer cores, inside a task.
+FEW = 64
+#: Bytes of contents that one index holds, that a task holds of one group, and of text in a vectorised step.
+INDEX_BYTES, GROUP_BYTES, STEP_BYTES = 1 << 20, 1 << 24, 1 << 18
+_ROW_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -87,13 +93,12 @@ def sliding_least(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def segments(alphabet: Alphabet, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, first window (in the document), windows, anchor hash, content hash of each segment."""
+    """document, first window (in the document), windows, anchor hash, anchor place (in all symbols) of each segment."""
     width, k = alphabet.width, alphabet.gram
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     if len(symbols) < width:
         return empty
-    rolling = Rolling(symbols)
-    v = rolling.grams(k)
+    v = Rolling(symbols).grams(k)
     key = (v & ~_POS) | (_POS - np.arange(len(v), dtype=np.uint64))  # ties: the last
     chosen = (_POS - (sliding_least(key, width - k + 1) & _POS)).astype(np.int64)
     windows = np.maximum(0, np.diff(offsets) - width + 1)
@@ -108,11 +113,18 @@ def segments(alphabet: Alphabet, symbols: np.ndarray, offsets: np.ndarray) -> tu
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(doc)))
     start, doc = at[first], doc[first]
-    return doc, start - offsets[:-1][doc], n, v[anchor[first]], rolling(start, start + n - 1 + width)
+    return doc, start - offsets[:-1][doc], n, v[anchor[first]], anchor[first]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (tells rows with one id apart), text. A null id is before all others."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64("doc_id", "text").bitwiseAND((1 << _ROW_BITS) - 1).alias("row"), text.alias("text"))
 
 
 def sealed(docs: DataFrame) -> DataFrame:
-    """doc_id, row (tells rows with one id apart), z: the text, compressed before it moves."""
+    """doc_id, row, z: the text, compressed before it moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -123,13 +135,6 @@ def sealed(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id long, row long, z binary")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A null id is before all others."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64("doc_id", "text").bitwiseAND(0xFFFF).alias("row"), text.alias("text"))
-
-
 def _opened(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """text_blocks of compressed texts"""
     unpack = zstandard.ZstdDecompressor()
@@ -139,170 +144,180 @@ def _opened(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             yield i + first, i + end, data, offsets
 
 
-def _place(start: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return start.astype(np.int64) << 24 | n.astype(np.int64) << 16 | row.astype(np.int64)
+def _place(start: np.ndarray, n: np.ndarray | int, row: np.ndarray) -> np.ndarray:
+    """Start (31 bits), windows (8) and row (24) in one long; in the order of the starts."""
+    return start.astype(np.int64) << (8 + _ROW_BITS) | np.asarray(n, np.int64) << _ROW_BITS | row.astype(np.int64)
+
+
+def _unplaced(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> (8 + _ROW_BITS), (place >> _ROW_BITS) & 0xFF, place & ((1 << _ROW_BITS) - 1)
 
 
-def _pieces(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches of windows in parts of at most 255, as many as a mark can hold."""
+def _stretches(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, n and number of the original of stretches of windows, in parts of at most 255, as a mark holds."""
     parts = (n + 254) // 255
     which = np.repeat(np.arange(len(n)), parts)
     part = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return start[which] + 255 * part, np.minimum(255, n[which] - 255 * part)
+    return start[which] + 255 * part, np.minimum(255, n[which] - 255 * part), which
 
 
-_ROWS = "a long, s long, doc_id long, place long, known boolean"
+# -- which segments have an anchor that stands more than once -----------------------------------------
 
-
-def _compared(a: list[np.ndarray], s: list[np.ndarray], ids: list[np.ndarray], place: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch; known: the batch holds an earlier one of the same anchor and content."""
-    if a:
-        a, s, ids, place = (np.concatenate(x) for x in (a, s, ids, place))
-        order = np.lexsort((place, ids, s))
-        s_, ids_, start = s[order], ids[order], place[order] >> 24
-        new = np.append(True, s_[1:] != s_[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-        known = np.zeros(len(s), bool)
-        known[order] = ~new & ((ids_ != ids_[first]) | (start != start[first]))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), s.view(np.int64), ids, place, known)], ["a", "s", "doc_id", "place", "known"])
+_ROWS = "a long, doc_id long, place long, times int"
 
 
 def _rows(alphabet: Alphabet):
+    """Of each anchor in a batch, its first segment with 1 or 2 (there are more); the others with 0, as they are
+    known to repeat it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            out = ([], [], [], [])
+            out = ([], [], [])
             for first, _, data, offsets in text_blocks(b.column(2), STEP_BYTES):
                 symbols, places, _, _ = alphabet.symbols(data, offsets)
-                doc, start, n, a, s = segments(alphabet, symbols, places)
-                for held, x in zip(out, (a, s, ids[first + doc], _place(start, n, row[first + doc])), strict=True):
+                doc, start, n, a, _ = segments(alphabet, symbols, places)
+                for held, x in zip(out, (a, ids[first + doc], _place(start, n, row[first + doc])), strict=True):
                     held.append(x)
-            yield from _compared(*out)
+            if out[0]:
+                a, own, place = (np.concatenate(x) for x in out)
+                _, head, number, count = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+                times = np.zeros(len(a), np.int32)
+                times[head] = np.minimum(count, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), own, place, times)], ["a", "doc_id", "place", "times"])
 
     return run
 
 
-def _marks(most: int):
-    """doc_id, mark of segments that repeat and of firsts with other segments beside them, from rows in the
-    order of a, s, doc_id, place. Keeps the firsts of one anchor, `most` at most, so a group may have any size."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, place of the segments whose anchor stands more than once, from rows in the order of times > 0, a.
+    Only one row is held, so an anchor may have any number of them."""
+    last = None  # a, doc_id, place and whether it has been given out
+    for b in batches:
+        a, ids, place, times = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        if not len(a):
+            continue
+        live = times > 0
+        same = np.append(False, (a[1:] == a[:-1]) & live[:-1])  # as the row before
+        good = ~live | (times == 2) | same | np.append(same[1:], False)
+        ids_out, place_out = [ids[good]], [place[good]]
+        if last is not None and live[0] and a[0] == last[0]:
+            if not last[3]:
+                ids_out.append(np.array([last[1]]))
+                place_out.append(np.array([last[2]]))
+            if not good[0]:
+                good[0] = True
+                ids_out.append(ids[:1])
+                place_out.append(place[:1])
+        last = (a[-1], ids[-1], place[-1], bool(good[-1])) if live[-1] else None
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids_out, place_out)], ["doc_id", "place"])
+
+
+# -- contents of these segments, by core --------------------------------------------------------------
+
+_BLOCK = "key long, doc_id long, place long, geo int, content binary, others binary"
+_NAMES = ["key", "doc_id", "place", "geo", "content", "others"]
+
+
+@dataclass
+class Slices:
+    """Stretches of symbols whose windows have their anchor at `anchor`, lo to hi symbols behind their start, and
+    the row that each belongs to."""
+
+    beg: np.ndarray
+    end: np.ndarray
+    anchor: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    row: np.ndarray
+
+    def __getitem__(self, which: np.ndarray) -> Slices:
+        return Slices(*(x[which] for x in (self.beg, self.end, self.anchor, self.lo, self.hi, self.row)))
+
+    def ranged(self, lo: np.ndarray, hi: np.ndarray, width: int) -> Slices:
+        """What they have with distances lo to hi; those without are left out."""
+        low, high = np.maximum(lo, self.anchor - (self.end - width)), np.minimum(hi, self.anchor - self.beg)
+        return Slices(self.anchor - high, self.anchor - low + width, self.anchor, lo, hi, self.row)[low <= high]
+
+    def halves(self, width: int) -> tuple[Slices, Slices]:
+        middle = (self.lo + self.hi) // 2
+        return self.ranged(self.lo, middle, width), self.ranged(middle + 1, self.hi, width)
+
+    def cores(self, rolling: Rolling, width: int) -> np.ndarray:
+        """Hash of what all windows of the range hold, and of the range."""
+        return mix(rolling(self.anchor - self.lo, self.anchor - self.hi + width) + self.lo.astype(np.uint64))
+
+    def geo(self) -> np.ndarray:
+        return ((self.anchor - self.beg) << 16 | self.lo << 8 | self.hi).astype(np.int32)
+
+
+def _first_ranges(alphabet: Alphabet, at: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> Slices:
+    distances = alphabet.width - alphabet.gram + 1
+    span = -(-distances // RANGES)
+    whole = Slices(at, at + n - 1 + alphabet.width, anchor, np.zeros_like(at), np.full_like(at, distances - 1), np.arange(len(at)))
+    parts = [whole.ranged(np.full_like(at, lo), np.full_like(at, min(distances - 1, lo + span - 1)), alphabet.width) for lo in range(0, distances, span)]
+    return Slices(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("beg", "end", "anchor", "lo", "hi", "row")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # a, s, and the id and start of the first of that s
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # firsts of the last anchor
-        large = False  # whether it has more than that
-
-        def settled() -> tuple[np.ndarray, np.ndarray]:
-            """Marks of the held firsts, once their anchor is complete or large."""
-            ids, place = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
-            if large:
-                return ids, place << 2 | SINGLY
-            return (ids, place << 2 | PARTLY) if len(ids) > 1 else (ids[:0], place[:0])
 
-        def batch(ids: list[np.ndarray], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if any(map(len, marks)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, marks)], ["doc_id", "mark"])
+def _contents(alphabet: Alphabet):
+    """Rows of a block from documents with their candidates: one for each core and content of a batch, with the
+    places (doc_id, place, ...) of its copies."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            a, s, ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            out_ids, out = [ids[known]], [place[known] << 2 | REPEATED]
-            a, s, ids, place = (x[~known] for x in (a, s, ids, place))
-            if not len(a):
-                yield from batch(out_ids, out)
-                continue
-            start = place >> 24
-            new_a, new_s = np.ones(len(a), bool), np.ones(len(a), bool)
-            new_a[1:] = a[1:] != a[:-1]
-            new_s[1:] = new_a[1:] | (s[1:] != s[:-1])
-            if last is not None:
-                new_a[0] = a[0] != last[0]
-                new_s[0] = new_a[0] or s[0] != last[1]
-            firsts = np.flatnonzero(new_s)
-            group = np.cumsum(new_s) - 1  # -1: the group that the last batch began
-            f_id, f_start = ids[firsts], start[firsts]
-            if last is not None:
-                f_id, f_start = np.append(f_id, last[2]), np.append(f_start, last[3])
-            repeated = ~new_s & ((ids != f_id[group]) | (start != f_start[group]))
-            out_ids.append(ids[repeated])
-            out.append(place[repeated] << 2 | REPEATED)
-            # firsts by anchor: those before the first change belong to the held ones, those after the last are held
-            change = np.flatnonzero(new_a[firsts])
-            head = firsts[: change[0]] if len(change) else firsts
-            held.append((ids[head], place[head]))
-            large |= sum(len(h[0]) for h in held) > most
-            if len(change) or large:
-                for x, y in zip((out_ids, out), settled(), strict=True):
-                    x.append(y)
-                held = []
-            if len(change):
-                whole = firsts[change[0] : change[-1]]
-                sizes = np.diff(change)
-                sizes = np.repeat(sizes, sizes)
-                kind = np.where(sizes > most, SINGLY, PARTLY)[sizes > 1]
-                whole = whole[sizes > 1]
-                out_ids.append(ids[whole])
-                out.append(place[whole] << 2 | kind)
-                tail = firsts[change[-1] :]
-                held, large = [(ids[tail], place[tail])], len(tail) > most
-            if len(firsts):
-                last = (a[-1], s[-1], ids[firsts[-1]], start[firsts[-1]])
-            yield from batch(out_ids, out)
-        ids, marks = settled()
-        yield from batch([ids], [marks])
+            ids, row, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3)
+            keys, hashes, own, places_, geos, contents, size = [], [], [], [], [], [], 0
+
+            def merged() -> pa.RecordBatch:
+                key, h, doc, place, geo = (np.concatenate(x) for x in (keys, hashes, own, places_, geos))
+                order = np.lexsort((place, doc, h, key))
+                new = np.append(True, (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1]))
+                head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+                copies: dict[int, list[int]] = {}
+                alone = order[new].tolist()
+                for i, j in zip(order[~new].tolist(), head[~new].tolist(), strict=True):
+                    if contents[i] != contents[j]:
+                        alone.append(i)
+                    elif doc[i] != doc[j] or place[i] != place[j]:
+                        copies.setdefault(j, []).extend((int(doc[i]), int(place[i])))
+                others = [np.array(copies[i], np.int64).tobytes() if i in copies else b"" for i in alone]
+                columns = [pa.array(x[alone]) for x in (key.view(np.int64), doc, place, geo)]
+                return pa.RecordBatch.from_arrays([*columns, pa.array([contents[i] for i in alone], pa.binary()), pa.array(others, pa.binary())], _NAMES)
 
-    return run
-
-
-def _chosen(alphabet: Alphabet, kind: int):
-    """Over documents with their marks: each step's ids and rows, bytes, symbols and the segments with a mark of
-    the kind."""
-
-    def steps(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            ids, row, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_pylist()
             for first, end, data, offsets in _opened(b.column(2)):
                 symbols, places, starts, ends = alphabet.symbols(data, offsets)
-                doc, start, n, a, _ = segments(alphabet, symbols, places)
+                doc, start, n, _, anchor = segments(alphabet, symbols, places)
                 wanted = np.zeros(len(doc), bool)
                 bounds = np.searchsorted(doc, np.arange(end - first + 1))
                 for i in range(end - first):
-                    marks = np.array(lists[first + i], np.int64)
-                    marks = marks[(marks & 3) == kind] >> 26
                     lo, hi = bounds[i], bounds[i + 1]
-                    wanted[lo:hi] = np.isin(start[lo:hi], marks)
+                    wanted[lo:hi] = np.isin(start[lo:hi], _unplaced(lists[first + i].values.to_numpy())[0])
                 w = np.flatnonzero(wanted)
-                if len(w):
-                    yield ids[first + doc[w]], row[first + doc[w]], data, symbols, starts, ends, places[doc[w]] + start[w], start[w], n[w], a[w]
-
-    return steps
-
-
-def _contents(alphabet: Alphabet):
-    """a, doc_id, place, content of the segments that may repeat in part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, data, _, starts, ends, at, start, n, a in _chosen(alphabet, PARTLY)(batches):
-            whole = data.tobytes()
-            content = [whole[i:j] for i, j in zip(starts[at].tolist(), ends[at + n + alphabet.width - 2].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(ids), pa.array(_place(start, n, row)), pa.array(content, pa.binary())], ["a", "doc_id", "place", "content"])
+                if not len(w):
+                    continue
+                doc, anchor = doc[w], anchor[w]
+                s = _first_ranges(alphabet, places[doc] + start[w], n[w], anchor)
+                rolling, whole = Rolling(symbols), data.tobytes()
+                doc = doc[s.row]
+                keys.append(s.cores(rolling, alphabet.width))
+                hashes.append(rolling(s.beg, s.end))
+                own.append(ids[first + doc])
+                places_.append(_place(s.beg - places[doc], s.end - s.beg - alphabet.width + 1, row[first + doc]))
+                geos.append(s.geo())
+                contents += [whole[i:j] for i, j in zip(starts[s.beg].tolist(), ends[s.end - 1].tolist(), strict=True)]
+                size += len(data)
+                if size > 32 * STEP_BYTES:
+                    yield merged()
+                    keys, hashes, own, places_, geos, contents, size = [], [], [], [], [], [], 0
+            if contents:
+                yield merged()
 
     return run
 
 
-def _windows(alphabet: Alphabet):
-    """Rows of the single windows of segments whose anchor is large."""
+# -- blocks -------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, _, symbols, _, _, at, start, n, _ in _chosen(alphabet, SINGLY)(batches):
-            of = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            h = Rolling(symbols)(at[of] + step, at[of] + step + alphabet.width)
-            yield from _compared([h], [h], [ids[of]], [_place(start[of] + step, np.ones(len(of), np.int64), row[of])])
-
-    return run
-
-
-Match = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Match = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def repeated_windows(match: Match, symbols: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -324,8 +339,8 @@ def repeated_windows(match: Match, symbols: np.ndarray, offsets: np.ndarray, gro
             below += [r for r in ((s, m), (m, e)) if r[1] - r[0] > 1]
         r = np.concatenate([np.arange(s, e) for s, e in reference])
         q = np.concatenate([np.arange(s, e) for s, e in queries])
-        rs, ro = _gather(symbols, offsets, r)
-        qs, qo = _gather(symbols, offsets, q)
+        rs, ro = _gather(symbols, offsets[:-1][r], offsets[1:][r])
+        qs, qo = _gather(symbols, offsets[:-1][q], offsets[1:][q])
         label = np.arange(len(ranges))  # halves meet their own other half only
         hit = match(rs, ro, np.repeat(label, [e - s for s, e in reference]), qs, qo, np.repeat(label, [e - s for s, e in queries]))
         where = np.repeat(offsets[q] - qo[:-1], np.diff(qo)) + np.arange(len(qs))
@@ -334,117 +349,277 @@ def repeated_windows(match: Match, symbols: np.ndarray, offsets: np.ndarray, gro
     return found
 
 
-def may_share(alphabet: Alphabet, symbols: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which segments may share a window with another of their group. Windows in common hold the anchor, so they
-    agree on half of what is left of a window either before the anchor or behind it."""
-    k, half = alphabet.gram, (alphabet.width - alphabet.gram) // 2
-    rolling = Rolling(symbols)
-    v = rolling.grams(k)
-    key = (v & ~_POS) | (_POS - np.arange(len(v), dtype=np.uint64))
-    anchor = (_POS - (sliding_least(key, alphabet.width - k + 1)[offsets[:-1]] & _POS)).astype(np.int64)
-    out = np.zeros(len(group), bool)
-    for low, high in ((anchor - half, anchor + k), (anchor, anchor + k + half)):
-        inside = np.flatnonzero((low >= offsets[:-1]) & (high <= offsets[1:]))
-        h = mix(rolling(low[inside], high[inside]) + group[inside].astype(np.uint64))
-        _, which, count = np.unique(h, return_inverse=True, return_counts=True)
-        out[inside] |= count[which] > 1
-    return out
-
-
-def _gather(symbols: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = offsets[which + 1] - offsets[which]
-    out = np.zeros(len(which) + 1, np.int64)
+def _gather(symbols: np.ndarray, beg: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = end - beg
+    out = np.zeros(len(beg) + 1, np.int64)
     np.cumsum(sizes, out=out[1:])
-    return symbols[np.repeat(offsets[which] - out[:-1], sizes) + np.arange(out[-1])], out
+    return symbols[np.repeat(beg - out[:-1], sizes) + np.arange(out[-1])], out
+
 
+def _equal(symbols: np.ndarray, s: Slices, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether slices a and b are the same, symbol by symbol."""
+    same = (s.end - s.beg)[a] == (s.end - s.beg)[b]
+    x, offsets = _gather(symbols, s.beg[a[same]], s.end[a[same]])
+    y, _ = _gather(symbols, s.beg[b[same]], s.end[b[same]])
+    differ = np.concatenate([[0], np.cumsum(x != y)])
+    same[same] = differ[offsets[1:]] == differ[offsets[:-1]]
+    return same
 
-def _in_blocks(alphabet: Alphabet, match: Match):
-    """doc_id, mark of the windows that repeat, from contents in the order of a, doc_id, place."""
 
-    def solve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        a, ids, place = (t.column(i).to_numpy() for i in range(3))
-        data = t.column(3).combine_chunks()
+class Block:
+    """Contents that meet, in the order of their places. found tells which windows also stand earlier, and whole
+    which ones a content's own index finds in it; each is asked of the index."""
+
+    def __init__(self, alphabet: Alphabet, match: Match, rows: pa.Table, few: int = FEW):
+        self.alphabet, self.match, self.few = alphabet, match, few
+        self.ids, self.place = rows.column("doc_id").to_numpy(), rows.column("place").to_numpy()
+        data = rows.column("content").combine_chunks()
         offs = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-        raw = np.frombuffer(data.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-        symbols, places, _, _ = alphabet.symbols(raw, offs - offs[0])
-        group = np.cumsum(np.append(False, a[1:] != a[:-1]))
-        keep = np.flatnonzero(may_share(alphabet, symbols, places, group))
-        if not len(keep):
-            return
-        ids, place, group = ids[keep], place[keep], group[keep]
-        symbols, places = _gather(symbols, places, keep)
-        found = repeated_windows(match, symbols, places, group)
-        # whole windows only, in stretches
-        at = np.flatnonzero(found)
-        seg = np.searchsorted(places, at, side="right") - 1
-        ok = at + alphabet.width <= places[seg + 1]
-        at, seg = at[ok], seg[ok]
-        if len(at):
-            new = np.append(True, (at[1:] != at[:-1] + 1) | (seg[1:] != seg[:-1]))
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(at)))
-            seg = seg[first]
-            start, n2 = _pieces((place[seg] >> 24) + at[first] - places[seg], n)
-            back = np.repeat(seg, (n + 254) // 255)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[back]), pa.array(_place(start, n2, place[back] & 0xFFFF) << 2 | REPEATED)], ["doc_id", "mark"])
+        self.raw = np.frombuffer(data.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        self.symbols, places, self.starts, self.ends = alphabet.symbols(self.raw, offs - offs[0])
+        geo = rows.column("geo").to_numpy().astype(np.int64)
+        self.rows = Slices(places[:-1], places[1:], places[:-1] + (geo >> 16), (geo >> 8) & 0xFF, geo & 0xFF, np.arange(len(geo)))
+        self.key = rows.column("key").to_numpy()
+        self.others = [np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("others")]
+        self.rolling = Rolling(self.symbols)
+        self.found = np.zeros(len(self.symbols), bool)
+        self.whole = np.zeros(len(self.symbols), bool)
+
+    def firsts(self, s: Slices, group: np.ndarray) -> np.ndarray:
+        """For each slice the first of its group with the same content; slices come in order."""
+        h = mix(self.rolling(s.beg, s.end) + group.astype(np.uint64))
+        _, head, number = np.unique(h, return_index=True, return_inverse=True)
+        first = head[number]
+        later = np.flatnonzero(first != np.arange(len(h)))
+        first[later] = np.where(_equal(self.symbols, s, later, first[later]), first[later], later)
+        return first
+
+    def ask_themselves(self, s: Slices) -> None:
+        """The windows of each content that its own index finds."""
+        if len(s.beg):
+            symbols, offsets = _gather(self.symbols, s.beg, s.end)
+            own = np.arange(len(s.beg))
+            hit = self.match(symbols, offsets, own, symbols, offsets, own)
+            where = np.repeat(s.beg - offsets[:-1], np.diff(offsets)) + np.arange(len(symbols))
+            self.whole[where[hit]] = True  # contents may overlap
+
+    def copy(self, s: Slices, of: Slices) -> None:
+        """What the index of a content finds in it stands earlier in its copies; a row's own place isn't earlier."""
+        n = s.end - s.beg - self.alphabet.width + 1
+        start = lambda x: (self.place[x.row] >> (8 + _ROW_BITS)) + x.beg - self.rows.beg[x.row]
+        n = np.where((self.ids[s.row] == self.ids[of.row]) & (start(s) == start(of)), 0, n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.found[np.repeat(s.beg, n) + step] |= self.whole[np.repeat(of.beg, n) + step]
+
+    def solve(self) -> None:
+        width = self.alphabet.width
+        s, group = self.rows, np.unique(self.key, return_inverse=True)[1]
+        told = np.array([len(x) > 0 for x in self.others])
+        copies: list[tuple[Slices, Slices]] = []
+        asked: list[Slices] = [s[told]]
+        leaves: list[tuple[Slices, np.ndarray]] = []
+        base = 0
+        while len(s.beg):
+            first = self.firsts(s, group)
+            later = np.flatnonzero(first != np.arange(len(first)))
+            copies.append((s[later], s[first[later]]))
+            asked.append(s[np.unique(first[later])])
+            heads = np.flatnonzero(first == np.arange(len(first)))
+            s, group = s[heads], group[heads]
+            count = np.bincount(group)[group] if len(group) else group
+            many = (count > self.few) & (s.hi > s.lo)
+            few = np.flatnonzero((count > 1) & ~many)
+            leaves.append((s[few], group[few] + base))
+            base += int(group.max()) + 1 if len(group) else 0
+            more, group = s[many], group[many]
+            parts, groups = [], []
+            for side, half in enumerate(Slices(more.beg, more.end, more.anchor, more.lo, more.hi, np.arange(len(group))).halves(width)):
+                groups.append(mix(half.cores(self.rolling, width) + mix((group[half.row] * 2 + side).astype(np.uint64))))
+                half.row = more.row[half.row]
+                parts.append(half)
+            s = Slices(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("beg", "end", "anchor", "lo", "hi", "row")))
+            group = np.unique(np.concatenate(groups), return_inverse=True)[1] if len(s.beg) else np.zeros(0, np.int64)
+            alone = np.bincount(group)[group] == 1 if len(group) else np.zeros(0, bool)
+            s, group = s[~alone], group[~alone]
+            order = np.lexsort((s.beg, s.row))
+            s, group = s[order], group[order]
+        s, group = Slices(*(np.concatenate([getattr(x[0], f) for x in leaves]) for f in ("beg", "end", "anchor", "lo", "hi", "row"))), np.concatenate([x[1] for x in leaves])
+        if len(s.beg):
+            order = np.lexsort((s.beg, s.row, group))
+            s, group = s[order], group[order]
+            symbols, offsets = _gather(self.symbols, s.beg, s.end)
+            hit = repeated_windows(self.match, symbols, offsets, group)
+            where = np.repeat(s.beg - offsets[:-1], np.diff(offsets)) + np.arange(len(symbols))
+            self.found[where[hit]] = True
+        self.answer(asked, copies)
+
+    def answer(self, asked: list[Slices], copies: list[tuple[Slices, Slices]]) -> None:
+        a = Slices(*(np.concatenate([getattr(x, f) for x in asked]) for f in ("beg", "end", "anchor", "lo", "hi", "row")))
+        _, one = np.unique(np.stack([a.beg, a.end]), axis=1, return_index=True)
+        self.ask_themselves(a[one])
+        for s, of in copies:
+            self.copy(s, of)
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """doc_id and mark of the found windows, and of a content's copies."""
+        ids, marks = [], []
+        width, rows = self.alphabet.width, self.rows
+        start0, _, row = _unplaced(self.place)
+
+        def stretches(flags: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """row, offset in its content, windows of each stretch of flags in the rows `of`"""
+            n = np.maximum(0, rows.end - rows.beg - width + 1)[of]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            which = np.repeat(of, n)
+            on = np.flatnonzero(flags[rows.beg[which] + step])
+            which, step = which[on], step[on]
+            new = np.append(True, (step[1:] != step[:-1] + 1) | (which[1:] != which[:-1]))[: len(step)]
+            head = np.flatnonzero(new)
+            return which[head], step[head], np.diff(np.append(head, len(step)))
+
+        which, step, n = stretches(self.found, np.arange(len(self.ids)))
+        at, n, back = _stretches(start0[which] + step, n)
+        ids.append(self.ids[which[back]])
+        marks.append(_place(at, n, row[which[back]]))
+        told = np.array([i for i, x in enumerate(self.others) if len(x)], np.int64)
+        if len(told):
+            which, step, n = stretches(self.whole, told)
+            for i, at, m in zip(which.tolist(), step.tolist(), n.tolist(), strict=True):
+                pairs = self.others[i].reshape(-1, 2)
+                start, _, own = _unplaced(pairs[:, 1])
+                start, k, back = _stretches(start + at, np.full(len(start), m))
+                ids.append(pairs[back, 0])
+                marks.append(_place(start, k, own[back]))
+        return np.concatenate(ids), np.concatenate(marks)
+
+    def only_copies(self) -> np.ndarray:
+        """Marks the copies of whole contents and tells which rows are the first of theirs."""
+        first = self.firsts(self.rows, np.unique(self.key, return_inverse=True)[1])
+        later = np.flatnonzero(first != np.arange(len(first)))
+        told = np.array([len(x) > 0 for x in self.others])
+        self.answer([self.rows[told], self.rows[np.unique(first[later])]], [(self.rows[later], self.rows[first[later]])])
+        return np.flatnonzero(first == np.arange(len(first)))
+
+    def longer_cores(self, which: np.ndarray) -> pa.RecordBatch:
+        """The rows' halves, as rows for a further round."""
+        s = self.rows[which]
+        parts = s.halves(self.alphabet.width)
+        s = Slices(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("beg", "end", "anchor", "lo", "hi", "row")))
+        start0, _, row = _unplaced(self.place[s.row])
+        place = _place(start0 + s.beg - self.rows.beg[s.row], s.end - s.beg - self.alphabet.width + 1, row)
+        raw = self.raw.tobytes()
+        content = [raw[i:j] for i, j in zip(self.starts[s.beg].tolist(), self.ends[s.end - 1].tolist(), strict=True)]
+        key = s.cores(self.rolling, self.alphabet.width).view(np.int64)
+        columns = [pa.array(x) for x in (key, self.ids[s.row], place, s.geo())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary()), pa.array([b""] * len(content), pa.binary())], _NAMES)
+
+
+def _in_blocks(alphabet: Alphabet, match: Match, index_bytes: int, group_bytes: int, few: int):
+    """Marks (doc_id, place; key is null) of what repeats, and rows for a further round, from rows in the order of
+    key, doc_id, place."""
+
+    def out(ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64()), pa.array(ids.astype(np.int64)), pa.array(marks.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _NAMES
+        )
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = t.column("key").to_numpy()
+        new = np.append(True, key[1:] != key[:-1])
+        told = pa.compute.binary_length(t.column("others")).to_numpy() > 0
+        t = t.filter(pa.array(~new | ~np.append(new[1:], True) | told))  # without those that meet nothing
+        if t.num_rows:
+            b = Block(alphabet, match, t, few)
+            b.solve()
+            yield out(*b.marks())
+
+    def without_copies(t: pa.Table) -> tuple[Block, np.ndarray, pa.RecordBatch]:
+        b = Block(alphabet, match, t, few)
+        firsts = b.only_copies()
+        return b, firsts, out(*b.marks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, beyond = 0, None  # beyond: the key of a group that goes on in a further round
+
+        def end_of_group(t: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
+            """The first n rows are the rest of a group that is too large."""
+            b, firsts, found = without_copies(t.slice(0, n).combine_chunks())
+            yield found
+            yield b.longer_cores(firsts)
+
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                a = b.column(0).to_numpy()
-                # up to the last change of the anchor, groups are complete
-                if held and a[0] != held[-1].column(0)[-1].as_py() and size >= INDEX_BYTES:
-                    yield from solve(held)
-                    held, size = [], 0
-                change = np.flatnonzero(a[1:] != a[:-1])
-                cut = int(change[-1]) + 1 if len(change) else 0
-                if size + b.nbytes >= INDEX_BYTES and cut:
-                    yield from solve([*held, b.slice(0, cut)])
-                    held, size, b = [], 0, b.slice(cut)
-                held.append(b)
-                size += b.nbytes
+                held.append(whole.slice(at, 2000))
+                size += held[-1].nbytes
+                if size < index_bytes:
+                    continue
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = t.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut and beyond == key[0]:
+                    n = int(np.searchsorted(key, key[0], side="right"))
+                    yield from end_of_group(t, n)
+                    t, cut, beyond = t.slice(n).combine_chunks(), cut - n, None
+                if cut:
+                    yield from solve(t.slice(0, cut).combine_chunks())
+                    t = t.slice(cut).combine_chunks()
+                if t.nbytes > group_bytes:  # all of one group
+                    b, firsts, found = without_copies(t)
+                    yield found
+                    left = t.take(pa.array(firsts))
+                    left = left.set_column(5, "others", pa.array([b""] * left.num_rows, pa.binary())).combine_chunks()
+                    geo = int(b.rows.hi[0] - b.rows.lo[0])
+                    if geo and (beyond is not None or left.nbytes * 2 > group_bytes):
+                        beyond = int(b.key[0])
+                        yield b.longer_cores(firsts)
+                        left = left.slice(0, 0)
+                    t = left
+                held, size = t.to_batches(), t.nbytes
         if held:
-            yield from solve(held)
+            t = pa.Table.from_batches(held).combine_chunks()
+            if t.num_rows and beyond == int(t.column("key")[0].as_py()):
+                n = int(np.searchsorted(t.column("key").to_numpy(), beyond, side="right"))
+                yield from end_of_group(t, n)
+                t = t.slice(n).combine_chunks()
+            if t.num_rows:
+                yield from solve(t)
 
     return run
 
 
-def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable, schema: str, large: int = LARGE) -> DataFrame:
+def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable, schema: str, index_bytes: int = INDEX_BYTES, group_bytes: int = GROUP_BYTES, few: int = FEW) -> DataFrame:
     """finish(bytes, symbol starts, symbol ends, covered) gives the columns after doc_id of one document;
     covered tells which symbols a window covers that also starts earlier."""
-    key = ["doc_id", F.shiftright("mark", 2).bitwiseAND(0xFFFF).alias("row")]
-    lists = lambda df: df.groupBy(*key).agg(F.collect_list("mark").alias("marks"))
-
-    def compared(rows: DataFrame) -> DataFrame:
-        # what is known already may go anywhere
-        where = F.when(F.col("known"), F.xxhash64("doc_id", "place")).otherwise(F.col("a"))
-        return rows.repartition(where).sortWithinPartitions("known", "a", "s", "doc_id", "place").mapInArrow(_marks(large), "doc_id long, mark long")
-
-    first = settle(lists(compared(_keyed(docs).mapInArrow(_rows(alphabet), _ROWS))))
+    key = ["doc_id", F.col("place").bitwiseAND((1 << _ROW_BITS) - 1).alias("row")]
+    lists = lambda df: df.groupBy(*key).agg(F.collect_list("place").alias("marks"))
+    # rows that are known to repeat may go anywhere
+    where = F.when(F.col("times") == 0, F.xxhash64("doc_id", "place")).otherwise(F.col("a"))
+    rows = _keyed(docs).mapInArrow(_rows(alphabet), _ROWS).repartition(where).sortWithinPartitions(F.col("times") > 0, "a")
+    candidates = settle(lists(rows.mapInArrow(_candidates, "doc_id long, place long")))
     texts = sealed(docs)
-    of_kind = lambda kind: texts.join(first.where(F.exists("marks", lambda m: m.bitwiseAND(3) == kind)), ["doc_id", "row"]).select("doc_id", "row", "z", "marks")
-    contents = of_kind(PARTLY).mapInArrow(_contents(alphabet), "a long, doc_id long, place long, content binary")
-    blocks = contents.repartition("a").sortWithinPartitions("a", "doc_id", "place").mapInArrow(_in_blocks(alphabet, match), "doc_id long, mark long")
-    if not first.where(F.exists("marks", lambda m: m.bitwiseAND(3) == SINGLY)).isEmpty():
-        blocks = blocks.unionAll(compared(of_kind(SINGLY).mapInArrow(_windows(alphabet), _ROWS)))
-    second = lists(blocks).select("doc_id", "row", F.col("marks").alias("more"))
+    todo = texts.join(candidates, ["doc_id", "row"]).select("doc_id", "row", "z", "marks").mapInArrow(_contents(alphabet), _BLOCK)
+    found = None
+    while True:
+        blocks = todo.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_in_blocks(alphabet, match, index_bytes, group_bytes, few), _BLOCK)
+        blocks = settle(blocks)
+        marks = blocks.where("key IS NULL").select("doc_id", "place")
+        found = marks if found is None else found.unionAll(marks)
+        todo = blocks.where("key IS NOT NULL")
+        if todo.isEmpty():
+            break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [[x or [] for x in b.column(i).to_pylist()] for i in (2, 3)]
-            out = []
+            lists, out = b.column(2), []
             for first, end, data, offsets in _opened(b.column(1)):
                 _, places, starts, ends = alphabet.symbols(data, offsets)
                 for i in range(first, end):
                     s, e = places[i - first], places[i - first + 1]
                     step = np.zeros(e - s + 1, np.int64)
-                    marks = np.array([m for x in lists for m in x[i] if m & 3 == REPEATED], np.int64)
-                    if len(marks):
-                        start, n = marks >> 26, (marks >> 18) & 0xFF
+                    if lists[i].is_valid:
+                        start, n, _ = _unplaced(lists[i].values.to_numpy())
                         np.add.at(step, start, 1)
                         np.add.at(step, start + n - 1 + alphabet.width, -1)
                     o = offsets[i - first]
@@ -455,5 +630,5 @@ def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable,
 
     fields = [x.split() for x in schema.split(",")]
     names, types = ["doc_id", *[f[0] for f in fields]], [{"long": pa.int64(), "string": pa.string()}[f[1]] for f in fields]
-    joined = texts.join(first, ["doc_id", "row"], "left").join(second, ["doc_id", "row"], "left").select("doc_id", "z", "marks", "more")
+    joined = texts.join(lists(found), ["doc_id", "row"], "left").select("doc_id", "z", "marks")
     return joined.mapInArrow(run, f"doc_id long, {schema}")

@@ -5,6 +5,10 @@ the suffix array sampled at their two ends. Other text streams through it from r
 its matching statistics along: the length and one place of the longest match that starts at each byte.
 Matches of at least WIDTH bytes are marked. Which texts meet in a block, and in which order, is settled by
 content (see repeats), so no two documents with a long match in common miss each other.
+
+Where a match can't go on, the longer of the two next candidates is told by comparing with the block's text. The
+prefix hashes that answer this in constant time are kept beside the runs, 8 bytes for each byte of the block; so the
+transform and its suffix samples are run-compressed, the index as a whole is not, and a block is bounded instead.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import LARGE, Alphabet, Rolling, marked, mix
+from .repeats import FEW, GROUP_BYTES, INDEX_BYTES, Alphabet, Rolling, marked, mix
 
 WIDTH = 100
 ANCHOR = 24
@@ -157,11 +161,14 @@ def _finish(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, covered: np.
 ALPHABET = Alphabet(WIDTH, ANCHOR, byte_symbols)
 
 
-def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
+def remove_repeats(docs: DataFrame, index_bytes: int = INDEX_BYTES, group_bytes: int = GROUP_BYTES, few: int = FEW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text).
 
     Bytes covered by a string of 100 bytes that also starts earlier go. Null texts count as empty. A null id
-    is before all others. Rows that share an id are one document: of strings at the same start neither is
-    earlier. An empty table gives no rows. Only doc_id and text are read.
+    is before all others. Rows that share an id and a text are one document; of rows that share an id only, the earlier start
+    goes first, then the text's hash. An empty table gives no rows. Only doc_id and text are read. Texts of any length
+    are whole: a text is one step of a task, and matches in it are found like those between documents.
+
+    index_bytes, group_bytes and few bound an index, a group in a task and a group that isn't split; they change no result.
     """
-    return marked(docs, ALPHABET, match, _finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", large)
+    return marked(docs, ALPHABET, match, _finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", index_bytes, group_bytes, few)

@@ -73,12 +73,13 @@ def collection(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("large", [repeats.LARGE, 3])
-def test_made_up_collections(spark, seed, large):
+@pytest.mark.parametrize("sizes", [(repeats.INDEX_BYTES, repeats.GROUP_BYTES, repeats.FEW), (20000, 1 << 20, 3), (2000, 5000, 3)])
+def test_made_up_collections(spark, seed, sizes):
+    """Small sizes: groups are split inside tasks and go through further rounds."""
     docs = collection(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert by_id(run_index.remove_repeats(df, large)) == brute_bytes(docs)
-    assert by_id(rlz.remove_repeats(df, large)) == brute_words(docs)
+    assert by_id(run_index.remove_repeats(df, *sizes)) == brute_bytes(docs)
+    assert by_id(rlz.remove_repeats(df, *sizes)) == brute_words(docs)
 
 
 def test_documents(spark):
@@ -118,3 +119,37 @@ def test_run_length_index(texts, query):
     for i, (n, p) in enumerate(zip(length.tolist(), place.tolist())):
         assert n == max(k for k in range(len(query) - i + 1) if k == 0 or inside(query[i : i + k]))
         assert n == 0 or text[p : p + n].tolist() == query[i : i + n]
+
+
+@pytest.mark.parametrize("module", [rlz, run_index])
+def test_only_the_index_marks(spark, module):
+    """Hashes say what meets; without the index nothing is removed."""
+    df = spark.createDataFrame(collection(5), "doc_id long, text string")
+    schema = "n long, n_removed long, sha string" if module is rlz else "n long, n_removed long, n_spans long, sha string"
+    with_index = repeats.marked(df, module.ALPHABET, module.match, module._finish, schema)
+    nothing = lambda ref, ref_offsets, ref_group, symbols, offsets, group: symbols != symbols
+    without = repeats.marked(df, module.ALPHABET, nothing, module._finish, schema)
+    assert sum(r["n_removed"] for r in with_index.collect()) > 1000
+    assert sum(r["n_removed"] for r in without.collect()) == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 1), st.lists(st.integers(1, 3), max_size=9)), min_size=1, max_size=5), st.lists(st.integers(1, 4), min_size=1, max_size=15), st.integers(0, 1))
+@settings(max_examples=200, deadline=None)
+def test_longest_factors(texts, query, own):
+    texts.sort(key=lambda t: t[0])
+    offsets = np.cumsum([0, *(len(t) for _, t in texts)])
+    block = rlz.ReferenceBlock(np.array([c for _, t in texts for c in t], np.uint64), offsets, np.array([g for g, _ in texts]))
+    hit = block.factors(np.array(query, np.uint64), np.array([0, len(query)]), np.array([own]), 3)
+    inside = lambda w: any(g == own and t[i : i + len(w)] == w for g, t in texts for i in range(len(t)))
+    for i, h in enumerate(hit.tolist()):
+        assert h == (i + 3 <= len(query) and inside(query[i : i + 3]))
+
+
+def test_a_text_longer_than_a_step(spark):
+    r = random.Random(9)
+    prose = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60_000))
+    docs = [(1, prose), (2, "x " + prose[1000:300_000] + " y"), (3, prose[:5000] + prose[:5000])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(prose) > repeats.STEP_BYTES
+    assert by_id(run_index.remove_repeats(df)) == brute_bytes(docs)
+    assert by_id(rlz.remove_repeats(df)) == brute_words(docs)
