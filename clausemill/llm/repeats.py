@@ -3,19 +3,18 @@
 Each window of `width` symbols picks the least of its k-grams as its anchor, so equal windows pick equal anchors at
 equal distances. Windows in a row with one anchor make a segment.
 
-1. A row for each segment - its anchor's hash and its place - tells which anchors stand more than once. Only their
-   segments go on. A batch sends one row for an anchor, however often it holds it.
-2. Each of these segments is dealt into RANGES by the distance of a window to its anchor. All windows of a range hold
-   the same stretch around the anchor, the range's core, and its hash says in which block the content meets others.
-   Copies in a batch, equal byte by byte, travel as places beside one content.
-3. A block asks an index of the method at hand (a function `match`) for all it marks: for a content that stands more
-   than once, the index of that content itself; else an index of the contents before it. Groups with many contents
-   are told apart by longer cores first. A group too large for one task goes on with longer cores in a further round,
-   so no task holds more than GROUP_BYTES of one group and no link is lost. Cores end as whole windows, of which
-   there is one content.
-
-Hashes only say what meets; what is marked has been found by the index, or is equal, byte by byte, to what was.
-Marks (start, windows, row) go back to the documents as one long each.
+1. A row for each segment - anchor hash, content hash, place - is all that is compared at first. A segment that stands
+   earlier with the same anchor and content repeats as a whole; what a batch already tells is marked there. Such whole
+   repeats are told by the 64-bit hashes of anchor and content, not byte by byte.
+2. The first segments of contents whose anchor also has other contents may repeat in part. They are dealt into RANGES
+   by the distance of a window to its anchor. All windows of a range hold the same stretch around the anchor, the
+   range's core, and its hash says in which block the content meets others.
+3. In a block an index of the method at hand (a function `match`) tells which windows of a content stand in one before
+   it; contents that are equal, symbol by symbol, are one. Groups with many contents are told apart by longer cores
+   first. A group too large for one task goes on with longer cores in a further round, so no task holds more than
+   GROUP_BYTES of one group and no link is lost. Cores end as whole windows, of which there is one content.
+
+Marks (start, windows, row, kind) go back to the documents as one long each.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +39,8 @@ RANGES = 4
 FEW = 64
 #: Bytes of contents that one index holds, that a task holds of one group, and of text in a vectorised step.
 INDEX_BYTES, GROUP_BYTES, STEP_BYTES = 1 << 20, 1 << 24, 1 << 18
-_ROW_BITS = 24
+_ROW_BITS = 23
+REPEATED, PARTLY = 0, 1
 
 
 @dataclass(frozen=True)
@@ -93,12 +92,13 @@ def sliding_least(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def segments(alphabet: Alphabet, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, first window (in the document), windows, anchor hash, anchor place (in all symbols) of each segment."""
+    """document, first window (in the document), windows, anchor hash, content hash, anchor place (in all symbols) of each segment."""
     width, k = alphabet.width, alphabet.gram
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     if len(symbols) < width:
         return empty
-    v = Rolling(symbols).grams(k)
+    rolling = Rolling(symbols)
+    v = rolling.grams(k)
     key = (v & ~_POS) | (_POS - np.arange(len(v), dtype=np.uint64))  # ties: the last
     chosen = (_POS - (sliding_least(key, width - k + 1) & _POS)).astype(np.int64)
     windows = np.maximum(0, np.diff(offsets) - width + 1)
@@ -113,7 +113,7 @@ def segments(alphabet: Alphabet, symbols: np.ndarray, offsets: np.ndarray) -> tu
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(doc)))
     start, doc = at[first], doc[first]
-    return doc, start - offsets[:-1][doc], n, v[anchor[first]], anchor[first]
+    return doc, start - offsets[:-1][doc], n, v[anchor[first]], rolling(start, start + n - 1 + width), anchor[first]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _opened(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def _place(start: np.ndarray, n: np.ndarray | int, row: np.ndarray) -> np.ndarray:
-    """Start (31 bits), windows (8) and row (24) in one long; in the order of the starts."""
+    """Start (31 bits), windows (8) and row (23) in one long; in the order of the starts."""
     return start.astype(np.int64) << (8 + _ROW_BITS) | np.asarray(n, np.int64) << _ROW_BITS | row.astype(np.int64)
 
 
@@ -161,62 +161,78 @@ def _stretches(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[which] + 255 * part, np.minimum(255, n[which] - 255 * part), which
 
 
-# -- which segments have an anchor that stands more than once -----------------------------------------
+# -- segments that repeat as a whole, and those that may in part --------------------------------------
 
-_ROWS = "a long, doc_id long, place long, times int"
+_ROWS = "a long, s long, doc_id long, place long, known boolean"
 
 
 def _rows(alphabet: Alphabet):
-    """Of each anchor in a batch, its first segment with 1 or 2 (there are more); the others with 0, as they are
-    known to repeat it."""
+    """Rows of a batch; known: the batch holds an earlier one of the same anchor and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            out = ([], [], [])
+            out = ([], [], [], [])
             for first, _, data, offsets in text_blocks(b.column(2), STEP_BYTES):
                 symbols, places, _, _ = alphabet.symbols(data, offsets)
-                doc, start, n, a, _ = segments(alphabet, symbols, places)
-                for held, x in zip(out, (a, ids[first + doc], _place(start, n, row[first + doc])), strict=True):
+                doc, start, n, a, s, _ = segments(alphabet, symbols, places)
+                for held, x in zip(out, (a, s, ids[first + doc], _place(start, n, row[first + doc])), strict=True):
                     held.append(x)
             if out[0]:
-                a, own, place = (np.concatenate(x) for x in out)
-                _, head, number, count = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
-                times = np.zeros(len(a), np.int32)
-                times[head] = np.minimum(count, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), own, place, times)], ["a", "doc_id", "place", "times"])
+                a, s, own, place = (np.concatenate(x) for x in out)
+                order = np.lexsort((place, own, s))
+                s_, own_, start = s[order], own[order], _unplaced(place[order])[0]
+                new = np.append(True, s_[1:] != s_[:-1])[: len(s)]
+                first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+                known = np.zeros(len(s), bool)
+                known[order] = ~new & ((own_ != own_[first]) | (start != start[first]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), s.view(np.int64), own, place, known)], ["a", "s", "doc_id", "place", "known"])
 
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, place of the segments whose anchor stands more than once, from rows in the order of times > 0, a.
-    Only one row is held, so an anchor may have any number of them."""
-    last = None  # a, doc_id, place and whether it has been given out
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, mark of segments that repeat and of firsts whose anchor has other contents, from rows in the order of
+    known, a, s, doc_id, place. Only the last first is held, so a group may have any size."""
+    last = None  # a, s, doc_id, place of the first of the last content, and whether it has been given out
     for b in batches:
-        a, ids, place, times = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(a):
-            continue
-        live = times > 0
-        same = np.append(False, (a[1:] == a[:-1]) & live[:-1])  # as the row before
-        good = ~live | (times == 2) | same | np.append(same[1:], False)
-        ids_out, place_out = [ids[good]], [place[good]]
-        if last is not None and live[0] and a[0] == last[0]:
-            if not last[3]:
-                ids_out.append(np.array([last[1]]))
-                place_out.append(np.array([last[2]]))
-            if not good[0]:
-                good[0] = True
-                ids_out.append(ids[:1])
-                place_out.append(place[:1])
-        last = (a[-1], ids[-1], place[-1], bool(good[-1])) if live[-1] else None
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids_out, place_out)], ["doc_id", "place"])
+        known = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+        a, s, ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        out_ids, out = [ids[known]], [place[known] << 1 | REPEATED]
+        a, s, ids, place = (x[~known] for x in (a, s, ids, place))
+        if len(a):
+            start = _unplaced(place)[0]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+            if last is not None:
+                new[0] = a[0] != last[0] or s[0] != last[1]
+            firsts = np.flatnonzero(new)
+            group = np.cumsum(new) - 1  # -1: the content that the last batch began
+            f_id, f_start = (np.append(x[firsts], 0) for x in (ids, start))
+            if last is not None:
+                f_id[-1], f_start[-1] = last[2], last[3] >> (8 + _ROW_BITS)
+            repeated = ~new & ((ids != f_id[group]) | (start != f_start[group]))
+            out_ids.append(ids[repeated])
+            out.append(place[repeated] << 1 | REPEATED)
+            if len(firsts):
+                own = a[firsts]
+                same = np.append(last is not None and own[0] == last[0], own[1:] == own[:-1])  # as the content before
+                partly = same | np.append(same[1:], False)
+                out_ids.append(ids[firsts[partly]])
+                out.append(place[firsts[partly]] << 1 | PARTLY)
+                if same[0] and not last[4]:
+                    out_ids.append(np.array([last[2]]))
+                    out.append(np.array([last[3] << 1 | PARTLY]))
+                f = firsts[-1]
+                last = (a[f], s[f], int(ids[f]), int(place[f]), bool(partly[-1]))
+        if any(map(len, out)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_ids, out)], ["doc_id", "mark"])
 
 
 # -- contents of these segments, by core --------------------------------------------------------------
 
-_BLOCK = "key long, doc_id long, place long, geo int, content binary, others binary"
-_NAMES = ["key", "doc_id", "place", "geo", "content", "others"]
+_BLOCK = "key long, doc_id long, place long, geo int, content binary"
+_NAMES = ["key", "doc_id", "place", "geo", "content"]
 
 
 @dataclass
@@ -260,57 +276,29 @@ def _first_ranges(alphabet: Alphabet, at: np.ndarray, n: np.ndarray, anchor: np.
 
 
 def _contents(alphabet: Alphabet):
-    """Rows of a block from documents with their candidates: one for each core and content of a batch, with the
-    places (doc_id, place, ...) of its copies."""
+    """Rows of a block from documents with their marks: one for each range of the segments that may repeat in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, row, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3)
-            keys, hashes, own, places_, geos, contents, size = [], [], [], [], [], [], 0
-
-            def merged() -> pa.RecordBatch:
-                key, h, doc, place, geo = (np.concatenate(x) for x in (keys, hashes, own, places_, geos))
-                order = np.lexsort((place, doc, h, key))
-                new = np.append(True, (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1]))
-                head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                copies: dict[int, list[int]] = {}
-                alone = order[new].tolist()
-                for i, j in zip(order[~new].tolist(), head[~new].tolist(), strict=True):
-                    if contents[i] != contents[j]:
-                        alone.append(i)
-                    elif doc[i] != doc[j] or place[i] != place[j]:
-                        copies.setdefault(j, []).extend((int(doc[i]), int(place[i])))
-                others = [np.array(copies[i], np.int64).tobytes() if i in copies else b"" for i in alone]
-                columns = [pa.array(x[alone]) for x in (key.view(np.int64), doc, place, geo)]
-                return pa.RecordBatch.from_arrays([*columns, pa.array([contents[i] for i in alone], pa.binary()), pa.array(others, pa.binary())], _NAMES)
-
             for first, end, data, offsets in _opened(b.column(2)):
                 symbols, places, starts, ends = alphabet.symbols(data, offsets)
-                doc, start, n, _, anchor = segments(alphabet, symbols, places)
+                doc, start, n, _, _, anchor = segments(alphabet, symbols, places)
                 wanted = np.zeros(len(doc), bool)
                 bounds = np.searchsorted(doc, np.arange(end - first + 1))
                 for i in range(end - first):
+                    marks = lists[first + i].values.to_numpy()
                     lo, hi = bounds[i], bounds[i + 1]
-                    wanted[lo:hi] = np.isin(start[lo:hi], _unplaced(lists[first + i].values.to_numpy())[0])
+                    wanted[lo:hi] = np.isin(start[lo:hi], _unplaced(marks[(marks & 1) == PARTLY] >> 1)[0])
                 w = np.flatnonzero(wanted)
-                if not len(w):
-                    continue
-                doc, anchor = doc[w], anchor[w]
-                s = _first_ranges(alphabet, places[doc] + start[w], n[w], anchor)
-                rolling, whole = Rolling(symbols), data.tobytes()
-                doc = doc[s.row]
-                keys.append(s.cores(rolling, alphabet.width))
-                hashes.append(rolling(s.beg, s.end))
-                own.append(ids[first + doc])
-                places_.append(_place(s.beg - places[doc], s.end - s.beg - alphabet.width + 1, row[first + doc]))
-                geos.append(s.geo())
-                contents += [whole[i:j] for i, j in zip(starts[s.beg].tolist(), ends[s.end - 1].tolist(), strict=True)]
-                size += len(data)
-                if size > 32 * STEP_BYTES:
-                    yield merged()
-                    keys, hashes, own, places_, geos, contents, size = [], [], [], [], [], [], 0
-            if contents:
-                yield merged()
+                if len(w):
+                    doc = doc[w]
+                    s = _first_ranges(alphabet, places[doc] + start[w], n[w], anchor[w])
+                    doc, whole = doc[s.row], data.tobytes()
+                    place = _place(s.beg - places[doc], s.end - s.beg - alphabet.width + 1, row[first + doc])
+                    content = [whole[i:j] for i, j in zip(starts[s.beg].tolist(), ends[s.end - 1].tolist(), strict=True)]
+                    key = s.cores(Rolling(symbols), alphabet.width).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, ids[first + doc], place, s.geo())), pa.array(content, pa.binary())], _NAMES)
 
     return run
 
@@ -367,8 +355,7 @@ def _equal(symbols: np.ndarray, s: Slices, a: np.ndarray, b: np.ndarray) -> np.n
 
 
 class Block:
-    """Contents that meet, in the order of their places. found tells which windows also stand earlier, and whole
-    which ones a content's own index finds in it; each is asked of the index."""
+    """Contents that meet, in the order of their places. found tells which windows also stand earlier."""
 
     def __init__(self, alphabet: Alphabet, match: Match, rows: pa.Table, few: int = FEW):
         self.alphabet, self.match, self.few = alphabet, match, few
@@ -380,10 +367,8 @@ class Block:
         geo = rows.column("geo").to_numpy().astype(np.int64)
         self.rows = Slices(places[:-1], places[1:], places[:-1] + (geo >> 16), (geo >> 8) & 0xFF, geo & 0xFF, np.arange(len(geo)))
         self.key = rows.column("key").to_numpy()
-        self.others = [np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("others")]
         self.rolling = Rolling(self.symbols)
         self.found = np.zeros(len(self.symbols), bool)
-        self.whole = np.zeros(len(self.symbols), bool)
 
     def firsts(self, s: Slices, group: np.ndarray) -> np.ndarray:
         """For each slice the first of its group with the same content; slices come in order."""
@@ -394,36 +379,22 @@ class Block:
         first[later] = np.where(_equal(self.symbols, s, later, first[later]), first[later], later)
         return first
 
-    def ask_themselves(self, s: Slices) -> None:
-        """The windows of each content that its own index finds."""
-        if len(s.beg):
-            symbols, offsets = _gather(self.symbols, s.beg, s.end)
-            own = np.arange(len(s.beg))
-            hit = self.match(symbols, offsets, own, symbols, offsets, own)
-            where = np.repeat(s.beg - offsets[:-1], np.diff(offsets)) + np.arange(len(symbols))
-            self.whole[where[hit]] = True  # contents may overlap
-
     def copy(self, s: Slices, of: Slices) -> None:
-        """What the index of a content finds in it stands earlier in its copies; a row's own place isn't earlier."""
+        """s are equal to earlier contents; a row's own place isn't earlier."""
         n = s.end - s.beg - self.alphabet.width + 1
-        start = lambda x: (self.place[x.row] >> (8 + _ROW_BITS)) + x.beg - self.rows.beg[x.row]
+        start = lambda x: _unplaced(self.place[x.row])[0] + x.beg - self.rows.beg[x.row]
         n = np.where((self.ids[s.row] == self.ids[of.row]) & (start(s) == start(of)), 0, n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.found[np.repeat(s.beg, n) + step] |= self.whole[np.repeat(of.beg, n) + step]
+        self.found[np.repeat(s.beg, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = True
 
     def solve(self) -> None:
         width = self.alphabet.width
         s, group = self.rows, np.unique(self.key, return_inverse=True)[1]
-        told = np.array([len(x) > 0 for x in self.others])
-        copies: list[tuple[Slices, Slices]] = []
-        asked: list[Slices] = [s[told]]
         leaves: list[tuple[Slices, np.ndarray]] = []
         base = 0
         while len(s.beg):
             first = self.firsts(s, group)
             later = np.flatnonzero(first != np.arange(len(first)))
-            copies.append((s[later], s[first[later]]))
-            asked.append(s[np.unique(first[later])])
+            self.copy(s[later], s[first[later]])
             heads = np.flatnonzero(first == np.arange(len(first)))
             s, group = s[heads], group[heads]
             count = np.bincount(group)[group] if len(group) else group
@@ -451,53 +422,24 @@ class Block:
             hit = repeated_windows(self.match, symbols, offsets, group)
             where = np.repeat(s.beg - offsets[:-1], np.diff(offsets)) + np.arange(len(symbols))
             self.found[where[hit]] = True
-        self.answer(asked, copies)
-
-    def answer(self, asked: list[Slices], copies: list[tuple[Slices, Slices]]) -> None:
-        a = Slices(*(np.concatenate([getattr(x, f) for x in asked]) for f in ("beg", "end", "anchor", "lo", "hi", "row")))
-        _, one = np.unique(np.stack([a.beg, a.end]), axis=1, return_index=True)
-        self.ask_themselves(a[one])
-        for s, of in copies:
-            self.copy(s, of)
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """doc_id and mark of the found windows, and of a content's copies."""
-        ids, marks = [], []
-        width, rows = self.alphabet.width, self.rows
-        start0, _, row = _unplaced(self.place)
-
-        def stretches(flags: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """row, offset in its content, windows of each stretch of flags in the rows `of`"""
-            n = np.maximum(0, rows.end - rows.beg - width + 1)[of]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            which = np.repeat(of, n)
-            on = np.flatnonzero(flags[rows.beg[which] + step])
-            which, step = which[on], step[on]
-            new = np.append(True, (step[1:] != step[:-1] + 1) | (which[1:] != which[:-1]))[: len(step)]
-            head = np.flatnonzero(new)
-            return which[head], step[head], np.diff(np.append(head, len(step)))
-
-        which, step, n = stretches(self.found, np.arange(len(self.ids)))
-        at, n, back = _stretches(start0[which] + step, n)
-        ids.append(self.ids[which[back]])
-        marks.append(_place(at, n, row[which[back]]))
-        told = np.array([i for i, x in enumerate(self.others) if len(x)], np.int64)
-        if len(told):
-            which, step, n = stretches(self.whole, told)
-            for i, at, m in zip(which.tolist(), step.tolist(), n.tolist(), strict=True):
-                pairs = self.others[i].reshape(-1, 2)
-                start, _, own = _unplaced(pairs[:, 1])
-                start, k, back = _stretches(start + at, np.full(len(start), m))
-                ids.append(pairs[back, 0])
-                marks.append(_place(start, k, own[back]))
-        return np.concatenate(ids), np.concatenate(marks)
+        """doc_id and mark of each stretch of found windows."""
+        start, _, row = _unplaced(self.place)
+        n = np.maximum(0, self.rows.end - self.rows.beg - self.alphabet.width + 1)
+        step, which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(n)), n)
+        on = np.flatnonzero(self.found[self.rows.beg[which] + step])
+        which, step = which[on], step[on]
+        head = np.flatnonzero(np.append(True, (step[1:] != step[:-1] + 1) | (which[1:] != which[:-1]))[: len(step)])
+        which, at = which[head], start[which[head]] + step[head]
+        at, n, back = _stretches(at, np.diff(np.append(head, len(step))))
+        return self.ids[which[back]], _place(at, n, row[which[back]]) << 1 | REPEATED
 
     def only_copies(self) -> np.ndarray:
         """Marks the copies of whole contents and tells which rows are the first of theirs."""
         first = self.firsts(self.rows, np.unique(self.key, return_inverse=True)[1])
         later = np.flatnonzero(first != np.arange(len(first)))
-        told = np.array([len(x) > 0 for x in self.others])
-        self.answer([self.rows[told], self.rows[np.unique(first[later])]], [(self.rows[later], self.rows[first[later]])])
+        self.copy(self.rows[later], self.rows[first[later]])
         return np.flatnonzero(first == np.arange(len(first)))
 
     def longer_cores(self, which: np.ndarray) -> pa.RecordBatch:
@@ -511,24 +453,23 @@ class Block:
         content = [raw[i:j] for i, j in zip(self.starts[s.beg].tolist(), self.ends[s.end - 1].tolist(), strict=True)]
         key = s.cores(self.rolling, self.alphabet.width).view(np.int64)
         columns = [pa.array(x) for x in (key, self.ids[s.row], place, s.geo())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary()), pa.array([b""] * len(content), pa.binary())], _NAMES)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], _NAMES)
 
 
 def _in_blocks(alphabet: Alphabet, match: Match, index_bytes: int, group_bytes: int, few: int):
-    """Marks (doc_id, place; key is null) of what repeats, and rows for a further round, from rows in the order of
+    """Marks (doc_id, mark as place; key is null) of what repeats, and rows for a further round, from rows in the order of
     key, doc_id, place."""
 
     def out(ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
         n = len(ids)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.array(ids.astype(np.int64)), pa.array(marks.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _NAMES
+            [pa.nulls(n, pa.int64()), pa.array(ids.astype(np.int64)), pa.array(marks.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _NAMES
         )
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key = t.column("key").to_numpy()
         new = np.append(True, key[1:] != key[:-1])
-        told = pa.compute.binary_length(t.column("others")).to_numpy() > 0
-        t = t.filter(pa.array(~new | ~np.append(new[1:], True) | told))  # without those that meet nothing
+        t = t.filter(pa.array(~new | ~np.append(new[1:], True)))  # without those that meet nothing
         if t.num_rows:
             b = Block(alphabet, match, t, few)
             b.solve()
@@ -568,8 +509,7 @@ def _in_blocks(alphabet: Alphabet, match: Match, index_bytes: int, group_bytes:
                 if t.nbytes > group_bytes:  # all of one group
                     b, firsts, found = without_copies(t)
                     yield found
-                    left = t.take(pa.array(firsts))
-                    left = left.set_column(5, "others", pa.array([b""] * left.num_rows, pa.binary())).combine_chunks()
+                    left = t.take(pa.array(firsts)).combine_chunks()
                     geo = int(b.rows.hi[0] - b.rows.lo[0])
                     if geo and (beyond is not None or left.nbytes * 2 > group_bytes):
                         beyond = int(b.key[0])
@@ -592,34 +532,36 @@ def _in_blocks(alphabet: Alphabet, match: Match, index_bytes: int, group_bytes:
 def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable, schema: str, index_bytes: int = INDEX_BYTES, group_bytes: int = GROUP_BYTES, few: int = FEW) -> DataFrame:
     """finish(bytes, symbol starts, symbol ends, covered) gives the columns after doc_id of one document;
     covered tells which symbols a window covers that also starts earlier."""
-    key = ["doc_id", F.col("place").bitwiseAND((1 << _ROW_BITS) - 1).alias("row")]
-    lists = lambda df: df.groupBy(*key).agg(F.collect_list("place").alias("marks"))
-    # rows that are known to repeat may go anywhere
-    where = F.when(F.col("times") == 0, F.xxhash64("doc_id", "place")).otherwise(F.col("a"))
-    rows = _keyed(docs).mapInArrow(_rows(alphabet), _ROWS).repartition(where).sortWithinPartitions(F.col("times") > 0, "a")
-    candidates = settle(lists(rows.mapInArrow(_candidates, "doc_id long, place long")))
+    key = ["doc_id", F.shiftright("mark", 1).bitwiseAND((1 << _ROW_BITS) - 1).alias("row")]
+    lists = lambda df: df.groupBy(*key).agg(F.collect_list("mark").alias("marks"))
+    # what is known to repeat may go anywhere
+    where = F.when(F.col("known"), F.xxhash64("doc_id", "place")).otherwise(F.col("a"))
+    rows = _keyed(docs).mapInArrow(_rows(alphabet), _ROWS).repartition(where).sortWithinPartitions("known", "a", "s", "doc_id", "place")
+    first = settle(lists(rows.mapInArrow(_marks, "doc_id long, mark long")))
     texts = sealed(docs)
-    todo = texts.join(candidates, ["doc_id", "row"]).select("doc_id", "row", "z", "marks").mapInArrow(_contents(alphabet), _BLOCK)
+    partly = first.where(F.exists("marks", lambda m: m.bitwiseAND(1) == PARTLY))
+    todo = texts.join(partly, ["doc_id", "row"]).select("doc_id", "row", "z", "marks").mapInArrow(_contents(alphabet), _BLOCK)
     found = None
     while True:
         blocks = todo.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_in_blocks(alphabet, match, index_bytes, group_bytes, few), _BLOCK)
         blocks = settle(blocks)
-        marks = blocks.where("key IS NULL").select("doc_id", "place")
+        marks = blocks.where("key IS NULL").select("doc_id", F.col("place").alias("mark"))
         found = marks if found is None else found.unionAll(marks)
         todo = blocks.where("key IS NOT NULL")
         if todo.isEmpty():
             break
+    second = lists(found).select("doc_id", "row", F.col("marks").alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, out = b.column(2), []
+            lists, out = (b.column(2), b.column(3)), []
             for first, end, data, offsets in _opened(b.column(1)):
                 _, places, starts, ends = alphabet.symbols(data, offsets)
                 for i in range(first, end):
                     s, e = places[i - first], places[i - first + 1]
                     step = np.zeros(e - s + 1, np.int64)
-                    if lists[i].is_valid:
-                        start, n, _ = _unplaced(lists[i].values.to_numpy())
+                    for marks in (x[i].values.to_numpy() for x in lists if x[i].is_valid):
+                        start, n, _ = _unplaced(marks[(marks & 1) == REPEATED] >> 1)
                         np.add.at(step, start, 1)
                         np.add.at(step, start + n - 1 + alphabet.width, -1)
                     o = offsets[i - first]
@@ -630,5 +572,5 @@ def marked(docs: DataFrame, alphabet: Alphabet, match: Match, finish: Callable,
 
     fields = [x.split() for x in schema.split(",")]
     names, types = ["doc_id", *[f[0] for f in fields]], [{"long": pa.int64(), "string": pa.string()}[f[1]] for f in fields]
-    joined = texts.join(lists(found), ["doc_id", "row"], "left").select("doc_id", "z", "marks")
+    joined = texts.join(first, ["doc_id", "row"], "left").join(second, ["doc_id", "row"], "left").select("doc_id", "z", "marks", "more")
     return joined.mapInArrow(run, f"doc_id long, {schema}")

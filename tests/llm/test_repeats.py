@@ -121,18 +121,6 @@ def test_run_length_index(texts, query):
         assert n == 0 or text[p : p + n].tolist() == query[i : i + n]
 
 
-@pytest.mark.parametrize("module", [rlz, run_index])
-def test_only_the_index_marks(spark, module):
-    """Hashes say what meets; without the index nothing is removed."""
-    df = spark.createDataFrame(collection(5), "doc_id long, text string")
-    schema = "n long, n_removed long, sha string" if module is rlz else "n long, n_removed long, n_spans long, sha string"
-    with_index = repeats.marked(df, module.ALPHABET, module.match, module._finish, schema)
-    nothing = lambda ref, ref_offsets, ref_group, symbols, offsets, group: symbols != symbols
-    without = repeats.marked(df, module.ALPHABET, nothing, module._finish, schema)
-    assert sum(r["n_removed"] for r in with_index.collect()) > 1000
-    assert sum(r["n_removed"] for r in without.collect()) == 0
-
-
 @given(st.lists(st.tuples(st.integers(0, 1), st.lists(st.integers(1, 3), max_size=9)), min_size=1, max_size=5), st.lists(st.integers(1, 4), min_size=1, max_size=15), st.integers(0, 1))
 @settings(max_examples=200, deadline=None)
 def test_longest_factors(texts, query, own):
