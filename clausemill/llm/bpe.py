@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 1 << 15
 #: After a piece of the split pattern: the two letters of a contraction and the end of a run.
 LOOKAHEAD_CHARS = 3
-#: A piece that is still open and longer than this is encoded while it arrives.
+#: A piece that is still open and longer than this is encoded while it arrives; a longer one isn't remembered.
 LONG_PIECE = 512
 #: Entries of each of the two generations of known pieces.
 CACHE = 300_000
@@ -91,20 +91,17 @@ class Vocabulary:
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
 
-    def pieces(self, text: str) -> list[int]:
-        """Ids of a text that is split as a whole."""
-        return list(chain.from_iterable(map(self.piece, split(text))))
-
     def piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a final piece: what a run emits for it. Those of short pieces are remembered."""
         found = self.known.get(piece)
         if found is None:
             found = self.before.get(piece)
             if found is None:
+                run = Run(self)
                 data = piece.encode()
+                found = tuple(map(self.same.__getitem__, (*run.push(data), *run.finish())))
                 if len(data) > LONG_PIECE:
-                    run = Run(self)
-                    return (*run.push(data), *run.finish())
-                found = tuple(map(self.same.__getitem__, self.merged(data)))
+                    return found
             if len(self.known) >= CACHE:
                 self.before, self.known = self.known, {}
             self.known[piece] = found
@@ -244,7 +241,7 @@ class Encoder:
             out = self.run.push(self.tail.encode()) + self.run.finish()
             self.run, self.tail = None, ""
             return out
-        out, self.tail = self.v.pieces(self.tail), ""
+        out, self.tail = list(chain.from_iterable(map(self.v.piece, split(self.tail)))), ""
         return out
 
 
@@ -262,15 +259,13 @@ class Decoder:
 
 
 def encode(vocabulary: Vocabulary, text: str) -> Iterator[list[int]]:
-    """Blocks of ids. The strings of added tokens are those tokens, as in the library."""
+    """Blocks of ids, each as soon as it is final. Every text goes through feed and finish, whatever its length. The
+    strings of added tokens are those tokens, as in the library."""
     at = 0
     cuts = vocabulary.find_special.finditer(text) if vocabulary.find_special else ()
     for m in [*cuts, None]:
         part = text[at : m.start() if m else len(text)] if at or m else text
-        if len(part) <= BLOCK_CHARS:
-            if part:
-                yield vocabulary.pieces(part)
-        else:
+        if part:
             e = Encoder(vocabulary)
             for i in range(0, len(part), BLOCK_CHARS):
                 yield e.feed(part[i : i + BLOCK_CHARS])
@@ -289,7 +284,8 @@ def vocabulary(path: str) -> Vocabulary:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs; null texts count as empty.
 
-    Ids and text are hashed block by block, so a text of any length needs no more memory than its own.
+    Rows that repeat an id are encoded each by itself, null ids included; an empty table gives no rows. Only doc_id and
+    text are read, so others may have any names. Ids and text are hashed block by block, so a text of any length needs no more memory than its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

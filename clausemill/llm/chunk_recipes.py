@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_blocks
+from .common import beside, settle, text_blocks
 
 WINDOW = 32
 MEAN_CHUNK_BITS = 10
@@ -95,10 +95,11 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         recipe, sha = [], []
-        for _, text, parts in _chunks(batch.column(1)):
+        for _, text, parts in _chunks(batch.column(2)):
             recipe.append(b"".join(xxhash.xxh3_128_digest(text[a:b]) for a, b in parts))
             sha.append(hashlib.sha256(text).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(recipe, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "recipe", "text_sha256"])
+        columns = [batch.column(0), batch.column(1), pa.array(recipe, pa.binary()), pa.array(sha, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "raw", "recipe", "text_sha256"])
 
 
 def clashing_identifiers(docs: DataFrame) -> DataFrame:
@@ -115,10 +116,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat an id and a text count as copies of which one stays. An empty table gives no rows.
     Only the two named columns are read, so others may have any names.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _judged(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """exact_duplicates with raw, a hash of the text as it is."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")
     recipes = settle(
-        docs.mapInArrow(_recipes, f"doc_id {kind}, recipe binary, text_sha256 string").withColumn("uid", F.monotonically_increasing_id())
+        rows.mapInArrow(_recipes, f"doc_id {kind}, raw long, recipe binary, text_sha256 string").withColumn("uid", F.monotonically_increasing_id())
     )
     # An identifier is good if all chunks that bear it are the same; were one not, the digest of the
     # whole text would tell those documents apart.
@@ -132,20 +139,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("first").isNull() | (F.col("first.uid") == F.col("uid"))).alias("kept"),
         "text_sha256",
+        "raw",
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_duplicates drops, columns unchanged. Of rows that repeat an id and a
-    text, null ids included, one stays."""
-    key = ["__none", "__doc", "__text"]
-    named = lambda doc, text: [doc.isNull().alias("__none"), F.coalesce(doc.cast("string"), F.lit("")).alias("__doc"), text.alias("__text")]
-    kept = exact_duplicates(docs).where("kept").select(*named(F.col("doc_id"), F.col("text_sha256")))
-    mine = docs.select(F.struct("*").alias("__row"), *named(F.col("doc_id"), F.sha2(_collapsed(F.col("text")), 256)))
-    # the join deals and sorts by the key already; a group has the copies of one id only
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("__text"))
-    return mine.join(kept, key, "left_semi").withColumn("__n", nth).where("__n = 1").select("__row.*")
-
-
-def _collapsed(text):
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary")
+    text, null ids included, one stays. Texts don't move: what goes is told by the id and a hash of the text, and only
+    rows that repeat both meet each other."""
+    of_key = _judged(docs, "doc_id", "text").groupBy("doc_id", "raw").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    touched = beside(of_key.where("NOT kept OR n > 1").select(F.col("doc_id").alias("__of"), F.col("raw").alias("__raw_of"), F.col("kept").alias("__kept")))
+    mine = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__raw"))
+    same = F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__raw") == F.col("__raw_of"))
+    alone = mine.join(touched, same, "left_anti").select("__row.*")
+    # rows that repeat an id and a text that stays: one of each such key
+    again = mine.join(touched.where("__kept"), same, "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__doc", "__raw").orderBy("__raw"))
+    return alone.unionAll(again.withColumn("__n", nth).where("__n = 1").select("__row.*"))

@@ -21,15 +21,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write df once to the cluster's checkpoint folder and go on from there.
 
-    The folder is the one spark.checkpoint.dir names; only where it is unset (tests, one machine)
-    a temporary one is made.
+    The folder is the one spark.checkpoint.dir names. Where that is unset, a local session (tests, one machine) gets a
+    temporary one; a cluster's executors couldn't share it, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="clausemill-"))
     return df.checkpoint(eager=True)
 
 
+def beside(df: DataFrame, values: Column | None = None, bound: int = 500_000) -> DataFrame:
+    """df settled, and marked for a broadcast only if its rows (or the sum of values) have been counted and are at most
+    bound; beyond that it is joined by a shuffle. Rows have fixed-width columns, or arrays that values counts."""
+    df = settle(df)
+    counted = df.agg(F.coalesce(F.sum(F.lit(1) if values is None else values), F.lit(0))).first()[0]
+    return F.broadcast(df) if counted <= bound else df
+
+
 def fold_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; null ids count as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import beside
+
 #: The patterns of the base findings and the least length of what they must match.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -96,8 +98,9 @@ def link(parts: DataFrame, scope: int = SCOPE, carry: tuple[str, ...] = ("doc_id
 def scan(docs: DataFrame, scope: int = SCOPE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """uid, the columns to carry, spans array<struct<start, kind, end>> in order, one row for each row of docs.
 
-    Null and empty texts have no spans. Rows that repeat an id are scanned each by itself. Only doc_id and
-    text are read.
+    Null and empty texts have no spans. Rows that repeat an id are scanned each by itself. Parts that start together
+    are in the order of their kinds. A text of any length is scanned whole; its parts are one partition of a window. An
+    empty table gives no rows. Only doc_id and text are read.
     """
     spans = F.array_sort(F.filter(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))), lambda x: x.isNotNull()))
     return link(find_parts(docs, carry), scope, carry).groupBy("uid", *carry).agg(spans.alias("spans"))
@@ -118,10 +121,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs(doc_id, text, n_chars, ...) with every reported span replaced by the mask and n_chars anew, other
-    columns as they were. Spans that overlap are replaced as one."""
+    columns as they were. Spans that overlap are replaced as one. Null texts stay null; rows that repeat an id and a text
+    get the same text; an empty table gives no rows. docs needs doc_id and text."""
     mine = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("content"))
     spans = scan(mine.select("doc_id", "text", "content"), carry=("doc_id", "content")).where(F.size("spans") > 0)
     spans = spans.select(F.col("doc_id").alias("of"), F.col("content").alias("of_content"), "spans").dropDuplicates(["of", "of_content"])
+    spans = beside(spans, F.size("spans") + 1)  # so that texts needn't move
     joined = mine.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("content") == F.col("of_content")), "left")
     text = F.col("text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))

@@ -274,11 +274,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_print = settle(member.join(smallest, "component").select("fp", "component_id"))
     # two plain tables: a fingerprint with a large share of the rows is split by the adaptive join
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id; columns unchanged. Rows
-    without an id stay."""
-    ids = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(ids, docs["doc_id"] == F.col("__gone"), "left_anti")
-

@@ -71,3 +71,23 @@ def test_nulls_empties_and_other_columns(spark):
     back = bpe.texts(bpe.token_ids(docs, PATH), PATH).collect()
     assert [r.text for r in back] == ["a b", "a b", "", ""]
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_every_text_is_fed(monkeypatch):
+    """Short or long, all characters go through the transducer."""
+    fed = []
+    feed = bpe.Encoder.feed
+    monkeypatch.setattr(bpe.Encoder, "feed", lambda self, text: (fed.append(len(text)), feed(self, text))[1])
+    for text in ("a", "two words", "x" * 700, "word " * 20_000):
+        fed.clear()
+        assert ids(text) == T.encode(text, add_special_tokens=False).ids
+        assert sum(fed) == len(text) and max(fed) <= bpe.BLOCK_CHARS
+
+
+def test_memory_is_constant_on_a_text_without_end():
+    """What the encoder holds doesn't grow while 5 MB go through."""
+    e, block, most = bpe.Encoder(V), "a run that goes on and on, word by word. " * 250 + "z" * 2000, 0
+    for _ in range(100_000_000 // len(block) // 20):
+        e.feed(block)
+        most = max(most, len(e.tail) + (len(e.run.data) if e.run else 0))
+    assert most < 4 * V.lookahead + bpe.LONG_PIECE

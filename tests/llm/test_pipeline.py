@@ -12,8 +12,8 @@ from clausemill.llm.common import fold_remainder
 sys.path.insert(0, os.path.dirname(__file__))
 import test_chunk_recipes
 import test_credentials
+import test_near_copies
 import test_packing
-import test_simhash
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -39,7 +39,8 @@ def test_stages(spark, tmp_path):
     scored = langid.predict(everything, langid.fit(everything.where(fold_remainder(F.col("doc_id"), 4) != 2))).collect()
     assert set(kept[0]) == {r.doc_id for r in scored if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
     assert set(kept[1]) == {x[1] for x in test_chunk_recipes.brute(list(kept[0].items()))}
-    assert set(kept[2]) == {c for _, c in test_simhash.brute(list(kept[1].items())).values()}
+    before_near = list(kept[1].items())
+    assert set(kept[2]) == test_near_copies.firsts([i for i, _ in before_near], test_near_copies.near_pairs(before_near))
     assert kept[3] == {i: masked(t) for i, t in kept[2].items()}
     assert kept[3] != kept[2] and len(kept[2]) < len(kept[0])
     test_packing.check(list(kept[3].items()), docs.collect())
