@@ -33,17 +33,20 @@ def search_text(text: str = "text", heading: str = "heading", number: str = "cla
 def bm25(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, chunk_id, score > 0 for corpus(chunk_id, content) and the words of all terms of a query.
 
-    Frequencies are counted for each chunk before anything moves; statistics take the whole corpus; only
-    words that are asked for go on to the scores.
+    Statistics take the whole corpus, as partial counts for each word; frequencies are counted inside the chunks' rows
+    and only for words that are asked for, so the corpus isn't shuffled.
     """
     words = corpus.select("chunk_id", tokens(F.col("content")).alias("words")).select("chunk_id", F.size("words").alias("dl"), "words")
-    tf = words.select("chunk_id", "dl", F.explode("words").alias("word")).groupBy("chunk_id", "dl", "word").agg(F.count("*").alias("tf"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     size = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("word", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
     mean = idf.agg(F.avg("idf").alias("mean"))
     asked = terms.select("query_id", F.explode(tokens(F.col("term"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
     weights = asked.join(idf, "word").crossJoin(F.broadcast(mean)).select("query_id", "word", "avgdl", (F.col("times") * F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))).alias("w"))
+    # the batch's words, one row; frequencies are counted inside each row, and only for these words
+    wanted = asked.agg(F.collect_set("word").alias("wanted"))
+    held = words.crossJoin(F.broadcast(wanted)).select("chunk_id", "dl", F.filter("words", lambda w: F.array_contains("wanted", w)).alias("held"))
+    tf = held.select("chunk_id", "dl", "held", F.explode(F.array_distinct("held")).alias("word")).select("chunk_id", "dl", "word", F.size(F.filter("held", lambda w: w == F.col("word"))).alias("tf"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(weights, "word").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
@@ -78,11 +81,21 @@ def heading_first(chunks: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def trigram(chunks: DataFrame, terms: DataFrame, threshold: float = TRIGRAM_THRESHOLD, chars: int = 2000) -> DataFrame:
-    """query_id, term_pos, chunk_id, score: similarity to heading and number or to the text's start."""
-    c = chunks.select(F.col("id").alias("chunk_id"), trigrams(F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("clause_number", F.lit("")))).alias("head"), trigrams(F.substring("text", 1, chars)).alias("body"))
-    t = terms.select("query_id", "term_pos", trigrams(F.col("term")).alias("grams"))
-    score = F.greatest(overlap(F.col("head"), F.col("grams")), overlap(F.col("body"), F.col("grams")))
-    return c.crossJoin(F.broadcast(t)).select("query_id", "term_pos", "chunk_id", score.alias("score")).where(F.col("score") >= threshold)
+    """query_id, term_pos, chunk_id, score: similarity to heading and number or to the text's start.
+
+    A chunk's trigrams meet those of the whole batch once; only common ones are counted for each term, and the union's
+    size follows from the sizes.
+    """
+    head = trigrams(F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("clause_number", F.lit(""))))
+    c = chunks.select(F.col("id").alias("chunk_id"), F.explode(F.array(head, trigrams(F.substring("text", 1, chars)))).alias("grams"))
+    t = terms.select("query_id", "term_pos", trigrams(F.col("term")).alias("asked"))
+    asked = t.agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("all"))  # one row
+    met = c.crossJoin(F.broadcast(asked)).select("chunk_id", F.size("grams").alias("n"), F.array_intersect("grams", "all").alias("met")).where(F.size("met") > 0)
+    each = met.withColumn("side", F.monotonically_increasing_id()).select("chunk_id", "side", "n", F.explode("met").alias("gram"))
+    wanted = t.select("query_id", "term_pos", F.size("asked").alias("m"), F.explode("asked").alias("gram"))
+    hits = each.join(wanted, "gram").groupBy("query_id", "term_pos", "chunk_id", "side", "n", "m").agg(F.count("*").alias("hits"))
+    score = F.max(F.col("hits") / (F.col("n") + F.col("m") - F.col("hits")))
+    return hits.groupBy("query_id", "term_pos", "chunk_id").agg(score.alias("score")).where(F.col("score") >= threshold)
 
 
 def fuzzy(corpus: DataFrame, terms: DataFrame, least: float) -> DataFrame:

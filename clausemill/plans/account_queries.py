@@ -170,7 +170,7 @@ def _(v):
     return v.redemptions.agg(F.count("*").alias("total"), F.count_if(F.col("is_active") & ~F.col("expired")).alias("active"), F.count_if("expired").alias("expired"))
 
 
-_JOINERS = "(SELECT id, (id + 3) % 60 AS user_id, concat(CASE WHEN id % 2 = 0 THEN 'join' ELSE 'JOIN' END, CAST(id % 5 AS VARCHAR)) AS code, ts FROM redemption_attempts WHERE id < 57)"
+_JOINERS = "(SELECT id, (id + 3) % 60 AS user_id, concat(CASE WHEN id % 2 = 0 THEN 'join' ELSE 'JOIN' END, CAST(id % 5 AS VARCHAR)) AS code, ts FROM redemption_attempts)"
 
 
 @query("B15_join_company", f"""WITH seats AS (SELECT * FROM memberships WHERE status = 'active'), used AS (SELECT company_id, count(*) AS used FROM seats GROUP BY company_id),
@@ -180,7 +180,7 @@ _JOINERS = "(SELECT id, (id + 3) % 60 AS user_id, concat(CASE WHEN id % 2 = 0 TH
       FROM {_JOINERS} t LEFT JOIN companies c ON upper(c.join_code) = upper(trim(t.code)) LEFT JOIN used ON used.company_id = c.id)
     SELECT id, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY company_id, early IS NULL ORDER BY ts, id) + used > max_seats THEN 'no_seats' ELSE 'joined' END) AS outcome FROM j""")
 def _(v):
-    t = v.redemption_attempts.where("id < 57").select("id", ((F.col("id") + 3) % 60).alias("user_id"), F.concat(F.when(F.col("id") % 2 == 0, "join").otherwise("JOIN"), (F.col("id") % 5).cast("string")).alias("code"), "ts")
+    t = v.redemption_attempts.select("id", ((F.col("id") + 3) % 60).alias("user_id"), F.concat(F.when(F.col("id") % 2 == 0, "join").otherwise("JOIN"), (F.col("id") % 5).cast("string")).alias("code"), "ts")
     return a.join_companies(t, v.companies, v.memberships)
 
 

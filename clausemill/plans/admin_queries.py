@@ -239,9 +239,9 @@ def _(v):
     return v.tables.where("document_id IN (1, 2)").select("id", "table_number").orderBy("table_number", "id")
 
 
-@query("S7_fetch_in_order", "SELECT c.id, r.rank, c.heading FROM chunks c JOIN (SELECT id * 7 % 400 AS id, id AS rank FROM chunks WHERE id < 40) r USING (id) ORDER BY r.rank")
+@query("S7_fetch_in_order", "SELECT c.id, r.rank, c.heading FROM chunks c JOIN (SELECT id + 7 AS id, id AS rank FROM chunks WHERE id % 50 = 0) r USING (id) ORDER BY r.rank")
 def _(v):
-    wanted = v.chunks.where("id < 40").select((F.col("id") * 7 % 400).alias("id"), F.col("id").alias("rank"))
+    wanted = v.chunks.where("id % 50 = 0").select((F.col("id") + 7).alias("id"), F.col("id").alias("rank"))
     return v.chunks.select("id", "heading").join(wanted, "id").select("id", "rank", "heading").orderBy("rank")
 
 
@@ -305,12 +305,12 @@ def _(v):
     return upserted(old, new, ["chunk_id"])
 
 
-@query("U2_retry_merge", "SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY src, r, chunk_id))::INT AS rank FROM (SELECT query_id, chunk_id, min(src) AS src, arg_min(r, src) AS r FROM (SELECT id % 4 AS query_id, id AS chunk_id, 0 AS src, id AS r FROM chunks WHERE id % 6 = 0 UNION ALL SELECT id % 4, id, 1, 1000 - id FROM chunks WHERE id % 4 < 3 AND id < 300) GROUP BY query_id, chunk_id)) WHERE rank <= 30")
+@query("U2_retry_merge", "SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY src, r, chunk_id))::INT AS rank FROM (SELECT query_id, chunk_id, min(src) AS src, arg_min(r, src) AS r FROM (SELECT id % 4 AS query_id, id AS chunk_id, 0 AS src, id AS r FROM chunks WHERE id % 6 = 0 UNION ALL SELECT id % 4, id, 1, 1000000000 - id FROM chunks WHERE id % 4 < 3) GROUP BY query_id, chunk_id)) WHERE rank <= 30")
 def _(v):
     from clausemill.operators.fusion import merge_lists
 
     second = v.chunks.where("id % 6 = 0").select((F.col("id") % 4).alias("query_id"), F.col("id").alias("chunk_id"), F.col("id").alias("rank"))
-    first = v.chunks.where("id % 4 < 3 AND id < 300").select((F.col("id") % 4).alias("query_id"), F.col("id").alias("chunk_id"), (1000 - F.col("id")).alias("rank"))
+    first = v.chunks.where("id % 4 < 3").select((F.col("id") % 4).alias("query_id"), F.col("id").alias("chunk_id"), (1000000000 - F.col("id")).alias("rank"))
     return merge_lists([second, first], 30)
 
 

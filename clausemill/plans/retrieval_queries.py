@@ -133,7 +133,7 @@ def _gram_sql(x: str) -> str:
 
 
 _OV = lambda a, b: f"(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))))"
-_TRIG = f"""g AS (SELECT id, {_gram_sql("heading || ' ' || clause_number")} AS head, {_gram_sql("substring(text, 1, 200)")} AS body FROM chunks),
+_TRIG = f"""g AS (SELECT id, {_gram_sql("heading || ' ' || clause_number")} AS head, {_gram_sql("substring(text, 1, 2000)")} AS body FROM chunks),
     tg AS (SELECT query_id, term_pos, {_gram_sql("term")} AS gr FROM {_TERMS} WHERE term <> ''),
     ts AS (SELECT query_id, term_pos, id AS chunk_id, greatest({_OV("head", "gr")}, {_OV("body", "gr")}) AS score FROM g, tg)"""
 
@@ -156,7 +156,7 @@ def _(v):
 
 _HF = f"""hs AS (SELECT query_id, term_pos, id AS chunk_id, CASE WHEN lower(clause_number) = lower(term) THEN 100 WHEN lower(clause_number) LIKE lower(term) || '.%' THEN 95 WHEN lower(term) LIKE lower(clause_number) || '.%' THEN 90
     WHEN lower(heading) LIKE '%' || lower(term) || '%' THEN 80 WHEN lower(substring(text, 1, 200)) LIKE '%' || lower(term) || '%' THEN 20 ELSE 0 END AS score FROM chunks JOIN {_T2} t ON term <> '')"""
-_CONCAT = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id, term_pos ORDER BY score DESC, chunk_id) AS tr FROM hs WHERE score > 0), f AS (SELECT query_id, chunk_id, min({'p': term_pos, 'r': tr}) AS at FROM r WHERE tr <= 40 GROUP BY query_id, chunk_id), l AS (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY at, chunk_id))::INT AS rank FROM f)"
+_CONCAT = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id, term_pos ORDER BY score DESC, chunk_id) AS tr FROM hs WHERE score > 0), f AS (SELECT query_id, chunk_id, min({'p': term_pos, 'r': tr}) AS seen FROM r WHERE tr <= 40 GROUP BY query_id, chunk_id), l AS (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY seen, chunk_id))::INT AS rank FROM f)"
 
 
 def _per_term(v):
@@ -215,12 +215,12 @@ def _(v):
     return _signals(v).where("rank <= 10").join(text, "chunk_id").select("query_id", "signal", "rank", "chunk_id", "preview")
 
 
-_MERGE = "(SELECT query_id, chunk_id, min({'s': src, 'r': r}) AS at FROM ({u}) GROUP BY query_id, chunk_id)"
+_MERGE = "(SELECT query_id, chunk_id, min({'s': src, 'r': r}) AS seen FROM ({u}) GROUP BY query_id, chunk_id)"
 
 
 def _merge_sql(lists: list[str], limit: int) -> str:
     u = " UNION ALL ".join(f"SELECT query_id, chunk_id, {i} AS src, rank AS r FROM ({x})" for i, x in enumerate(lists))
-    return f"SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY at, chunk_id))::INT AS rank FROM {_MERGE.replace('{u}', u)}) WHERE rank <= {limit}"
+    return f"SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY seen, chunk_id))::INT AS rank FROM {_MERGE.replace('{u}', u)}) WHERE rank <= {limit}"
 
 
 for _name, _lists, _limit in (
@@ -292,7 +292,7 @@ def _(v):
 _NUM = f"(SELECT query_id, unnest(range(len(ns))) AS tier, unnest(ns) AS n FROM (SELECT query_id, regexp_extract_all(lower(phrase), '(?:clause\\s+)?(\\d+(?:\\.\\d+)*)', 1) AS ns FROM {_ASKED}))"
 
 
-@query("R14_clause_number_search", f"WITH h AS (SELECT query_id, tier, id FROM {_NUM} JOIN chunks ON contains(lower(concat(clause_number, ' ', substring(text, 1, 200))), n)) SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM h) WHERE tier = best) WHERE k <= 10")
+@query("R14_clause_number_search", f"WITH h AS (SELECT query_id, tier, id FROM {_NUM} JOIN chunks ON contains(lower(text), n)) SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM h) WHERE tier = best) WHERE k <= 10")
 def _(v):
     n = _phrases(v).select("query_id", F.posexplode(retrieval.clause_numbers(F.col("phrase"))).alias("tier", "n"))
     h = v.chunks.select("id", F.lower("text").alias("t")).crossJoin(F.broadcast(n)).where(F.contains("t", "n"))
@@ -376,12 +376,12 @@ def _(v):
     return c.select("id", retrieval.catalog_line(F.col("clause_number"), F.col("heading"), F.lit(None).cast("string")).alias("line"))
 
 
-_ATTEMPT = "(SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'partial' ELSE 'clear' END AS c1, value AS f1, event_id % 7 AS n1, CASE event_id % 3 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'partial' ELSE 'clear' END AS c2, value * (event_id % 3) AS f2, event_id % 5 AS n2 FROM events WHERE event_id < 400)"
+_ATTEMPT = "(SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'partial' ELSE 'clear' END AS c1, value AS f1, event_id % 7 AS n1, CASE event_id % 3 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'partial' ELSE 'clear' END AS c2, value * (event_id % 3) AS f2, event_id % 5 AS n2 FROM events)"
 
 
 def _attempts(v):
     conclusion = lambda m: F.when(F.col("event_id") % m == 0, "insufficient").when(F.col("event_id") % m == 1, "partial").otherwise("clear")
-    return v.events.where("event_id < 400").select(F.col("event_id").alias("id"), conclusion(4).alias("c1"), F.col("value").alias("f1"), (F.col("event_id") % 7).alias("n1"), conclusion(3).alias("c2"), (F.col("value") * (F.col("event_id") % 3)).alias("f2"), (F.col("event_id") % 5).alias("n2"))
+    return v.events.select(F.col("event_id").alias("id"), conclusion(4).alias("c1"), F.col("value").alias("f1"), (F.col("event_id") % 7).alias("n1"), conclusion(3).alias("c2"), (F.col("value") * (F.col("event_id") % 3)).alias("f2"), (F.col("event_id") % 5).alias("n2"))
 
 
 @query("R26_better_answer", f"SELECT id, CASE WHEN {{'a': (c2 <> 'insufficient')::INT, 'b': f2, 'c': n2}} > {{'a': (c1 <> 'insufficient')::INT, 'b': f1, 'c': n1}} THEN 2 ELSE 1 END AS chosen FROM {_ATTEMPT}")
@@ -402,7 +402,7 @@ def _(v):
     return v.queries.select("query_id", F.array_join(F.array_distinct(F.concat(F.array("heading1", "heading2"), F.array("term1"), F.array("heading1"))), "|").alias("headings"))
 
 
-@query("R28_text_builders", "SELECT id, concat_ws(' ', nullif(text, ''), nullif(heading, ''), nullif(clause_number, '')) AS search_text, concat_ws(chr(10), nullif(clause_number, ''), nullif(heading, ''), nullif(text, '')) AS embed_text FROM chunks WHERE id < 200")
+@query("R28_text_builders", "SELECT id, concat_ws(' ', nullif(text, ''), nullif(heading, ''), nullif(clause_number, '')) AS search_text, concat_ws(chr(10), nullif(clause_number, ''), nullif(heading, ''), nullif(text, '')) AS embed_text FROM chunks")
 def _(v):
     return v.chunks.select("id", retrieval.search_text().alias("search_text"), joined(F.col("clause_number"), F.col("heading"), F.col("text"), separator="\n").alias("embed_text"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-02-01 00:00:00"
+#: Questions of a batch, the feature of the retrieval queries: each question of a batch meets all chunks.
+QUESTIONS = 8
 
 VIEWS: dict[str, str] = {
     "chunks": """
@@ -22,7 +24,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN doc_id % 23 = 0 THEN '{"is_table": true}' ELSE '{"k": 1}' END AS metadata
         FROM documents""",
     "docs": """
-        SELECT k AS id, k % 10 AS user_id, CASE WHEN k % 3 = 0 THEN k % 4 END AS company_id, k % 7 = 0 AS is_shared_library,
+        SELECT k AS id, k % 10 AS user_id, CASE WHEN k % 3 = 0 THEN k % 25 END AS company_id, k % 7 = 0 AS is_shared_library,
                CASE WHEN k % 11 = 0 THEN 'pdf_processing' WHEN k % 13 = 0 THEN 'pending_admin_review' ELSE 'ready_for_search' END AS status,
                concat('file', CAST(k % 17 AS STRING), '.pdf') AS filename, (k % 17) * 1000 + k % 2 AS file_size,
                concat('src', CAST(k % 20 AS STRING)) AS codebook,
@@ -34,33 +36,33 @@ VIEWS: dict[str, str] = {
                n AS chunk_count, n AS refined_chunk_count
         FROM (SELECT doc_id % 50 AS k, count(*) AS n FROM documents GROUP BY doc_id % 50) t""",
     "companies": """
-        SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE n_nationkey WHEN 0 THEN 'active' WHEN 1 THEN 'pending' WHEN 2 THEN 'active' ELSE 'inactive' END AS status,
+        SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'pending' WHEN 2 THEN 'active' ELSE 'inactive' END AS status,
                CAST(n_nationkey + 1 AS BIGINT) AS owner_user_id, CAST(3 + n_nationkey * 20 AS BIGINT) AS max_seats, concat('JOIN', CAST(n_nationkey AS STRING)) AS join_code,
                CAST(n_nationkey % 2 AS BIGINT) AS partner_id, CASE WHEN n_nationkey = 1 THEN 'sub1' END AS subscription_id,
                CAST(DATE '2024-01-10' + CAST(n_nationkey * 4 AS INT) AS TIMESTAMP) AS created_at
-        FROM nation WHERE n_nationkey < 4""",
+        FROM nation""",
     "memberships": """
-        SELECT min(c_custkey) AS id, CAST(c_nationkey % 4 AS BIGINT) AS company_id, c_custkey % 10 AS user_id,
-               CASE WHEN min(c_custkey) % 5 = 0 THEN 'removed' ELSE 'active' END AS status, CASE WHEN min(c_custkey) % 3 = 0 THEN 'owner' ELSE 'member' END AS role,
-               CASE WHEN min(c_custkey) % 4 <> 1 THEN CAST(DATE '2024-01-01' + CAST(min(c_custkey) % 25 AS INT) AS TIMESTAMP) END AS joined_at
-        FROM customer WHERE c_custkey < 150 GROUP BY c_nationkey % 4, c_custkey % 10""",
+        SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS company_id, c_custkey AS user_id,
+               CASE WHEN c_custkey % 5 = 0 THEN 'removed' ELSE 'active' END AS status, CASE WHEN c_custkey % 3 = 0 THEN 'owner' ELSE 'member' END AS role,
+               CASE WHEN c_custkey % 4 <> 1 THEN CAST(DATE '2024-01-01' + CAST(c_custkey % 25 AS INT) AS TIMESTAMP) END AS joined_at
+        FROM customer""",
     "profiles": """
         SELECT c_custkey AS id, CASE WHEN c_custkey % 6 <> 5 THEN concat('u', CAST(c_custkey AS STRING), '@mail.example') END AS email,
                CASE WHEN c_custkey % 4 <> 3 THEN c_name END AS full_name,
                CASE c_custkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'engineer' ELSE 'user' END AS role,
-               CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey % 4 AS BIGINT) END AS company_id,
+               CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS BIGINT) END AS company_id,
                CASE c_custkey % 3 WHEN 0 THEN 'professional' ELSE 'sole' END AS account_type,
                CASE c_custkey % 4 WHEN 0 THEN 'passcode' WHEN 1 THEN 'stripe' WHEN 2 THEN 'company' END AS subscription_source,
-               CASE WHEN c_custkey % 4 = 0 THEN CAST(DATE '2024-01-20' + CAST(c_custkey AS INT) AS TIMESTAMP) END AS access_expires_at,
+               CASE WHEN c_custkey % 4 = 0 THEN CAST(DATE '2024-01-20' + CAST(c_custkey % 25 AS INT) AS TIMESTAMP) END AS access_expires_at,
                CASE WHEN c_custkey % 7 <> 6 THEN 5 - c_custkey % 7 END AS documents_remaining,
-               CAST(DATE '2023-12-01' + CAST(c_custkey AS INT) AS TIMESTAMP) AS created_at
-        FROM customer WHERE c_custkey BETWEEN 0 AND 24""",
+               CAST(DATE '2023-12-01' + CAST(c_custkey % 400 AS INT) AS TIMESTAMP) AS created_at
+        FROM customer""",
     "auth_users": """
         SELECT c_custkey AS id, concat('u', CAST(c_custkey AS STRING), '@mail.example') AS email,
                CASE WHEN c_custkey % 3 = 0 THEN '  ' WHEN c_custkey % 3 = 1 THEN concat('Meta ', c_name) END AS meta_name,
-               CAST(DATE '2023-11-01' + CAST(c_custkey AS INT) AS TIMESTAMP) AS created_at,
+               CAST(DATE '2023-11-01' + CAST(c_custkey % 400 AS INT) AS TIMESTAMP) AS created_at,
                CASE WHEN c_custkey % 2 = 0 THEN CAST(DATE '2024-01-15' + CAST(c_custkey % 10 AS INT) AS TIMESTAMP) END AS last_sign_in_at
-        FROM customer WHERE c_custkey BETWEEN 3 AND 29""",
+        FROM customer""",
     "user_subscriptions": """
         SELECT o_orderkey AS id, o_custkey % 25 AS user_id, CASE WHEN o_orderkey % 5 <> 4 THEN concat('sub', CAST(o_orderkey AS STRING)) END AS stripe_subscription_id,
                CASE o_orderkey % 6 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'past_due' WHEN 4 THEN 'suspended' ELSE 'active' END AS status,
@@ -73,7 +75,7 @@ VIEWS: dict[str, str] = {
                o_orderkey % 8 AS documents_uploaded, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 60 END AS questions_asked,
                CAST(DATE '2023-12-01' + CAST(o_orderkey % 60 AS INT) AS TIMESTAMP) AS created_at,
                CASE WHEN o_orderkey % 4 <> 2 THEN CAST(DATE '2024-01-03' + CAST(o_orderkey % 20 AS INT) AS TIMESTAMP) END AS updated_at
-        FROM orders WHERE o_orderkey % 4 < 2 AND o_orderkey < 2000""",
+        FROM orders WHERE o_orderkey % 4 < 2""",
     "subscriptions": """
         SELECT concat('sub', CAST(o_orderkey AS STRING)) AS id, o_custkey % 25 AS user_id,
                CASE o_orderkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'canceled' WHEN 2 THEN 'trialing' ELSE 'past_due' END AS status,
@@ -84,32 +86,32 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderkey % 5 = 0 THEN 20 END AS max_documents, CASE WHEN o_orderkey % 5 = 1 THEN 100 END AS max_questions,
                CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 11 END AS documents_uploaded, CAST(NULL AS BIGINT) AS questions_asked,
                CAST(DATE '2023-12-10' + CAST(o_orderkey % 45 AS INT) AS TIMESTAMP) AS created
-        FROM orders WHERE o_orderkey % 4 BETWEEN 1 AND 2 AND o_orderkey < 2000""",
+        FROM orders WHERE o_orderkey % 4 BETWEEN 1 AND 2""",
     "prices": """
         SELECT concat('price', CAST(p_partkey AS STRING)) AS id, concat('prod', CAST(p_partkey % 5 AS STRING)) AS product_id,
                CAST(p_size * 100 AS BIGINT) AS unit_amount, CASE p_partkey % 2 WHEN 0 THEN 'month' ELSE 'year' END AS billing_interval
-        FROM part WHERE p_partkey < 30""",
+        FROM part""",
     "products": """
         SELECT concat('prod', CAST(r_regionkey AS STRING)) AS id, r_name AS name, concat('Plan ', r_name) AS description FROM region""",
     "customers": """
-        SELECT c_custkey AS id, concat('stripe', CAST(c_custkey AS STRING)) AS stripe_customer_id FROM customer WHERE c_custkey BETWEEN 0 AND 14""",
+        SELECT c_custkey AS id, concat('stripe', CAST(c_custkey AS STRING)) AS stripe_customer_id FROM customer""",
     "codes": """
         SELECT p_partkey AS id, concat('CODE', CAST(p_partkey AS STRING)) AS code, p_partkey % 6 <> 5 AS is_active, CAST(1 + p_partkey % 4 AS BIGINT) AS max_uses,
                CASE WHEN p_partkey % 5 = 0 THEN CAST(DATE '2024-01-20' AS TIMESTAMP) WHEN p_partkey % 5 = 1 THEN CAST(DATE '2024-03-01' AS TIMESTAMP) END AS valid_until,
                CASE WHEN p_partkey % 7 = 0 THEN CAST(DATE '2024-01-12' AS TIMESTAMP) END AS valid_from, CAST(1 + p_partkey % 3 AS INT) AS duration_months, CAST(7 * (1 + p_partkey % 4) AS INT) AS duration_days
-        FROM part WHERE p_partkey < 40""",
+        FROM part""",
     "redemption_attempts": """
         SELECT event_id AS id, concat(CASE WHEN event_id % 3 = 0 THEN ' code' ELSE 'CODE' END, CAST(event_id % 45 AS STRING), ' ') AS code, user_id, ts
-        FROM events WHERE event_id < 600""",
+        FROM events""",
     "redemptions": """
         SELECT event_id AS id, event_id % 40 AS code_id, user_id % 25 AS user_id, event_id % 4 <> 3 AS is_active, event_id % 9 = 0 AS expired,
-               CAST(DATE '2024-01-22' + CAST(event_id % 20 AS INT) AS TIMESTAMP) AS access_granted_until FROM events WHERE event_id < 300""",
+               CAST(DATE '2024-01-22' + CAST(event_id % 20 AS INT) AS TIMESTAMP) AS access_granted_until FROM events""",
     "job_events": """
         SELECT event_id AS seq, event_id % 200 AS job_id, event_id % 50 AS document_id, user_id, ts,
                CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS event
-        FROM events WHERE event_id < 4000""",
+        FROM events""",
     "admin_queue": """
-        SELECT event_id AS id, event_id % 60 AS document_id, event_type AS status, CAST(event_id % 5 AS INT) AS priority, ts AS created_at FROM events WHERE event_id < 150""",
+        SELECT event_id AS id, event_id % 60 AS document_id, event_type AS status, CAST(event_id % 5 AS INT) AS priority, ts AS created_at FROM events""",
     "storage_objects": """
         SELECT 'documents' AS bucket, concat('uploads/', CAST(k AS STRING), '/f.pdf') AS path, k * 10 AS size FROM (SELECT DISTINCT doc_id % 80 AS k FROM documents) t
         UNION ALL
@@ -119,13 +121,13 @@ VIEWS: dict[str, str] = {
         SELECT doc_id AS id, doc_id % 50 AS document_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'Table ' ELSE '' END, CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 4 + 1 AS STRING)) AS table_number,
                CASE WHEN doc_id % 4 <> 1 THEN substring(text, 1, CAST(10 + doc_id % 30 AS INT)) END AS title,
                CASE WHEN doc_id % 5 <> 2 THEN concat(CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 7 + 1 AS STRING)) END AS source_clause_number,
-               substring(text, 1, 400) AS text, doc_id AS ord, CAST(doc_id % 12 + 1 AS INT) AS page_start, CAST(doc_id % 12 + 1 + doc_id % 3 AS INT) AS page_end, CAST(doc_id % 7 AS DOUBLE) * 10 AS y0
-        FROM documents WHERE doc_id < 400""",
-    "queries": """
+               text, doc_id AS ord, CAST(doc_id % 12 + 1 AS INT) AS page_start, CAST(doc_id % 12 + 1 + doc_id % 3 AS INT) AS page_end, CAST(doc_id % 7 AS DOUBLE) * 10 AS y0
+        FROM documents""",
+    "queries": f"""
         SELECT item_id AS query_id, concat_ws(' ', split_part(text, ' ', 1), split_part(text, ' ', 2), split_part(text, ' ', 3)) AS rephrased_query,
                split_part(text, ' ', 4) AS term1, split_part(text, ' ', 5) AS term2,
                concat(CAST(item_id % 9 + 1 AS STRING), CASE WHEN item_id % 2 = 0 THEN concat('.', CAST(item_id % 7 + 1 AS STRING)) ELSE '' END) AS heading1, split_part(text, ' ', 1) AS heading2
-        FROM benchmark WHERE item_id < 8""",
+        FROM benchmark WHERE item_id < {QUESTIONS}""",
     "lines": """
         SELECT doc_id, page_id, line_no, line FROM (SELECT doc_id % 50 AS doc_id, doc_id AS page_id, 0 AS line_no, split_part(text, chr(10), 1) AS line FROM documents
         UNION ALL SELECT doc_id % 50, doc_id, 1, split_part(text, chr(10), 2) FROM documents
@@ -140,14 +142,14 @@ VIEWS: dict[str, str] = {
                CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 30 END AS INT) AS page_start, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 30 END + doc_id % 2 AS INT) AS page_end,
                CASE WHEN doc_id % 5 = 0 THEN concat('c', CAST(doc_id % 97 AS STRING)) WHEN doc_id % 19 = 0 THEN 'gone' END AS parent_clause_id,
                doc_id % 10 < 6 AS has_parent, doc_id % 29 = 0 AS is_orphan_note
-        FROM documents WHERE doc_id < 500""",
+        FROM documents""",
     "items": """
         SELECT event_id AS ord, concat('r', CAST(event_id % 40 AS STRING)) AS requirement_id,
                CASE event_id % 7 WHEN 0 THEN 'Fire Detection & Alarm' WHEN 1 THEN 'Occupant Warning' WHEN 2 THEN 'Emergency Lighting' WHEN 3 THEN 'Smoke Control' WHEN 4 THEN 'Sprinkler systems'
                     WHEN 5 THEN 'General Electrical Design' ELSE 'Earthing and bonding' END AS domain,
                CASE event_type WHEN 'signup' THEN 'required' WHEN 'view' THEN 'conditional' WHEN 'click' THEN 'needs_code' WHEN 'purchase' THEN 'not_required' ELSE 'unclear' END AS status,
                concat('summary ', CAST(event_id % 13 AS STRING)) AS summary, event_id % 5 AS section
-        FROM events WHERE event_id < 500""",
+        FROM events""",
 }
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
