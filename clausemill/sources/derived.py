@@ -141,7 +141,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 11 = 0 THEN 1 ELSE 3 END AS level,
                CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 30 END AS INT) AS page_start, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 30 END + doc_id % 2 AS INT) AS page_end,
                CASE WHEN doc_id % 5 = 0 THEN concat('c', CAST(doc_id % 97 AS STRING)) WHEN doc_id % 19 = 0 THEN 'gone' END AS parent_clause_id,
-               doc_id % 10 < 6 AS has_parent, doc_id % 29 = 0 AS is_orphan_note
+               CASE doc_id % 5 WHEN 0 THEN CAST(doc_id % 9 + 1 AS STRING) WHEN 1 THEN '77.7' END AS parent_clause_number, doc_id % 10 < 6 AS has_parent, doc_id % 7 = 0 AS has_notes
         FROM documents""",
     "items": """
         SELECT event_id AS ord, concat('r', CAST(event_id % 40 AS STRING)) AS requirement_id,
@@ -150,6 +150,33 @@ VIEWS: dict[str, str] = {
                CASE event_type WHEN 'signup' THEN 'required' WHEN 'view' THEN 'conditional' WHEN 'click' THEN 'needs_code' WHEN 'purchase' THEN 'not_required' ELSE 'unclear' END AS status,
                concat('summary ', CAST(event_id % 13 AS STRING)) AS summary, event_id % 5 AS section
         FROM events""",
+    "pieces": """
+        SELECT doc_id AS id, CAST((doc_id - doc_id % 40) / 40 AS BIGINT) AS document_id, CAST(doc_id % 9 AS INT) AS k, CASE doc_id % 9 WHEN 0 THEN 'AS_NZS' WHEN 1 THEN 'ISO' WHEN 2 THEN 'IEC' WHEN 3 THEN 'ASTM' WHEN 4 THEN 'NFPA' WHEN 5 THEN 'API' WHEN 6 THEN 'IEEE' WHEN 7 THEN 'NBN' ELSE 'NCC' END AS family,
+               CASE doc_id % 8 WHEN 0 THEN concat('2. ', CAST(doc_id % 6 AS STRING), '. 2') WHEN 1 THEN concat('*2, ', CAST(doc_id % 7 AS STRING), '.1') WHEN 2 THEN concat('4.', CAST(doc_id % 5 AS STRING)) WHEN 3 THEN 'Appendix A'
+                    WHEN 4 THEN '(a)' WHEN 5 THEN 'iv' WHEN 6 THEN concat('C', CAST(doc_id % 4 AS STRING), 'P', CAST(doc_id % 5 AS STRING)) ELSE CAST(doc_id % 30 AS STRING) END AS number,
+               CASE doc_id % 9 WHEN 0 THEN 'TABLE 4.1' WHEN 1 THEN concat('Table C', CAST(doc_id % 12 AS STRING)) WHEN 2 THEN 'D12(A)' WHEN 3 THEN 'J.l' WHEN 4 THEN 'Table H7D2_8' WHEN 5 THEN '' WHEN 6 THEN 'Appendix B.2'
+                    WHEN 7 THEN concat('table 3.', CAST(doc_id % 4 AS STRING), ' (continued)') ELSE concat('3.6.', CAST(doc_id % 3 AS STRING)) END AS table_number,
+               CASE doc_id % 6 WHEN 0 THEN '12-14' WHEN 1 THEN CAST(doc_id % 40 AS STRING) WHEN 2 THEN 'x' WHEN 3 THEN '-3' WHEN 4 THEN NULL ELSE ' 9 - 10' END AS page,
+               CASE doc_id % 7 WHEN 0 THEN 'ncc 2022 volume three' WHEN 1 THEN 'AS3000' WHEN 2 THEN 'NBN_SDU guide' WHEN 3 THEN 'NFPA 70' WHEN 4 THEN 'NCC2022_VOL1!' WHEN 5 THEN 'IEC 60364' ELSE 'Housing Provisions 2019' END AS label,
+               concat(CASE doc_id % 4 WHEN 0 THEN 'The ' WHEN 1 THEN 'General ' WHEN 2 THEN 'Scope ' ELSE 'Where ' END, substring(replace(text, chr(10), ' '), 1, CAST(3 + doc_id % 120 AS INT))) AS title,
+               concat(substring(text, 1, CAST(40 + doc_id % 200 AS INT)), CASE doc_id % 5 WHEN 0 THEN ' COPYRIGHT ** end' WHEN 1 THEN ' unless approved by NSW' WHEN 2 THEN concat(' see Table ', CAST(doc_id % 9 AS STRING), '.1') WHEN 3 THEN ' Scope ..... 12' ELSE ' Figure 3' END) AS body
+        FROM documents""",
+    "heads": """
+        SELECT id, family, CASE id % 11 WHEN 0 THEN concat(number, ' ', title) WHEN 1 THEN concat('3.2.', CAST(id % 5 AS STRING), ' General requirements') WHEN 2 THEN concat('Section ', CAST(id % 4 AS STRING), '.2 - MDF room ', CAST(id % 30 AS STRING))
+                    WHEN 3 THEN 'Annex B (normative) Test methods' WHEN 4 THEN concat('C', CAST(id % 4 AS STRING), 'P1 Health impacts') WHEN 5 THEN concat('Requirement R-', CAST(id % 20 AS STRING), ' Pit location setback') WHEN 6 THEN 'H1-4.2.12 Footing and slab'
+                    WHEN 7 THEN concat('2. 4. ', CAST(id % 6 AS STRING), ' Protective devices') WHEN 8 THEN 'Part 3 Conduits' WHEN 9 THEN 'NSW 4.2.8 Vapour barriers' ELSE 'Section B - Structure' END AS line FROM (
+        SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN 'AS_NZS' WHEN 1 THEN 'ISO' WHEN 2 THEN 'IEC' WHEN 3 THEN 'ASTM' WHEN 4 THEN 'NFPA' WHEN 5 THEN 'API' WHEN 6 THEN 'IEEE' WHEN 7 THEN 'NBN' ELSE 'NCC' END AS family,
+               concat(CAST(doc_id % 9 AS STRING), '.', CAST(doc_id % 4 AS STRING)) AS number, concat('The ', substring(replace(text, chr(10), ' '), 1, CAST(3 + doc_id % 150 AS INT))) AS title FROM documents) t""",
+    "grids": """
+        SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN concat('MODAL_P', CAST(doc_id % 12 AS STRING), '_1') WHEN 1 THEN '' ELSE concat(CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 4 AS STRING)) END AS table_number,
+               CAST((doc_id - doc_id % 8) / 8 AS INT) AS page, CASE doc_id % 7 WHEN 0 THEN 'COPYRIGHT' ELSE concat(split_part(text, ' ', 1), '|', split_part(text, ' ', 2), '|', CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'c' END) END AS header,
+               CASE WHEN doc_id % 7 IN (0, 3) THEN '' WHEN doc_id % 11 = 0 THEN 'same x|same x|1;other y|other y|2;third z|third z|3;fourth w|fourth w|4' WHEN doc_id % 13 = 0 THEN '1.4.16 term|a;1.4.17 word|b;1.4.18 name|c'
+                    ELSE concat(split_part(text, ' ', 3), '|', CAST(doc_id % 10 AS STRING), '|', CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE split_part(text, ' ', 4) END, ';x|', CAST(doc_id % 3 AS STRING), '|', split_part(text, ' ', 5)) END AS data
+        FROM documents""",
+    "boxes": """
+        SELECT doc_id AS id, CAST((doc_id - doc_id % 25) / 25 AS INT) AS page, CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'element' END AS kind, CAST(doc_id * 37 % 500 AS DOUBLE) AS x0, CAST(doc_id * 53 % 700 AS DOUBLE) AS y0,
+               CAST(doc_id * 37 % 500 + 20 + doc_id % 200 AS DOUBLE) AS x1, CAST(doc_id * 53 % 700 + 10 + doc_id % 90 AS DOUBLE) AS y1, CASE WHEN doc_id % 3 = 0 THEN concat('Table ', CAST(doc_id % 9 AS STRING), '.1 Sizes') ELSE split_part(text, ' ', 1) END AS text
+        FROM documents""",
 }
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
