@@ -107,7 +107,7 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, event_id % 40 AS code_id, user_id % 25 AS user_id, event_id % 4 <> 3 AS is_active, event_id % 9 = 0 AS expired,
                CAST(DATE '2024-01-22' + CAST(event_id % 20 AS INT) AS TIMESTAMP) AS access_granted_until FROM events""",
     "job_events": """
-        SELECT event_id AS seq, event_id % 200 AS job_id, event_id % 50 AS document_id, user_id, ts,
+        SELECT event_id AS seq, CAST((event_id - event_id % 8) / 8 AS BIGINT) AS job_id, CAST((event_id - event_id % 8) / 8 % 50 AS BIGINT) AS document_id, CAST((event_id - event_id % 8) / 8 % 40 AS BIGINT) AS user_id, ts,
                CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS event
         FROM events""",
     "admin_queue": """
@@ -144,11 +144,13 @@ VIEWS: dict[str, str] = {
                CASE doc_id % 5 WHEN 0 THEN CAST(doc_id % 9 + 1 AS STRING) WHEN 1 THEN '77.7' END AS parent_clause_number, doc_id % 10 < 6 AS has_parent, doc_id % 7 = 0 AS has_notes
         FROM documents""",
     "items": """
-        SELECT event_id AS ord, concat('r', CAST(event_id % 40 AS STRING)) AS requirement_id,
-               CASE event_id % 7 WHEN 0 THEN 'Fire Detection & Alarm' WHEN 1 THEN 'Occupant Warning' WHEN 2 THEN 'Emergency Lighting' WHEN 3 THEN 'Smoke Control' WHEN 4 THEN 'Sprinkler systems'
-                    WHEN 5 THEN 'General Electrical Design' ELSE 'Earthing and bonding' END AS domain,
-               CASE event_type WHEN 'signup' THEN 'required' WHEN 'view' THEN 'conditional' WHEN 'click' THEN 'needs_code' WHEN 'purchase' THEN 'not_required' ELSE 'unclear' END AS status,
-               concat('summary ', CAST(event_id % 13 AS STRING)) AS summary, event_id % 5 AS section
+        SELECT event_id AS ord, CAST((event_id - event_id % 30) / 30 AS BIGINT) AS project, concat('r', CAST(event_id % 40 AS STRING)) AS requirement_id,
+               CASE event_id % 9 WHEN 0 THEN 'Fire Detection & Alarm' WHEN 1 THEN 'Occupant Warning' WHEN 2 THEN 'Emergency Lighting' WHEN 3 THEN 'Smoke control' WHEN 4 THEN 'Rooftop solar PV' WHEN 5 THEN 'General Electrical Design'
+                    WHEN 6 THEN 'Maximum demand and supply' WHEN 7 THEN 'Acoustic treatment rooms' ELSE 'Earthing and bonding' END AS domain,
+               CASE event_type WHEN 'signup' THEN 'compliant' WHEN 'view' THEN 'Conditional' WHEN 'click' THEN 'needs_code' WHEN 'purchase' THEN 'conflict' ELSE 'other' END AS status,
+               concat(CASE event_id % 4 WHEN 0 THEN 'Show on drawings and schedules ' WHEN 1 THEN 'Check clearance, to be confirmed ' WHEN 2 THEN 'Coordinate with the builder ' ELSE 'Subject to review ' END, CAST(event_id % 13 AS STRING)) AS summary,
+               CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('e', CAST(event_id % 7 AS STRING)) ELSE concat('e', CAST(event_id % 5 AS STRING), '; e', CAST(event_id % 7 AS STRING), ';e1 ; ') END AS evidence,
+               CAST(event_id % 5 AS INT) AS section, concat(CASE event_id % 5 WHEN 0 THEN 'AS 1670.4 warning' WHEN 1 THEN 'AS3000' WHEN 2 THEN ' NCC2022 ' WHEN 3 THEN 'AS3000' ELSE 'AS 2293' END) AS label
         FROM events""",
     "pieces": """
         SELECT doc_id AS id, CAST((doc_id - doc_id % 40) / 40 AS BIGINT) AS document_id, CAST(doc_id % 9 AS INT) AS k, CASE doc_id % 9 WHEN 0 THEN 'AS_NZS' WHEN 1 THEN 'ISO' WHEN 2 THEN 'IEC' WHEN 3 THEN 'ASTM' WHEN 4 THEN 'NFPA' WHEN 5 THEN 'API' WHEN 6 THEN 'IEEE' WHEN 7 THEN 'NBN' ELSE 'NCC' END AS family,
