@@ -290,3 +290,16 @@ def row_prose(columns: Column, row: Column) -> Column:
     """header: value pairs of a row; a column without a header is named by its number."""
     pairs = F.transform(row, lambda v, i: F.concat(F.coalesce(_none(F.trim(F.get(columns, i))), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), F.trim(v)))
     return F.array_join(F.filter(pairs, lambda p: ~p.endswith(": ")), "; ")
+
+
+def family_fixes(text: Column, family: Column) -> Column:
+    """A document's raw text with what its family writes before numbers taken away, and commas in numbers as dots."""
+    t = F.regexp_replace(sanitized(text), r"(\d)\s*,\s*(\d)", "$1.$2")
+    cut = lambda p, r="": F.regexp_replace(t, p, r)
+    return (
+        F.when(family == "AS_NZS", cut(r"(?m)^\*+\s*"))
+        .when(family.isin("ISO", "IEC", "IEEE"), cut(r"(?m)^Clause\s+"))
+        .when(family.isin("ASTM", "API", "NFPA"), cut(r"(?m)^Section\s+"))
+        .when(family == "NBN", cut(r"(?m)^SECTION\s+", "Section "))
+        .otherwise(t)
+    )

@@ -36,10 +36,12 @@ def rate_limited(attempts: DataFrame) -> DataFrame:
     return watched.groupBy("user_id").applyInPandasWithState(fold, "id long, allowed boolean", "recorded array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def attempts_by_window(attempts: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """user_id, start, n: attempts of each user in fixed windows; late ones count until the watermark passes."""
+def attempts_by_window(attempts: DataFrame, late: str | None = "10 minutes") -> DataFrame:
+    """user_id, start, n: attempts of each user in fixed windows; late ones count until the watermark passes. Without
+    `late` the stream has a watermark already."""
     w = F.window("ts", f"{SECONDS} seconds")
-    return attempts.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    watched = attempts if late is None else attempts.withWatermark("ts", late)
+    return watched.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
 def sessions(seen: DataFrame, late: str = "10 minutes") -> DataFrame:
