@@ -143,7 +143,7 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
 @lru_cache(4)
 def encoding(path: str) -> tiktoken.Encoding:
     """The vocabulary of a tokenizers file, whose ids after the bytes are its merges in order."""
-    v = bpe.vocabulary(path)
+    v = bpe.Vocabulary(path)  # not kept beside the encoding
     ranks = {b: i for i, b in enumerate(v.bytes) if i not in v.special.values()}
     return tiktoken.Encoding("own", pat_str=bpe.SPLIT, mergeable_ranks=ranks, special_tokens=v.special)
 
