@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,12 @@ def beside(df: DataFrame, values: Column | None = None, bound: int = 500_000) ->
     return F.broadcast(df) if counted <= bound else df
 
 
+def together(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables, in no more partitions than a shuffle makes, so that unions of unions don't add up."""
+    parts = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reduce(DataFrame.unionAll, tables).coalesce(parts)
+
+
 def fold_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; null ids count as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     meets one row for each of its edges, and minima are taken before rows move, so a star needs no group in
     one task. Each round is written to the checkpoint folder.
     """
-    both = settle(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = settle(edges.select(F.explode(ends).alias("x")).select("x.*"))
     # the first hook needs no join: every node looks at its neighbours
     state = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent")))
     while True:
