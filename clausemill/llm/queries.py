@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, langid, packing, quality, rlz, run_index, simhash, topk
+from . import bpe, chunk_recipes, credentials, divergence, langid, packing, quality, rlz, run_index, simhash, topk
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,6 +83,10 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_run_length_index": op1_run_length_index,
     "op2_relative_lz": op2_relative_lz,
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_threshold_topk": op9_threshold_topk,
     "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL = {
@@ -122,4 +127,23 @@ SQL = {
         r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5
     """,
+    "op13_source_divergence": r"""
+        WITH t AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM t),
+        df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM t) GROUP BY ALL HAVING count(*) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM t) SEMI JOIN df USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+        d AS (SELECT g.lang, g.source, df.term, coalesce(n, 0) AS n FROM g JOIN df USING (lang) LEFT JOIN c USING (lang, source, term)),
+        s AS (SELECT lang, source, term, n,
+                     1 + 1000000000 * (n + 1)::HUGEINT // (sum(n) OVER (PARTITION BY lang, source) + v) AS p,
+                     1 + 1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 1)::HUGEINT // (sum(n) OVER (PARTITION BY lang) + v) AS q FROM d JOIN v USING (lang)),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM s WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
