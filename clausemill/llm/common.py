@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,20 +20,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once to the cluster's checkpoint folder and go on from there.
-
-    The folder is the one spark.checkpoint.dir names. Where that is unset, a local session (tests, one machine) gets a
-    temporary one; a cluster's executors couldn't share it, so there it is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a local session (tests, one machine) gets a
+    temporary one; a cluster's executors couldn't share it, so there it is an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="clausemill-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df once to the cluster's checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables, written as Parquet to the shared folder: columns compressed, read as any table, and gone when
+    they are dropped, which a checkpoint isn't."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = self.paths[name] = f"{self.folder}/{name}-{len(self.paths)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[name])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def beside(df: DataFrame, values: Column | None = None, bound: int = 500_000) -> DataFrame:
     """df settled, and marked for a broadcast only if its rows (or the sum of values) have been counted and are at most
     bound; beyond that it is joined by a shuffle. Rows have fixed-width columns, or arrays that values counts."""

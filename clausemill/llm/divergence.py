@@ -1,39 +1,63 @@
 """Source divergence audit: how each source of a language departs from the other sources and from the language.
 
-Plain relational steps: matches are exploded and counted by language, source and term, groups meet the kept vocabulary
-so that zeros count, sources of a language meet on its terms, sums and ranks follow. All arithmetic is on whole numbers.
+Relational steps: matches are exploded and counted by language, source and term, groups meet the kept vocabulary so that
+zeros count, sources of a language meet on its terms, sums and ranks follow. The matches of a partition are counted
+where they are read, before anything moves. All arithmetic is on whole numbers.
 """
 
 from __future__ import annotations
 
-import string
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import Tables
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: In lower-cased UTF-8 bytes: runs of ASCII letters and of what isn't ASCII.
+TERM = re.compile(rb"[a-z\x80-\xff]+")
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: A language keeps the terms of at least so many of its documents.
 LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
-#: Parts of a language's vocabulary that meet its groups apart from each other, so that one language isn't one task.
-SALTS = 64
+#: Counters that a task holds before it hands them on.
+HELD = 300_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, text -> lang, source, term, n (occurrences), d (documents), as often as HELD counters are full."""
+    names = ["lang", "source", "term", "n", "d"]
+    uses, holders, held = defaultdict(Counter), defaultdict(Counter), 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), count in uses.items():
+            docs, size = holders[lang, source], len(count)
+            alike = lambda x, size=size: pa.array([x], pa.string()).take(pa.array([0] * size, pa.int32()))
+            yield pa.RecordBatch.from_arrays([alike(lang), alike(source), pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64()), pa.array([docs[t] for t in count], pa.int64())], names)
+
+    for batch in batches:
+        langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang, source, text in zip(langs, sources, batch.column(2), strict=True):
+            terms = TERM.findall(text.as_buffer().to_pybytes().translate(_LOWER))
+            count = uses[lang, source]
+            before = len(count)
+            count.update(terms)
+            holders[lang, source].update(set(terms))
+            held += len(count) - before
+            if held > HELD:
+                yield from out()
+                uses, holders, held = defaultdict(Counter), defaultdict(Counter), 0
+    yield from out()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents): a row for each term of each group. Counts are added up before
-    rows move, so a large source sends no more than its terms."""
-    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
-    seen = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
-    )
-    # a group without terms keeps a row with a null term
-    each = read.select("lang", "source", F.explode_outer(seen).alias("x")).select("lang", "source", "x.term", "x.n", "x.d")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    """lang, source, term, n, d: one row or more for each term of each group."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return docs.select(text("lang"), text("source"), text("text")).mapInArrow(_counted, "lang string, source string, term string, n long, d long")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -43,7 +67,7 @@ def share(count: Column, total: Column, terms: Column) -> Column:
 
 
 def departure(p: Column, q: Column) -> Column:
-    """floor((p - q)² / q); shares are at most SCALE + 1, so the square fits a long."""
+    """floor((p - q)^2 / q); shares are at most SCALE + 1, so the square fits a long."""
     return F.call_function("div", (p - q) * (p - q), q)
 
 
@@ -53,35 +77,36 @@ def audit(docs: DataFrame) -> DataFrame:
     Part pair has a row for each other source of the language: how far the group's shares of the kept terms are from that
     source's. Part term has the TOP_TERMS terms that the group uses most above its language. Null texts, languages and
     sources count as ''; a language without kept terms has pairs of value 0; rows that repeat count each; ties go by the
-    item's bytes; an empty table gives no rows. Only text, lang and source are read.
+    item's bytes; an empty table gives no rows. Only text, lang and source are read. Texts of any length are counted
+    whole.
     """
-    counts = settle(term_counts(docs))
-    used = counts.where(F.col("term").isNotNull())
-    group = ["lang", "source"]
-    kept = used.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("d").alias("d")).where(F.col("d") >= LEAST_DOCUMENTS).drop("d")
-    kept = settle(kept)
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_n"))
-    mine = settle(used.select(*group, "term", "n").join(kept.select("lang", "term"), ["lang", "term"]))
-    totals = mine.groupBy(*group).agg(F.sum("n").alias("group_n"))
-    every = counts.select(*group).distinct().join(totals, group, "left").join(langs, "lang", "left")
+    tables = Tables(docs.sparkSession)
+    # one shuffle, by language and term: the counts of a term's sources are together from here on
+    each = term_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    held = F.map_from_entries(F.collect_list(F.struct("source", "n")))  # at most a language's sources
+    vocabulary = each.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("all_n"), held.alias("held")).where(F.col("d") >= LEAST_DOCUMENTS)
+    vocabulary = tables.write("vocabulary", vocabulary.select("lang", "term", "all_n", "held", F.monotonically_increasing_id().alias("id")))
+
+    langs = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_n"))
+    used = vocabulary.select("lang", F.explode("held").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    every = docs.select(name("lang"), name("source")).distinct().join(used, ["lang", "source"], "left").join(langs, "lang", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    groups = settle(every.select(*group, zero("group_n"), zero("v"), zero("lang_n")))
-
-    # each group meets each kept term of its language, a part of the vocabulary at a time
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
-    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    dense = salted.join(copies, ["lang", "salt"]).join(mine, ["lang", "source", "term"], "left")
-    n = F.coalesce("n", F.lit(0).cast("long"))
-    shares = settle(dense.select(*group, "term", n.alias("n"), share(n, F.col("group_n"), F.col("v")).alias("p"), share(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q")))
-
-    other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("other_p"))
-    met = shares.join(other, ["lang", "term"]).where(F.col("source") != F.col("item"))
-    sums = met.groupBy("lang", "source", "item").agg(F.sum(departure(F.col("p"), F.col("other_p"))).alias("value"))
-    others = groups.select("lang", F.col("source").alias("item"))
-    pairs = groups.select(*group).join(others, "lang").where(F.col("source") != F.col("item")).join(sums, ["lang", "source", "item"], "left")
-    pairs = pairs.select(*group, "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
-    terms = shares.where((F.col("n") > 0) & (F.col("p") > F.col("q"))).select(*group, F.col("term").alias("item"), departure(F.col("p"), F.col("q")).alias("value"))
-
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("value").desc(), "item")).alias("rank")
-    named = lambda part: [*group, F.lit(part).alias("part"), "item", "value"]
+    groups = tables.write("groups", every.select("lang", "source", zero("group_n"), zero("v"), zero("lang_n"), F.monotonically_increasing_id().alias("gid")))
+
+    # each group meets each kept term of its language, zeros included, and the groups of a term meet each other
+    n = F.coalesce(F.try_element_at("held", "source"), F.lit(0).cast("long"))
+    dense = vocabulary.join(groups, "lang").select("id", "gid", share(n, F.col("group_n"), F.col("v")).alias("p")).repartition("id")
+    other = dense.select("id", F.col("gid").alias("other"), F.col("p").alias("q"))
+    sums = dense.join(other, "id").where(F.col("gid") != F.col("other")).groupBy("gid", "other").agg(F.sum(departure(F.col("p"), F.col("q"))).alias("value"))
+    others = groups.select("lang", F.col("source").alias("item"), F.col("gid").alias("other"))
+    pairs = groups.select("lang", "source", "gid").join(others, "lang").where(F.col("gid") != F.col("other")).join(sums, ["gid", "other"], "left")
+    pairs = pairs.select("lang", "source", "item", zero("value"))
+
+    p, q = share(F.col("n"), F.col("group_n"), F.col("v")), share(F.col("all_n"), F.col("lang_n"), F.col("v"))
+    terms = vocabulary.select("lang", "term", "all_n", F.explode("held").alias("source", "n")).join(groups, ["lang", "source"])
+    terms = terms.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q").select("lang", "source", "item", departure(F.col("p"), F.col("q")).alias("value"))
+
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")).alias("rank")
+    named = lambda part: ["lang", "source", F.lit(part).alias("part"), "item", "value"]
     return pairs.select(*named("pair"), rank).unionAll(terms.select(*named("term"), rank).where(F.col("rank") <= TOP_TERMS))
