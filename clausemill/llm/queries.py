@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, divergence, langid, packing, quality, rlz, run_index, simhash, topk
+from . import bpe, chunk_recipes, credentials, divergence, langid, packing, quality, rlz, run_index, simhash, topk, turns
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
+#: CRC-32 of the ASCII text `key` in DuckDB's SQL, which has no function for it: eight shifts for each byte.
+CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda acc, b: "
+    "list_reduce(list_prepend(xor(acc, b), range(8)), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"
+)
 
 
 def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +88,46 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _op12_sql() -> str:
+    """The same by a recursive query: a step for each turn, with the cheapest (cost, audit, lines) for each state."""
+    state = lambda c, a, r: f"{{'c': {c}, 'a': {a}, 'r': {r}}}"
+    more = lambda x, c, a, r="''": state(f"{x}.c + {c}", f"{x}.a || {a}", f"{x}.r || {r}")
+    first = lambda *xs: f"list_min([{', '.join(xs)}])"
+    never = state("1000000000", "''", "''")
+    user, assistant = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    put = lambda x, r=user: more(x, 2, "'I'", r)
+    both = lambda x: more(x, 4, "'II'", f"{user} || {assistant}")
+    closed = f"s0, s1, {first('s2', put('s0'), put('s1'), put('s3'))} AS s2, {first('s3', put('s2', assistant), both('s0'), both('s1'))} AS s3"
+    gone = lambda i: more(f"s{i}", 3, "'D'")
+    extra = "(fault = 'truncated')::BIGINT"
+    line = lambda role: f"{role} || ':' || text || chr(10)"
+    edit = lambda x, initial, role: f"CASE WHEN initial = '{initial}' THEN {more(x, extra, chr(39) + 'K' + chr(39), line('role'))} ELSE {more(x, '2 + ' + extra, chr(39) + 'R' + chr(39), line(chr(39) + role + chr(39)))} END"
+    step = lambda i, new: f"CASE WHEN fault IN ('blank', 'duplicate') THEN {gone(i)} ELSE {first(gone(i), new)} END AS s{i}"
+    kept = f"CASE WHEN initial = 's' THEN {more('s0', extra, chr(39) + 'K' + chr(39), line('role'))} ELSE {never} END"
+    steps = ", ".join([f"{gone(0)} AS s0", step(1, kept), step(2, edit(first("s0", "s1", "s3"), "u", "user")), step(3, edit("s2", "a", "assistant"))])
+    return rf"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+        crc AS (SELECT *, {CRC32} % 20 AS kind FROM k),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc WHERE kind <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn, regexp_replace(text, '[ 	-]+$', '') AS trimmed, left(role, 1) AS initial FROM d),
+        f AS (SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                     lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) AS before FROM o),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+        walk AS (SELECT conv_id, 0::BIGINT AS rn, {state("0::BIGINT", "''", "''")} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM c
+                 UNION ALL SELECT conv_id, rn, {steps} FROM (SELECT w.conv_id, f.rn, fault, initial, role, text, {closed.replace("s0, s1,", "w.s0, w.s1,", 1)} FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.rn = w.rn + 1)),
+        last_ AS (SELECT conv_id, rn, {first("s0", "s3")} AS s FROM (SELECT conv_id, rn, {closed} FROM walk))
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(s.c, 0) AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(left(s.r, length(s.r) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN last_ l ON l.conv_id IS NOT DISTINCT FROM e.conv_id AND l.rn = c.n
+    """.replace("SELECT conv_id, coalesce(gaps", "SELECT e.conv_id, coalesce(gaps")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -98,6 +143,7 @@ QUERIES = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_threshold_topk": op9_threshold_topk,
     "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
+    "op12_turn_repair": op12_turn_repair,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -127,6 +173,7 @@ SQL = {
         r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5
     """,
+    "op12_turn_repair": _op12_sql(),
     "op13_source_divergence": r"""
         WITH t AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
