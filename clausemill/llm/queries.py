@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_recipes, credentials, divergence, langid, packing, quality, rlz, run_index, simhash, topk, turns
+from . import bpe, chunk_recipes, credentials, divergence, langid, packing, quality, rlz, run_index, simhash, tensor_minhash, topk, turns
 from .common import documents, fold_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -88,6 +88,10 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -114,7 +118,8 @@ def _op12_sql() -> str:
         crc AS (SELECT *, {CRC32} % 20 AS kind FROM k),
         d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
                      unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc WHERE kind <> 0),
-        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn, regexp_replace(text, '[ 	-]+$', '') AS trimmed, left(role, 1) AS initial FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn, regexp_replace(text, '[ 	-
+]+$', '') AS trimmed, left(role, 1) AS initial FROM d),
         f AS (SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
                      lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) AS before FROM o),
         c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
@@ -143,6 +148,7 @@ QUERIES = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_threshold_topk": op9_threshold_topk,
     "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
+    "op11_tensor_minhash": op11_tensor_minhash,
     "op12_turn_repair": op12_turn_repair,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -173,6 +179,20 @@ SQL = {
         r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5
     """,
+    "op11_tensor_minhash": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                                     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM t),
+        u AS (SELECT g, min(doc_id) AS d, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+        e AS (SELECT d, n, unnest(g) AS x FROM u),
+        p AS (SELECT a.d AS a, b.d AS b FROM e a JOIN e b ON a.x = b.x AND a.d < b.d AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+              GROUP BY a.d, a.n, b.d, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT d, d AS c FROM u UNION SELECT l.b, r.c FROM r JOIN l ON r.d = l.a),
+        m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+        SELECT doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept
+        FROM s LEFT JOIN u ON s.g = u.g LEFT JOIN m ON u.d = m.d
+    """,
     "op12_turn_repair": _op12_sql(),
     "op13_source_divergence": r"""
         WITH t AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
