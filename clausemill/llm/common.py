@@ -45,15 +45,18 @@ class Tables:
         self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        path = self.paths[name] = f"{self.folder}/{name}-{len(self.paths)}"
+        made = self.paths.setdefault(name, [])
+        path = f"{self.folder}/{name}-{len(made)}"
+        made.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[name])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        context = self.spark.sparkContext
+        for made in [path for name in names for path in self.paths.pop(name)]:
+            path = context._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def beside(df: DataFrame, values: Column | None = None, bound: int = 500_000) -> DataFrame:

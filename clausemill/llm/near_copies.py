@@ -1,226 +1,55 @@
-"""Near-duplicates by Jaccard similarity of word shingles: SimHash candidates, and banded minima where those can't reach.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash candidates, and tensored minima where those can't reach.
 
 Candidates come from two sources, and each is verified on the whole shingle sets.
 
 * Fingerprints of the shingle sets within simhash.MAX_BITS bits, by the generalised pigeonhole (see simhash). All such
   pairs are found, however many near copies there are.
 * At a similarity of 0.8, 64-bit SimHash fingerprints differ in 4 to 14 bits, where the generalised pigeonhole would
-  compare a fixed share of all pairs. So sets also meet in one of BANDS buckets, each keyed by ROWS minima of the
-  shingles' hashes: at a similarity s with probability 1 - (1 - s**ROWS)**BANDS, which is 0.9998 at 0.8.
-
-Buckets are compared in three rounds, each only between what the links found before leave apart: members with the
-least of the bucket, together with the first source; neighbours in the order of the keys of the bands that follow,
-where the most alike stand together; and at last all pairs, if no more than WHOLE_BUCKET members are outside the
-bucket's largest component, or else those of small groups by a hash, anew in each band. So a bucket makes a bounded
-number of pairs for each member, whatever its size, and a group of copies that are linked makes no more.
+  compare a fixed share of all pairs. So sets also meet in the tables of tensor_minhash, in its rounds and with its exact
+  join of what crowds a bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import beside, settle, together
-from .components import connected_components
+from . import simhash, tensor_minhash
+from .common import Tables
 
 SHINGLE = 5
-#: Least similarity, as a fraction of whole numbers so that the comparison is exact.
-LEAST = (4, 5)
-BANDS, ROWS = 16, 4
-SEED = 42
-#: Members outside the largest component up to which a bucket is compared as a whole, and members of the groups of others
-#: in expectation.
-WHOLE_BUCKET, GROUP = 16, 8
-#: Texts whose sets are held at once.
-SETS = 500
-#: Shingles of which minima are taken in one step.
-STEP = 4096
-
-_RANDOM = np.random.default_rng(11)
-_XOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_ODD = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes, in order, of each SHINGLE words; a shorter text is one shingle. ASCII case and
-    blanks don't count."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    count = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(count)), np.uint64, count))
-
-
-def node_of(found: np.ndarray) -> int:
-    """A signed number that stands for a set of shingles."""
-    x = xxhash.xxh3_64_intdigest(found.tobytes())
-    return x - (1 << 64) if x >> 63 else x
-
-
-def bands(found: np.ndarray) -> np.ndarray:
-    """The bucket of a set in each band, as signed numbers."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), STEP):
-        mixed = (found[at : at + STEP, None] ^ _XOR) * _ODD
-        mixed ^= mixed >> np.uint64(29)
-        least = np.minimum(least, mixed.min(0))
-    each = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(each[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
-
-
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, size, keys, prints = [], [], [], []
-        for text in batch.column(2):
-            found = shingles(text.as_py())
-            node.append(node_of(found))
-            size.append(len(found))
-            keys.append(bands(found))
-            prints.append(simhash.fingerprint(found))
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        offsets = pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS)
-        columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(np.array(prints, np.uint64).view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "keys", "fp"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, SETS):
-            found = {}
-            for text in whole.column(0).slice(at, SETS):
-                one = shingles(text.as_py())
-                found[node_of(one)] = one.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "shingles"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
-    for batch in batches:
-        good = [similar(read(x), read(y)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
+#: Rows to drop that are sent to all tasks instead of moving texts.
+SENT = 500_000
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that follow each other in one bucket and aren't of one component."""
-    last = None
-    for batch in batches:
-        key, node, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5))
-        if last is not None:
-            key, node, n, comp = (np.append(x, y) for x, y in zip(last, (key, node, n, comp), strict=True))
-        if len(key):
-            same = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[same], node[same + 1], n[same], n[same + 1])], ["a", "b", "na", "nb"])
-            last = key[-1:], node[-1:], n[-1:], comp[-1:]
 
-
-def close_prints(nodes: DataFrame) -> DataFrame:
-    """a, b, na, nb: nodes whose fingerprints are equal or linked, each through the least node of a fingerprint."""
-    distinct = settle(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("least")))
+def close_prints(tables: Tables, nodes: DataFrame) -> DataFrame:
+    """a, b: nodes(nid, fp) whose fingerprints are equal or linked, each through the least node of a fingerprint."""
+    distinct = tables.write("fingerprints", nodes.groupBy("fp").agg(F.min("nid").alias("least")))
     close = simhash.links(distinct, simhash.make_plan(distinct))
     of = lambda side: distinct.select(F.col("fp").alias(side), F.col("least").alias(f"of_{side}"))
-    far = close.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a.node").alias("a"), F.col("of_b.node").alias("b"), F.col("of_a.n").alias("na"), F.col("of_b.n").alias("nb"))
-    equal = nodes.join(distinct, "fp").where(F.col("node") != F.col("least.node"))
-    return far.unionAll(equal.select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb")))
-
-
-def fitting(pairs: DataFrame) -> DataFrame:
-    """a, b of pairs(a, b, na, nb) whose sizes allow the similarity, each once, the lesser first."""
-    pairs = pairs.where(F.least("na", "nb") * LEAST[1] >= F.greatest("na", "nb") * LEAST[0])
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def members(nodes: DataFrame) -> DataFrame:
-    """node, n, key, k2, k3, least: a row for each bucket that a node shares with others. k2 and k3 are its keys in the
-    two bands that follow, which say who is most alike in a bucket; least is the bucket's least node."""
-    turned = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("keys", (i + 1) % BANDS).alias("k2"), F.get("keys", (i + 2) % BANDS).alias("k3")))
-    each = nodes.select("node", "n", F.explode(turned).alias("x")).select("node", "n", "x.*")
-    buckets = each.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")).where("size > 1")
-    return each.join(buckets.drop("size"), "key")
-
-
-def stars(member: DataFrame) -> DataFrame:
-    """Each member with the least of its bucket."""
-    return member.where(F.col("node") != F.col("least.node")).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
-
-
-def apart(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that still hold several components, with their component (comp), the one with most members
-    (main), the members of the bucket (size) and those outside main (outside)."""
-    known = member.join(beside(labels.withColumnRenamed("component", "comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = settle(known.select("key", "k2", "k3", "node", "n", "comp"))
-    parts = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    buckets = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).where(F.col("main.c") < F.col("size"))
-    return known.join(buckets.select("key", F.col("main.comp").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("outside")), "key")
-
-
-def chains(open_: DataFrame) -> DataFrame:
-    """Neighbours of a bucket in the order of the keys of the bands that follow, if no link connects them yet."""
-    order = ["key", "k2", "k3", "node"]
-    return open_.select(*order, "n", "comp").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a long, b long, na long, nb long")
-
-
-def groups(open_: DataFrame) -> DataFrame:
-    """Pairs of a bucket that no link connects yet: all of them where at most WHOLE_BUCKET members are outside its largest
-    component; else those of small groups by a hash, anew in each band."""
-    few = open_.where(F.col("outside") <= WHOLE_BUCKET)
-    x, y = few.where(F.col("comp") != F.col("main")).alias("x"), few.alias("y")
-    whole = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
-    many = open_.where(F.col("outside") > WHOLE_BUCKET).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / GROUP)))
-    x, y = many.alias("x"), many.alias("y")
-    some = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
-    ends = [F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")]
-    return together(whole.select(*ends), some.select(*ends))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: the pairs that are as similar as LEAST says or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-
-
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: links between nodes(node, n, keys, fp), enough of those found to connect all that they connect. Each round
-    compares only what the links of the rounds before leave apart."""
-    member, close = settle(members(nodes)), settle(close_prints(nodes))
-    wanted = member.select("node").unionAll(close.select(F.explode(F.array("a", "b")))).distinct()
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets, "node long, shingles binary")
-    sets = settle(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    found = settle(verified(settle(fitting(together(close, stars(member)))), sets))
-    for more in (chains, groups):
-        left = settle(apart(member, connected_components(found)))
-        found = settle(together(found, verified(settle(fitting(more(left))), sets)))
-    return found
+    far = close.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("x"), F.col("of_b").alias("y"))
+    equal = nodes.join(distinct, "fp").where(F.col("nid") != F.col("least")).select(F.col("least").alias("x"), F.col("nid").alias("y"))
+    return tables.write("close", far.unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group that links connect: the one with the smallest id, or one without
-    an id if no other is there; columns unchanged. Rows that repeat an id and a text aren't told apart."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.col("text").cast("string")
-    key = F.xxhash64(text)
-    prints = settle(docs.select("doc_id", key.alias("text_key"), text.alias("text")).mapInArrow(_prints, f"doc_id {kind}, text_key long, node long, n long, keys array<long>, fp long"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))).alias("first")
-    nodes = settle(prints.groupBy("node").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
-    labels = connected_components(links(docs, nodes.select("node", "n", "keys", "fp")))
-    # component of each linked node, then its first document
-    member = nodes.select("node", "first").join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    an id if no other is there; columns unchanged. Rows that repeat an id and a text aren't told apart. Texts without
+    words are one group. An empty table gives no rows."""
+    tables = Tables(docs.sparkSession)
+    printed = tables.write("prints", tensor_minhash.prints(docs, SHINGLE, fingerprints=True))
+    nodes = tables.write("nodes", tensor_minhash.nodes_of(printed))
+    labels = tensor_minhash.components(tables, docs, nodes, SHINGLE, close_prints(tables, nodes.select("nid", "fp")))
+    # component of each node, then its first document
+    member = tensor_minhash.labelled(nodes.select("nid", "set", "first"), labels, "nid", "component")
     kept = member.groupBy("component").agg(F.min("first").alias("kept"))
-    of_node = settle(member.join(kept, "component").select("node", "kept"))
+    of_set = tables.write("kept", member.join(kept, "component").select("set", "kept"))
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key"))
-    gone = prints.select("doc_id", "text_key", "node").join(of_node, "node").where(~stays)
-    gone = beside(gone.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct())
-    mine = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), key.alias("__text"))
-    return mine.join(gone, F.col("__doc").eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__key")), "left_anti").select("__row.*")
+    gone = printed.select("doc_id", "text_key", "set").join(of_set, "set").where(~stays)
+    gone = tables.write("gone", gone.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct())
+    if gone.count() <= SENT:
+        gone = F.broadcast(gone)
+    mine = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__text"))
+    left = mine.join(gone, F.col("__doc").eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__key")), "left_anti").select("__row.*")
+    tables.drop(*[name for name in tables.paths if name != "gone"])
+    return left

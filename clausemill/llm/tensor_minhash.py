@@ -6,10 +6,11 @@ four minima, which plain banding would need four hundred for. A pair of sets at
 probability (1 - (1 - s**ROWS)**BANDS)**2, which is 0.9999 at 0.8.
 
 Links are found in rounds, each only between what the links before leave apart: each set with the one of its buckets'
-least members that it shares most tables with; with the others of those; and the members of buckets that are still of
-several components, all of them where no more than OUTSIDE are outside the largest. What is left, members of large
-buckets that hardly link, goes through an exact join on prefixes: two sets at 4/5 share one of the first fifth of their
-shingles, the rarest first. So no bucket makes more than OUTSIDE pairs for each member, and none is cut off.
+hubs that it shares most tables with, a hub being the member that meets most others; with the other hubs; and the
+members of buckets that are still of several components, all of them where no more than OUTSIDE are outside the largest.
+What is left, members of large buckets that hardly link, goes through an exact join on prefixes: two sets at 4/5 share
+one of the first fifth of their shingles, the rarest first. So no bucket makes more than OUTSIDE pairs for each member,
+and none is cut off. Of all pairs only those are compared whose bitmaps differ in no more bits than sets at 4/5 can.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -33,6 +34,8 @@ BANDS, ROWS = 10, 2
 SEED = 42
 #: Members outside a bucket's largest component up to which they are compared with all of the bucket.
 OUTSIDE = 16
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 8
 #: Keys of texts that are sent to all tasks instead of moving texts.
 SENT = 500_000
 #: Shingles of which minima are taken in one step.
@@ -68,6 +71,13 @@ def collections(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(each[i].tobytes(), i) for i in range(2 * BANDS)], np.uint64).view(np.int64)
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of the shingles fall on. Each bit in which two bitmaps differ needs a shingle that only one
+    of the sets has, so sets differ in as many shingles at least."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
@@ -76,34 +86,34 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _printed(words: int, fingerprints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, size, keys, prints = [], [], [], []
+            sets, size, keys, bits, prints = [], [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), words)
                 sets.append(xxhash.xxh3_128_digest(found.tobytes()))
                 size.append(len(found))
                 keys.append(collections(found))
+                bits.append(bitmap(found))
                 prints.append(simhash.fingerprint(found) if fingerprints else 0)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (2 * BANDS)), flat)
-            columns = [batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(size, pa.int64()), lists, pa.array(np.array(prints, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set", "n", "keys", "fp"])
+            lists = lambda x, n, rows=len(sets): pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
+            columns = [batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(size, pa.int64()), lists(keys, 2 * BANDS), lists(bits, BITMAP), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set", "n", "keys", "bits", "fp"])
 
     return run
 
 
 def prints(docs: DataFrame, words: int, fingerprints: bool = False) -> DataFrame:
-    """doc_id, text_key, set (a digest of it), n, keys, fp for each row of docs(doc_id, text)."""
+    """doc_id, text_key, set (a digest of it), n, keys, bits, fp for each row of docs(doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return rows.mapInArrow(_printed(words, fingerprints), f"doc_id {kind}, text_key long, set binary, n long, keys array<long>, fp long")
+    return rows.mapInArrow(_printed(words, fingerprints), f"doc_id {kind}, text_key long, set binary, n long, keys array<long>, bits array<long>, fp long")
 
 
 def nodes_of(printed: DataFrame) -> DataFrame:
-    """nid, set, n, keys, fp, first (none, doc_id, text_key): a row for each different set, with the first document that
+    """nid, set, n, keys, bits, fp, first (none, doc_id, text_key): a row for each different set, with the first document that
     has it, one without an id only if no other is there."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))).alias("first")
-    each = printed.groupBy("set").agg(first, *[F.first(c).alias(c) for c in ("n", "keys", "fp")])
+    each = printed.groupBy("set").agg(first, *[F.first(c).alias(c) for c in ("n", "keys", "bits", "fp")])
     return each.withColumn("nid", F.monotonically_increasing_id())
 
 
@@ -131,24 +141,39 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def members(tables: Tables, nodes: DataFrame) -> DataFrame:
-    """key, nid, n, pivot, pivot_n: a row for each table in which a set shares its bucket; pivot is the bucket's least."""
+    """key, nid, hub: a row for each table in which a set shares its bucket. hub is the one of the bucket that meets most
+    sets over all tables: what others were copied from, if it is there."""
     a, b = F.slice("keys", 1, BANDS), F.slice("keys", BANDS + 1, BANDS)
     pairs = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.xxhash64(x, y, i * BANDS + j))))
-    each = nodes.select("nid", "n", F.explode(pairs).alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("nid", "n")).alias("pivot")).where("size > 1")
-    shared = tables.write("buckets", shared.select("key", F.col("pivot.nid").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
-    return tables.write("members", each.join(shared, "key"))
+    each = nodes.select("nid", F.explode(pairs).alias("key"))
+    shared = tables.write("buckets", each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    met = tables.write("met", each.join(shared, "key"))
+    scored = met.join(met.groupBy("nid").agg(F.sum("size").alias("score")), "nid")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "nid")).alias("hub"))
+    member = tables.write("members", met.join(hubs, "key").select("key", "nid", F.col("hub.nid").alias("hub")))
+    tables.drop("buckets", "met")
+    return member
+
+
+def fits(na: Column, nb: Column, bits_a: Column, bits_b: Column) -> Column:
+    """Whether two sets of these sizes and bitmaps can be as similar as LEAST: at s they differ in at most
+    (1 - s) / (1 + s) of both sizes' sum."""
+    differ = reduce(Column.__add__, [F.bit_count(F.get(bits_a, i).bitwiseXOR(F.get(bits_b, i))) for i in range(BITMAP)])
+    sizes = F.least(na, nb) * LEAST[1] >= F.greatest(na, nb) * LEAST[0]
+    return sizes & (differ * (LEAST[1] + LEAST[0]) <= (na + nb) * (LEAST[1] - LEAST[0]))
 
 
-def fitting(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b, na, nb) whose sizes allow the similarity."""
-    return pairs.where(F.least("na", "nb") * LEAST[1] >= F.greatest("na", "nb") * LEAST[0])
+def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs(a, b, ...) that can be as similar as LEAST by what nodes(nid, n, bits) say."""
+    of = lambda side: nodes.select(F.col("nid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(fits(*map(F.col, ("na", "nb", "bits_a", "bits_b")))).select(*pairs.columns)
 
 
-def stars(member: DataFrame) -> DataFrame:
-    """a, b, shared: each set with the least of its buckets, and the number of tables in which they meet."""
-    ends = member.where(F.col("nid") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("nid").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb"))
-    return fitting(ends).groupBy("a", "b").agg(F.count("*").alias("shared"))
+def stars(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, hub, shared: each set with the hubs of its buckets, and the number of tables in which they meet; a is the
+    lesser of both."""
+    ends = member.where(F.col("nid") != F.col("hub")).groupBy("nid", "hub").agg(F.count("*").alias("shared"))
+    return fitting(ends.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b"), "hub", "shared"), nodes)
 
 
 def labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
@@ -162,21 +187,20 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, nid, n, comp, main, outside: the members of buckets that still hold several components; main is the one with
+    """key, nid, comp, main, outside: the members of buckets that still hold several components; main is the one with
     most members, outside the number of those that aren't in it."""
-    known = labelled(member.select("key", "nid", "n"), labels, "nid", "comp")
+    known = labelled(member.select("key", "nid"), labels, "nid", "comp")
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     buckets = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).where(F.col("main.c") < F.col("size"))
     return known.join(buckets.select("key", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.c")).alias("outside")), "key")
 
 
-def few_outside(found: DataFrame) -> DataFrame:
-    """Those outside the largest component of their bucket with all others of it."""
+def few_outside(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: those outside the largest component of their bucket with all others of it."""
     some = found.where(F.col("outside") <= OUTSIDE)
     x, y = some.where(F.col("comp") != F.col("main")).alias("x"), some.alias("y")
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
-    pairs = both.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    return fitting(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return fitting(both.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), nodes)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +213,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def by_prefixes(tables: Tables, crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: every pair of crowd(nid, n, comp) that can be as similar as LEAST says, by an exact join.
+    """a, b: every pair of crowd(nid, n, bits, comp) that can be as similar as LEAST says, by an exact join.
 
     Of two sets of m and n shingles at similarity s or more, the first m - ceil(s * m) + 1 of the one and as many of the
     other in a common order share one. The order is by the number of sets that hold a shingle, so what many texts share
@@ -201,11 +225,12 @@ def by_prefixes(tables: Tables, crowd: DataFrame, sets: DataFrame) -> DataFrame:
     ranked = each.join(held, "token").groupBy("nid", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     # a set's own shingles come first: of the prefix, so many places are left for shared ones
     first = F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1 - (F.col("n") - F.size("order"))
-    kept = tables.write("prefixes", ranked.where(first > 0).select("nid", "n", "comp", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("x")).select("nid", "n", "comp", "x.token"))
+    kept = ranked.where(first > 0).select("nid", "n", "comp", F.slice("order", F.lit(1), first.cast("int")).alias("order")).join(crowd.select("nid", "bits"), "nid")
+    kept = tables.write("prefixes", kept.select("nid", "n", "comp", "bits", F.explode("order").alias("x")).select("nid", "n", "comp", "bits", "x.token"))
     x, y = kept.alias("x"), kept.alias("y")
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")))
-    pairs = both.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    return fitting(pairs).select("a", "b").distinct()
+    may = fits(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & may)
+    return both.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
 
 
 # -- links --------------------------------------------------------------------------------------------
@@ -247,23 +272,28 @@ class Links:
 
 
 def components(tables: Tables, docs: DataFrame, nodes: DataFrame, words: int, more: DataFrame | None = None) -> DataFrame:
-    """node, component: what links of nodes(nid, n, keys, first) connect; nodes without links may be missing. more(a, b):
-    candidates of another kind, compared in the first round."""
-    member = members(tables, nodes.select("nid", "n", "keys"))
-    star = tables.write("stars", stars(member))
-    wanted = [member.select("nid")] + ([more.select(F.explode(F.array("a", "b")).alias("nid"))] if more is not None else [])
+    """node, component: what links of nodes(nid, n, keys, bits, first) connect; nodes without links may be missing.
+    more(a, b): candidates of another kind, compared in the first round."""
+    member = members(tables, nodes)
+    star = tables.write("stars", stars(member, nodes))
+    wanted = [member.select("nid")]
+    if more is not None:
+        more = tables.write("more", fitting(more, nodes))
+        wanted.append(more.select(F.explode(F.array("a", "b")).alias("nid")))
     wanted = nodes.select("nid", "first").join(reduce(DataFrame.unionAll, wanted).distinct(), "nid", "left_semi")
     sets = tables.write("sets", sets_of(docs, tables.write("wanted", wanted), words))
     links = Links(tables, sets)
-    best = star.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links.add(best if more is None else best.unionAll(more.select("a", "b")).distinct())
-    links.add(apart(star, links.labels))
+    near = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))
+    best = star.groupBy(near.alias("nid")).agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b")
+    links.add((best if more is None else best.unionAll(more)).distinct())
+    links.add(apart(star.select("a", "b").distinct(), links.labels))
     found = tables.write("open", open_buckets(member, links.labels))
-    links.add(few_outside(found).join(star, ["a", "b"], "left_anti"))
+    links.add(few_outside(found, nodes).join(star, ["a", "b"], "left_anti"))
     crowd = found.where(F.col("outside") > OUTSIDE).select("nid").distinct()
     if crowd.limit(1).count():
-        crowd = labelled(nodes.select("nid", "n").join(crowd, "nid", "left_semi"), links.labels, "nid", "comp")
+        crowd = labelled(nodes.select("nid", "n", "bits").join(crowd, "nid", "left_semi"), links.labels, "nid", "comp")
         links.add(by_prefixes(tables, tables.write("crowd", crowd), sets).join(star, ["a", "b"], "left_anti"))
+    tables.drop("sets", "members", "open", "stars")
     return links.labels
 
 
