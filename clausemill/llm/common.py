@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -37,6 +38,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """What runs inside hands Python at most so many rows at once: whole texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Tables:
     """Intermediate tables, written as Parquet to the shared folder: columns compressed, read as any table, and gone when
     they are dropped, which a checkpoint isn't."""
@@ -48,7 +61,8 @@ class Tables:
         made = self.paths.setdefault(name, [])
         path = f"{self.folder}/{name}-{len(made)}"
         made.append(path)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -187,50 +187,59 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, nid, comp, main, outside: the members of buckets that still hold several components; main is the one with
-    most members, outside the number of those that aren't in it."""
+    """key, nid, comp, main, outside: the members(key, nid) of buckets that still hold several components; main is the one
+    with most members, outside the number of those that aren't in it."""
     known = labelled(member.select("key", "nid"), labels, "nid", "comp")
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     buckets = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).where(F.col("main.c") < F.col("size"))
     return known.join(buckets.select("key", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.c")).alias("outside")), "key")
 
 
-def few_outside(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: those outside the largest component of their bucket with all others of it."""
-    some = found.where(F.col("outside") <= OUTSIDE)
+def across(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: of open buckets, those outside the largest component with all others that can be as similar as LEAST."""
+    some = found.join(nodes.select("nid", "n", "bits"), "nid")
     x, y = some.where(F.col("comp") != F.col("main")).alias("x"), some.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
-    return fitting(both.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), nodes)
+    may = fits(*(F.col(c) for c in ("x.n", "y.n", "x.bits", "y.bits")))
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & may)
+    return both.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
-            size = some.column(1).to_numpy().astype(np.int64)
-            tokens = np.frombuffer(b"".join(some.column(3).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(i).to_numpy(), size)) for i in range(3)] + [pa.array(tokens)], ["nid", "n", "comp", "token"])
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(at, 500)]
+            nid = np.repeat(batch.column(0).slice(at, 500).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nid), pa.array(np.concatenate(sets))], ["nid", "token"])
 
 
-def by_prefixes(tables: Tables, crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: every pair of crowd(nid, n, bits, comp) that can be as similar as LEAST says, by an exact join.
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """nid, shingles, rare (those of them that few sets hold) -> nid, key for each shingle of the prefix."""
+    for batch in batches:
+        nids, keys = [], []
+        for nid, whole, few in zip(*batch.columns, strict=True):
+            found = np.frombuffer(whole.as_buffer(), np.int64)
+            rare = np.sort(np.array(few.as_py() or [], np.int64))
+            order = np.concatenate([rare, np.setdiff1d(found, rare, assume_unique=True)])
+            first = len(found) + (-len(found) * LEAST[0] // LEAST[1]) + 1
+            nids.append(np.full(first, nid.as_py()))
+            keys.append(order[:first])
+        if nids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nids)), pa.array(np.concatenate(keys))], ["nid", "key"])
+
+
+def by_prefixes(tables: Tables, crowd: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: every pair of crowd(nid, n, bits) of two components that can be as similar as LEAST, by an exact join.
 
     Of two sets of m and n shingles at similarity s or more, the first m - ceil(s * m) + 1 of the one and as many of the
-    other in a common order share one. The order is by the number of sets that hold a shingle, so what many texts share
-    comes last; shingles that no other set holds fill their places and meet nothing.
+    other in a common order share one. In the order taken here, shingles that more than OUTSIDE sets hold come last, so
+    that what many texts share makes no pairs.
     """
-    each = crowd.join(sets, "nid").select("nid", "n", "comp", "shingles").mapInArrow(_tokens, "nid long, n long, comp long, token long")
-    each = tables.write("tokens", each)
-    held = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(held, "token").groupBy("nid", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    # a set's own shingles come first: of the prefix, so many places are left for shared ones
-    first = F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1 - (F.col("n") - F.size("order"))
-    kept = ranked.where(first > 0).select("nid", "n", "comp", F.slice("order", F.lit(1), first.cast("int")).alias("order")).join(crowd.select("nid", "bits"), "nid")
-    kept = tables.write("prefixes", kept.select("nid", "n", "comp", "bits", F.explode("order").alias("x")).select("nid", "n", "comp", "bits", "x.token"))
-    x, y = kept.alias("x"), kept.alias("y")
-    may = fits(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"))
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & may)
-    return both.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
+    mine = tables.write("crowd_sets", sets.join(crowd.select("nid"), "nid", "left_semi"))
+    each = mine.select("nid", "shingles").mapInArrow(_tokens, "nid long, token long")
+    common = each.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > OUTSIDE).select("token")
+    rare = each.join(common, "token", "left_anti").groupBy("nid").agg(F.collect_list("token").alias("rare"))
+    kept = mine.join(rare, "nid", "left").select("nid", "shingles", "rare").mapInArrow(_prefixes, "nid long, key long")
+    return across(tables.write("open_prefixes", open_buckets(tables.write("prefixes", kept), labels)), crowd)
 
 
 # -- links --------------------------------------------------------------------------------------------
@@ -288,11 +297,11 @@ def components(tables: Tables, docs: DataFrame, nodes: DataFrame, words: int, mo
     links.add((best if more is None else best.unionAll(more)).distinct())
     links.add(apart(star.select("a", "b").distinct(), links.labels))
     found = tables.write("open", open_buckets(member, links.labels))
-    links.add(few_outside(found, nodes).join(star, ["a", "b"], "left_anti"))
+    links.add(across(found.where(F.col("outside") <= OUTSIDE), nodes).join(star, ["a", "b"], "left_anti"))
     crowd = found.where(F.col("outside") > OUTSIDE).select("nid").distinct()
     if crowd.limit(1).count():
-        crowd = labelled(nodes.select("nid", "n", "bits").join(crowd, "nid", "left_semi"), links.labels, "nid", "comp")
-        links.add(by_prefixes(tables, tables.write("crowd", crowd), sets).join(star, ["a", "b"], "left_anti"))
+        crowd = tables.write("crowd", nodes.select("nid", "n", "bits").join(crowd, "nid", "left_semi"))
+        links.add(by_prefixes(tables, crowd, sets, links.labels).join(star, ["a", "b"], "left_anti"))
     tables.drop("sets", "members", "open", "stars")
     return links.labels
 

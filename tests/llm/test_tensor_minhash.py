@@ -90,8 +90,9 @@ def test_an_exact_join_for_crowds(spark):
     ids = [i for i, _ in docs]
     all_sets = spark.createDataFrame([(i, bytearray(tensor_minhash.shingles(t, 4).tobytes())) for i, t in docs], "nid long, shingles binary")
     hashes = {i: tensor_minhash.shingles(t, 4) for i, t in docs}
-    crowd = spark.createDataFrame([(i, len(h), [int(x) for x in tensor_minhash.bitmap(h)], i) for i, h in hashes.items()], "nid long, n long, bits array<long>, comp long")
-    pairs = {tuple(p) for p in tensor_minhash.by_prefixes(tables, crowd, all_sets).collect()}
+    crowd = spark.createDataFrame([(i, len(h), [int(x) for x in tensor_minhash.bitmap(h)]) for i, h in hashes.items()], "nid long, n long, bits array<long>")
+    none = spark.createDataFrame([], "node long, component long")
+    pairs = {tuple(p) for p in tensor_minhash.by_prefixes(tables, crowd, all_sets, none).collect()}
     s = sets(docs)
     real = {(a, b) for a in ids for b in ids if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
     assert real and real <= pairs
