@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.functions.similarity import partial_ratio_udf, token_set_ratio_udf
 from clausemill.functions.text import cosine, joined, overlap, tokens, trigrams
 
 from . import fusion
@@ -30,25 +29,43 @@ def search_text(text: str = "text", heading: str = "heading", number: str = "cla
     return joined(F.col(text), F.col(heading), F.col(number))
 
 
-def bm25(corpus: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25(corpus: DataFrame, terms: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score > 0 for corpus(chunk_id, content) and the words of all terms of a query.
 
     Statistics take the whole corpus, as partial counts for each word; frequencies are counted inside the chunks' rows
-    and only for words that are asked for, so the corpus isn't shuffled.
+    and only for words that are asked for, so the corpus isn't shuffled. exclude(query_id, chunk_id): chunks that aren't
+    in a question's corpus; what they count is taken off again, so that only they are read once more.
     """
     words = corpus.select("chunk_id", tokens(F.col("content")).alias("words")).select("chunk_id", F.size("words").alias("dl"), "words")
     df = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    size = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = df.crossJoin(F.broadcast(size)).select("word", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
-    mean = idf.agg(F.avg("idf").alias("mean"))
+    size = words.agg(F.count("*").alias("n"), F.sum("dl").alias("all_dl"))
     asked = terms.select("query_id", F.explode(tokens(F.col("term"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    weights = asked.join(idf, "word").crossJoin(F.broadcast(mean)).select("query_id", "word", "avgdl", (F.col("times") * F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))).alias("w"))
+    rarity = lambda n, d: F.log(n - d + 0.5) - F.log(d + 0.5)
+    if exclude is None:
+        idf = df.crossJoin(F.broadcast(size)).select("word", (F.col("all_dl") / F.col("n")).alias("avgdl"), rarity(F.col("n"), F.col("df")).alias("idf"))  # one row
+        mean = idf.agg(F.avg("idf").alias("mean"))
+        weights = asked.join(idf, "word").crossJoin(F.broadcast(mean))
+    else:
+        gone = words.join(F.broadcast(exclude), "chunk_id")
+        gone_df = gone.select("query_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("gone"))
+        less = gone.groupBy("query_id").agg(F.count("*").alias("less_n"), F.sum("dl").alias("less_dl"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        sizes = asked.select("query_id").distinct().join(less, "query_id", "left").crossJoin(F.broadcast(size))
+        sizes = sizes.select("query_id", (F.col("n") - zero("less_n")).alias("n"), ((F.col("all_dl") - zero("less_dl")) / (F.col("n") - zero("less_n"))).alias("avgdl"))
+        # the batch's questions beside each word of the vocabulary, not beside each chunk
+        each = df.crossJoin(F.broadcast(sizes)).join(gone_df, ["query_id", "word"], "left").withColumn("df", F.col("df") - zero("gone")).where("df > 0")
+        idf = each.select("query_id", "word", "avgdl", rarity(F.col("n"), F.col("df")).alias("idf"))
+        weights = asked.join(idf, ["query_id", "word"]).join(F.broadcast(idf.groupBy("query_id").agg(F.avg("idf").alias("mean"))), "query_id")
+    weights = weights.select("query_id", "word", "avgdl", (F.col("times") * F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))).alias("w"))
     # the batch's words, one row; frequencies are counted inside each row, and only for these words
     wanted = asked.agg(F.collect_set("word").alias("wanted"))
     held = words.crossJoin(F.broadcast(wanted)).select("chunk_id", "dl", F.filter("words", lambda w: F.array_contains("wanted", w)).alias("held"))
     tf = held.select("chunk_id", "dl", "held", F.explode(F.array_distinct("held")).alias("word")).select("chunk_id", "dl", "word", F.size(F.filter("held", lambda w: w == F.col("word"))).alias("tf"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(weights, "word").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    scored = tf.join(weights, "word")
+    if exclude is not None:
+        scored = scored.join(F.broadcast(exclude), ["query_id", "chunk_id"], "left_anti")
+    return scored.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def vectors(embeddings: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -67,7 +84,7 @@ def heading_sum(chunks: DataFrame, needles: DataFrame) -> DataFrame:
     by_number = (number != "") & ((number == n) | number.startswith(F.concat(n, F.lit("."))) | n.startswith(number))
     score = F.when(by_number, 100).when((heading != "") & heading.contains(n), 80).when(F.substring(F.lower(F.coalesce("text", F.lit(""))), 1, 200).contains(n), 20).otherwise(0)
     j = chunks.select(F.col("id").alias("chunk_id"), "clause_number", "heading", "text").crossJoin(F.broadcast(needles))
-    return j.groupBy("query_id", "chunk_id").agg(F.sum(score).alias("score")).where("score > 0")
+    return j.select("query_id", "chunk_id", score.alias("s")).where("s > 0").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
 
 
 def heading_first(chunks: DataFrame, needles: DataFrame) -> DataFrame:
@@ -98,18 +115,6 @@ def trigram(chunks: DataFrame, terms: DataFrame, threshold: float = TRIGRAM_THRE
     return hits.groupBy("query_id", "term_pos", "chunk_id").agg(score.alias("score")).where(F.col("score") >= threshold)
 
 
-def fuzzy(corpus: DataFrame, terms: DataFrame, least: float) -> DataFrame:
-    """query_id, chunk_id, score: the best partial ratio of a term in corpus(chunk_id, content)."""
-    j = corpus.select("chunk_id", F.lower("content").alias("content")).crossJoin(F.broadcast(terms.select("query_id", F.lower("term").alias("term"))))
-    score = F.when(F.contains("content", "term"), 100.0).otherwise(partial_ratio_udf("term", "content"))
-    return j.select("query_id", "chunk_id", score.alias("s")).groupBy("query_id", "chunk_id").agg(F.max("s").alias("score")).where(F.col("score") > least)
-
-
-def vector_proxy(corpus: DataFrame, terms: DataFrame, least: float = 15.0) -> DataFrame:
-    j = corpus.crossJoin(F.broadcast(terms.select("query_id", "term")))
-    return j.select("query_id", "chunk_id", token_set_ratio_udf("term", "content").alias("s")).groupBy("query_id", "chunk_id").agg(F.max("s").alias("score")).where(F.col("score") > least)
-
-
 def any_word(chunks: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """query_id, chunk_id, rank: chunks that have any word of any term, in the order of their ids."""
     asked = terms.select("query_id", tokens(F.col("term")).alias("w")).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("asked"))
@@ -143,7 +148,7 @@ def table_heading(tables: DataFrame, needles: DataFrame) -> DataFrame:
         .otherwise(0)
     )
     j = tables.select(F.col("id").alias("chunk_id"), "table_number", "title", "text").crossJoin(F.broadcast(needles))
-    return j.groupBy("query_id", "chunk_id").agg(F.sum(score).alias("score")).where("score > 0")
+    return j.select("query_id", "chunk_id", score.alias("s")).where("s > 0").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
 
 
 def table_as_clause(table_number: Column, title: Column, source: Column) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import joined
-from clausemill.operators import fusion, retrieval
+from clausemill.operators import fusion, fuzzy, retrieval
 
 from . import retrieve
 from .registry import query
@@ -61,7 +61,7 @@ def _(v):
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query("R2_vector", f"SELECT query_id, chunk_id, rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, (row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COS}, 9) DESC, a.vec_id))::INT AS rank FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id < 3) b ON true WHERE a.vec_id IN (SELECT id FROM chunks)) WHERE rank <= 20")
+@query("R2_vector", f"SELECT query_id, chunk_id, rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, (row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COS}, 9) DESC, a.vec_id))::INT AS rank FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM queries)) b ON true WHERE a.vec_id IN (SELECT id FROM chunks)) WHERE rank <= 20")
 def _(v):
     e = v.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(v.chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     return retrieval.vectors(e, retrieve.query_vectors(v), 20)
@@ -83,12 +83,12 @@ def _(v):
 
 @query("R3_vector_proxy")
 def _(v):
-    return fusion.ranked(retrieval.vector_proxy(retrieve.corpus(v.chunks), _ask(v)), "proxy", 20)
+    return fusion.ranked(fuzzy.token_set(retrieve.corpus(v.chunks), _ask(v), 15, 20), "proxy", 20)
 
 
 @query("R4_fuzzy")
 def _(v):
-    return fusion.ranked(retrieval.fuzzy(retrieve.corpus(v.chunks), _terms(v), 40), "fuzzy", 20)
+    return fusion.ranked(fuzzy.partial(retrieve.corpus(v.chunks), _terms(v), 40, 20), "fuzzy", 20)
 
 
 _H_SUM = f"""SELECT query_id, id AS chunk_id, sum(CASE WHEN lower(trim(clause_number)) <> '' AND (lower(trim(clause_number)) = lower(term) OR starts_with(lower(trim(clause_number)), lower(term) || '.') OR starts_with(lower(term), lower(trim(clause_number)))) THEN 100
@@ -252,6 +252,66 @@ def _(v):
     return retrieve.retrieve(v, v.chunks, v.queries)
 
 
+def _retry(v):
+    """A second attempt: what the first selected is excluded, and half of the questions have no vector."""
+    first = retrieve.Retrieval(v.chunks, v.queries, retrieve.chunk_vectors(v), retrieve.query_vectors(v))
+    found = first.selected(first.signals()).select("query_id", "chunk_id").collect()  # a request's ids: at most TOP for each question
+    gone = v.spark.createDataFrame(found, "query_id long, chunk_id long")
+    return retrieve.Retrieval(v.chunks, v.queries, retrieve.chunk_vectors(v), retrieve.query_vectors(v).where("query_id % 2 = 0"), exclude=gone)
+
+
+@query("R12_retry")
+def _(v):
+    r = _retry(v)
+    return retrieve.with_rows(r.selected(r.signals()), v.chunks)
+
+
+@query("R12_trace")
+def _(v):
+    r = retrieve.Retrieval(v.chunks, v.queries, retrieve.chunk_vectors(v), retrieve.query_vectors(v))
+    signals = r.signals()
+    return r.trace(signals, r.selected(signals))
+
+
+_POOL = f"""gone AS (SELECT query_id, id AS chunk_id FROM queries JOIN chunks ON chunks.id % 11 = query_id), corp AS ({_CORPUS}),
+    sizes AS (SELECT query_id, pool, gone, least(greatest(40, 20 + gone), pool - gone) AS most_rows FROM (SELECT query_id, (SELECT count(*) FROM chunks) AS pool, (SELECT count(*) FROM gone g WHERE g.query_id = q.query_id) AS gone FROM queries q)),
+    wd AS (SELECT query_id, chunk_id, regexp_extract_all(lower(content), '{W}') AS ws FROM (SELECT query_id, chunk_id, content FROM corp, (SELECT query_id FROM queries) qs) ANTI JOIN gone USING (query_id, chunk_id)),
+    sz AS (SELECT query_id, count(*) AS n, avg(len(ws)) AS avgdl FROM wd GROUP BY query_id),
+    tf AS (SELECT query_id, chunk_id, dl, word, count(*) AS tf FROM (SELECT query_id, chunk_id, len(ws) AS dl, unnest(ws) AS word FROM wd) GROUP BY ALL),
+    idf AS (SELECT query_id, word, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT query_id, word, count(*) AS df FROM tf GROUP BY ALL) JOIN sz USING (query_id)),
+    mn AS (SELECT query_id, avg(idf) AS m FROM idf GROUP BY query_id),
+    ask AS (SELECT query_id, word, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(term), '{W}')) AS word FROM {_ASK} WHERE term <> '') GROUP BY ALL),
+    bm AS (SELECT query_id, chunk_id, sum(times * CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM ask JOIN idf USING (query_id, word) JOIN tf USING (query_id, word) JOIN mn USING (query_id) GROUP BY ALL),
+    vc AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COS}, 9) DESC, a.vec_id) AS r FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM queries)) b ON true WHERE a.vec_id IN (SELECT id FROM chunks)),
+    hd AS (SELECT query_id, chunk_id, score FROM ({_H_SUM}) WHERE score > 0),
+    wo AS ({_WORDS.replace("[' || '", "").replace("regexp_extract_all(lower(trim(term1)), '" + W + "') AS asked", "list_concat(regexp_extract_all(lower(trim(term1)), '" + W + "'), regexp_extract_all(lower(trim(term2)), '" + W + "')) AS asked")}),
+    most AS (SELECT greatest(40, 20 + max(gone)) AS most FROM sizes),
+    lists AS (SELECT query_id, 1 AS place, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM bm WHERE score > 0
+        UNION ALL SELECT query_id, 2, chunk_id, r FROM vc, most WHERE r <= most
+        UNION ALL SELECT query_id, 4, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM hd
+        UNION ALL SELECT query_id, 5, chunk_id, rank FROM wo, most WHERE rank <= most),
+    cut AS (SELECT query_id, place, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, place ORDER BY r) AS rank FROM lists ANTI JOIN gone USING (query_id, chunk_id)) JOIN sizes USING (query_id) WHERE rank <= most_rows)"""
+
+
+def _excluding(v):
+    """All signals but the fuzzy one, which SQL can't express, over a pool without some chunks of each question."""
+    gone = v.queries.join(v.chunks.select(F.col("id").alias("chunk_id")), F.col("chunk_id") % 11 == F.col("query_id")).select("query_id", "chunk_id")
+    r = retrieve.Retrieval(v.chunks, v.queries, retrieve.chunk_vectors(v), retrieve.query_vectors(v), exclude=gone)
+    return r, r.signals().where("signal <> 'fuzzy'")
+
+
+@query("R12_excluding", f"WITH {_POOL}, f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min({{'p': place, 'r': rank}}) AS first FROM cut GROUP BY ALL) SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, chunk_id))::INT AS rank FROM f) WHERE rank <= 20")
+def _(v):
+    r, signals = _excluding(v)
+    return r.selected(signals).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("R12_counts", f"WITH {_POOL}, n AS (SELECT query_id, count(*) FILTER (place = 1) AS n_fts_bm25, count(*) FILTER (place = 2) AS n_vector, 0::BIGINT AS n_fuzzy, count(*) FILTER (place = 4) AS n_heading, count(*) FILTER (place = 5) AS n_fts, least(20, count(DISTINCT chunk_id)) AS returned FROM cut GROUP BY query_id) SELECT query_id, pool AS chunk_pool, pool - gone AS search_pool, gone AS excluded_count, n_fts_bm25, n_vector, n_fuzzy, n_heading, n_fts, 'vectors' AS vector_source, returned FROM sizes JOIN n USING (query_id)")
+def _(v):
+    r, signals = _excluding(v)
+    return r.counts(signals, r.selected(signals))
+
+
 @query("R12_retrieve_two_signals", f"WITH {_bm25_sql(_CORPUS, _ASK)}, hd AS ({_H_SUM}), s AS (SELECT query_id, chunk_id, 1 AS place, rank FROM (SELECT *, {_RANK} FROM bm WHERE score > 0) WHERE rank <= 40 UNION ALL SELECT query_id, chunk_id, 2, rank FROM (SELECT *, {_RANK} FROM hd WHERE score > 0) WHERE rank <= 40), f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min({{'p': place, 'r': rank}}) AS first FROM s GROUP BY ALL) SELECT query_id, chunk_id, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, chunk_id))::INT AS rank FROM f) WHERE rank <= 12")
 def _(v):
     one = fusion.ranked(retrieval.bm25(retrieve.corpus(v.chunks), _ask(v)), "bm25", 40)
@@ -331,7 +391,7 @@ def _(v):
 @query("R19_table_fuzzy")
 def _(v):
     corpus = _tables(v).select(F.col("id").alias("chunk_id"), retrieval.table_text().alias("content"))
-    return fusion.ranked(retrieval.fuzzy(corpus, _terms(v), 35), "fuzzy", 20)
+    return fusion.ranked(fuzzy.partial(corpus, _terms(v), 35, 20), "fuzzy", 20)
 
 
 @query("R20_table_retry", f"WITH {_bm25_sql(_TCORPUS, _ASK)}, th AS ({_TH}), s AS (SELECT query_id, chunk_id, 1 AS place, rank FROM (SELECT *, {_RANK} FROM bm WHERE score > 0) WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, 2, rank FROM (SELECT *, {_RANK} FROM th WHERE score > 0) WHERE rank <= 20), f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min({{'p': place, 'r': rank}}) AS first FROM s WHERE chunk_id % 5 <> 0 GROUP BY ALL) SELECT query_id, chunk_id, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, chunk_id))::INT AS rank FROM f) WHERE rank <= 12")

@@ -1,15 +1,20 @@
-"""The retrieval plan: five signals over the visible chunks, fused, cut and filled."""
+"""The retrieval plan: five signals over what a question may search, fused, cut and filled, and a trace of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.operators import fusion, retrieval
+from clausemill.operators import fusion, fuzzy, retrieval
 from clausemill.sources.derived import Views
 
-CANDIDATES, TOP = 40, 12
-ORDER = ["bm25", "vector", "heading", "trigram", "words"]
+CANDIDATES, TOP = 40, 20
+ORDER = ["fts_bm25", "vector", "fuzzy", "heading", "fts"]
+LEAST_FUZZY, LEAST_PROXY = 40, 15
+#: Rows of each signal in a trace, and characters of a text in it.
+TRACED, PREVIEW = 10, 160
 
 
 def corpus(chunks: DataFrame) -> DataFrame:
@@ -17,35 +22,101 @@ def corpus(chunks: DataFrame) -> DataFrame:
 
 
 def query_vectors(v: Views) -> DataFrame:
-    """The first three vectors stand for those of the first questions."""
-    return v.embeddings.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("term_pos"), F.col("embedding").alias("vector"))
+    """The vectors with the questions' numbers stand for theirs."""
+    asked = F.broadcast(v.queries.select("query_id"))  # a batch of questions
+    return v.embeddings.join(asked, F.col("vec_id") == F.col("query_id")).select("query_id", F.lit(0).alias("term_pos"), F.col("embedding").alias("vector"))
 
 
-def signals(v: Views, chunks: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
-    """signal -> rows(query_id, chunk_id, rank)"""
-    ask, names = retrieval.clean_terms(queries, "rephrased_query", "term1", "term2"), retrieval.clean_terms(queries, "heading1", "heading2")
-    vectors = v.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    per_term = retrieval.trigram(chunks, retrieval.clean_terms(queries, "term1", "term2"))
-    from pyspark.sql import Window
+def chunk_vectors(v: Views) -> DataFrame:
+    return v.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
 
-    w = Window.partitionBy("query_id", "term_pos").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    per_term = per_term.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)
-    return {
-        "bm25": fusion.ranked(retrieval.bm25(corpus(chunks), ask), "bm25", CANDIDATES),
-        "vector": retrieval.vectors(vectors, query_vectors(v), CANDIDATES),
-        "heading": fusion.ranked(retrieval.heading_sum(chunks, names), "heading", CANDIDATES),
-        "trigram": fusion.concatenated(per_term, CANDIDATES),
-        "words": retrieval.any_word(chunks, retrieval.clean_terms(queries, "term1"), CANDIDATES),
-    }
 
+class Retrieval:
+    """Signals of a batch of questions.
 
-def retrieve(v: Views, chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    chunks: what the questions may search. vectors(query_id, term_pos, vector): of the questions that have one; for a
+    question whose vectors find nothing, the words' similarity stands in for them, in the same plan. exclude(query_id,
+    chunk_id): what an earlier attempt found, which is searched no more.
+    """
+
+    def __init__(self, chunks: DataFrame, queries: DataFrame, embeddings: DataFrame, vectors: DataFrame, exclude: DataFrame | None = None, top: int = TOP, candidates: int = CANDIDATES):
+        self.chunks, self.queries, self.embeddings, self.vectors, self.top, self.candidates = chunks, queries, embeddings, vectors, top, candidates
+        pool = chunks.agg(F.count("*").alias("pool"))
+        self.gone, self.most = None, 0
+        sizes = queries.select("query_id").crossJoin(F.broadcast(pool)).withColumn("gone", F.lit(0).cast("long"))
+        if exclude is not None:
+            # a few dozen ids for each question of the batch
+            self.gone = exclude.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("query_id", "chunk_id").distinct()
+            counts = self.gone.groupBy("query_id").agg(F.count("*").alias("n"))
+            sizes = sizes.drop("gone").join(F.broadcast(counts), "query_id", "left").withColumn("gone", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+            self.most = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        #: query_id, pool, gone, fetch: how many rows a signal hands on
+        self.sizes = sizes.withColumn("fetch", F.least(F.greatest(F.lit(candidates), F.lit(top) + F.col("gone")), F.col("pool") - F.col("gone")))
+
+    def _cut(self, ranked: DataFrame) -> DataFrame:
+        """query_id, chunk_id, score, rank without what is excluded, ranked anew and cut."""
+        if self.gone is not None:
+            ranked = ranked.join(F.broadcast(self.gone), ["query_id", "chunk_id"], "left_anti")
+            ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        cut = ranked.join(F.broadcast(self.sizes.select("query_id", "fetch")), "query_id").where("rank <= fetch")
+        return cut.select("query_id", "chunk_id", (F.col("score") if "score" in ranked.columns else F.lit(None)).cast("double").alias("score"), "rank")
+
+    def signals(self) -> DataFrame:
+        """query_id, signal, chunk_id, score, rank"""
+        clean, many = retrieval.clean_terms, max(self.candidates, self.top + self.most)
+        words = corpus(self.chunks)
+        ask, terms = clean(self.queries, "rephrased_query", "term1", "term2"), clean(self.queries, "term1", "term2")
+        # a question without terms is searched by its own words
+        none = clean(self.queries, "rephrased_query").join(F.broadcast(terms.select("query_id").distinct()), "query_id", "left_anti")
+        held = self.embeddings.join(self.chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+        near = self._cut(retrieval.vectors(held, self.vectors, many))
+        alone = clean(self.queries, "rephrased_query").join(F.broadcast(near.select("query_id").distinct()), "query_id", "left_anti")
+        proxy = self._cut(fusion.ranked(fuzzy.token_set(words, alone, LEAST_PROXY, many + self.most), "vector", many + self.most))
+        found = {
+            "fts_bm25": self._cut(fusion.ranked(retrieval.bm25(words, ask, self.gone), "fts_bm25", many)),
+            "vector": near.unionByName(proxy),
+            "fuzzy": self._cut(fusion.ranked(fuzzy.partial(words, terms, LEAST_FUZZY, many + self.most), "fuzzy", many + self.most)),
+            "heading": self._cut(fusion.ranked(retrieval.heading_sum(self.chunks, clean(self.queries, "heading1", "heading2")), "heading", many + self.most)),
+            "fts": self._cut(retrieval.any_word(self.chunks, terms.unionByName(none), many)),
+        }
+        return reduce(DataFrame.unionAll, [found[name].select("query_id", F.lit(name).alias("signal"), "chunk_id", "score", "rank") for name in ORDER])
+
+    def selected(self, signals: DataFrame) -> DataFrame:
+        """query_id, chunk_id, score, rank: the best by fused rank, then what the first two signals have beyond them."""
+        head = fusion.fused(signals, self.top, order=ORDER)
+        rest = [signals.where(F.col("signal") == name) for name in ORDER[:2]]
+        filled = fusion.fill(head, rest, self.top)
+        return filled.join(head.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "score", "rank")
+
+    def trace(self, signals: DataFrame, selected: DataFrame) -> DataFrame:
+        """query_id, signal, rank, score and a summary of the chunk: the first rows of each signal and all that are selected."""
+        both = signals.where(F.col("rank") <= TRACED).unionByName(selected.withColumn("signal", F.lit("selected")))
+        text = F.coalesce("text", F.lit(""))
+        long_ = F.length(text) > PREVIEW
+        summary = self.chunks.select(
+            F.col("id").alias("chunk_id"), "clause_number", "heading", "page_number", "chunk_index", F.length(text).alias("text_chars"),
+            F.concat(F.substring(text, 1, PREVIEW), F.when(long_, "\u2026").otherwise("")).alias("text_preview"),
+        )
+        return both.join(summary, "chunk_id").select("query_id", "signal", "rank", F.round("score", 6).alias("score"), *summary.columns)
+
+    def counts(self, signals: DataFrame, selected: DataFrame) -> DataFrame:
+        """A row for each question: its pool, what was excluded, rows by signal, where vectors came from, rows returned."""
+        n = lambda name: F.count(F.when(F.col("signal") == name, 1)).alias(f"n_{name}")
+        by = signals.groupBy("query_id").agg(*[n(name) for name in ORDER])
+        own = self.vectors.select("query_id").distinct().withColumn("own", F.lit(True))
+        taken = selected.groupBy("query_id").agg(F.count("*").alias("returned"))
+        every = self.sizes.join(by, "query_id", "left").join(own, "query_id", "left").join(taken, "query_id", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        source = F.when(F.col("own"), "vectors").otherwise("proxy").alias("vector_source")
+        return every.select("query_id", F.col("pool").alias("chunk_pool"), (F.col("pool") - F.col("gone")).alias("search_pool"), F.col("gone").alias("excluded_count"), *[zero(f"n_{x}") for x in ORDER], source, zero("returned"))
+
+
+def with_rows(selected: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, rank, chunk_id, score, clause_number, heading: ids first, their rows last."""
-    found = signals(v, chunks, queries)
-    all_ = None
-    for name in ORDER:
-        one = found[name].select("query_id", F.lit(name).alias("signal"), "chunk_id", "rank")
-        all_ = one if all_ is None else all_.unionAll(one)
-    head = fusion.fused(all_, top, order=ORDER)
     rows = chunks.select(F.col("id").alias("chunk_id"), "clause_number", "heading")
-    return head.join(rows, "chunk_id").select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "clause_number", "heading")
+    return selected.join(rows, "chunk_id").select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "clause_number", "heading")
+
+
+def retrieve(v: Views, chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    r = Retrieval(chunks, queries, chunk_vectors(v), query_vectors(v), top=top)
+    return with_rows(r.selected(r.signals()), chunks)
