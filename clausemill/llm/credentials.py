@@ -139,6 +139,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     clean = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     new = F.when(F.col("spans").isNull(), text).otherwise(clean)
-    return joined.select("row.*", new.alias("new")).select(
-        *[F.col("new").alias("text") if c == "text" else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    )
+    changed = joined.select("row", new.alias("new"))  # columns of docs stay inside the row, whatever their names
+    own = lambda c: F.col("row").getField(c).alias(c)
+    return changed.select(*[F.col("new").alias("text") if c == "text" else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own(c) for c in docs.columns])

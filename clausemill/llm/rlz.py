@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
 from .repeats import FEW, GROUP_BYTES, INDEX_BYTES, Alphabet, Rolling, marked, mix
@@ -21,7 +22,23 @@ WINDOW = 20
 ANCHOR = 6
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words by their bytes. Up to eight bytes it is one-to-one for each length, beyond it isn't linear in the
+    letters, so no words are made to collide by how they are built."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    low = eight[starts] & _HEAD[np.minimum(size, 8)]
+    out = mix(low ^ mix(size.astype(np.uint64) + np.uint64(0x5D)))
+    wide = np.flatnonzero(size > 8)
+    out[wide] = mix(out[wide] ^ mix(eight[ends[wide] - 8] + np.uint64(0xA7)))
+    wide = np.flatnonzero(size > 16)
+    whole = data.tobytes() if len(wide) else b""
+    out[wide] = np.fromiter((xxhash.xxh3_64_intdigest(whole[i:j]) for i, j in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)), np.uint64, len(wide))
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,10 +49,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before, after = np.append(False, solid), np.append(solid, False)
     starts = np.flatnonzero(after & (~before | edge))
     ends = np.flatnonzero(before & (~after | edge))
-    hashes = np.zeros(0, np.uint64)
-    if len(starts):
-        hashes = Rolling(_BYTE[data])(starts, ends)
-    return hashes, np.searchsorted(starts, offsets), starts, ends
+    return word_hashes(data, starts, ends), np.searchsorted(starts, offsets), starts, ends
 
 
 class ReferenceBlock:

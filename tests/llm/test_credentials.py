@@ -90,3 +90,13 @@ def test_redact(spark):
     key = lambda r: (r[0] or -1, r[3], str(r[1]))
     expected = sorted(((i, masked(t), None if t is None else len(masked(t)), s) for i, t, _, s in rows), key=key)
     assert sorted((tuple(r) for r in out.collect()), key=key) == expected
+
+
+def test_redact_and_report_with_clashing_columns_and_a_long_text(spark):
+    extra = ["new", "row", "spans", "content", "of", "of_content", "kind", "uid", "start", "end", "hit"]
+    long_ = "plain words " * 20_000 + "token: abcdefgh12345678"
+    df = spark.createDataFrame([(1, long_, 0, *extra), (2, None, 0, *extra), (3, "", 0, *extra), (3, "", 0, *extra)], "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    out = sorted(c.redact(df).collect(), key=lambda r: r.doc_id)
+    assert [tuple(r)[3:] for r in out] == [tuple(extra)] * 4
+    assert out[0].text == "plain words " * 20_000 + "[SECRET]" and out[0].n_chars == len(out[0].text) and out[1].text is None
+    assert sorted(r.n_assign for r in c.report(df).collect()) == [0, 0, 0, 1]

@@ -141,3 +141,22 @@ def test_a_text_longer_than_a_step(spark):
     assert len(prose) > repeats.STEP_BYTES
     assert by_id(run_index.remove_repeats(df)) == brute_bytes(docs)
     assert by_id(rlz.remove_repeats(df)) == brute_words(docs)
+
+
+def test_words_that_collide_in_any_rolling_hash(spark):
+    """Two documents share 19 words; the last ones are a Thue-Morse word of 2,048 letters and its complement."""
+    morse = [bin(i).count("1") % 2 for i in range(2048)]
+    shared = [f"word{i}" for i in range(19)]
+    docs = [(1, " ".join([*shared, "".join("ab"[b] for b in morse)])), (2, " ".join([*shared, "".join("ba"[b] for b in morse)])), (3, " ".join([*shared, "".join("ba"[b] for b in morse)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert by_id(rlz.remove_repeats(df)) == brute_words(docs)
+
+
+@given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: b.translate(None, b" \t\n\x0b\x0c\r")), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_word_hashes_tell_words_apart(found):
+    found = [w for w in found if w] + [b"\0", b"\0\0", b"a", b"a\0", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"abcdefghabcdefgh", b"abcdefghabcdefghi"]
+    data = np.frombuffer(b" ".join(found), np.uint8)
+    hashes, _, starts, ends = rlz.words(data, np.array([0, len(data)]))
+    own = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert own == found and len(set(hashes.tolist())) == len(set(own))
