@@ -128,26 +128,42 @@ def islands(tables: DataFrame) -> DataFrame:
     return t.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(w))
 
 
+def last_by_number(clauses: DataFrame) -> DataFrame:
+    """document_id, clause_number, ord: of clauses that share a number, the last of the document."""
+    return clauses.where(F.coalesce("clause_number", F.lit("")) != "").groupBy("document_id", "clause_number").agg(F.max("ord").alias("ord"))
+
+
 def clause_of_table(tables: DataFrame, clauses: DataFrame) -> DataFrame:
-    """id, ord of the clause a table belongs to: its stated clause, else its number, else what is above it."""
-    first = clauses.groupBy("clause_number").agg(F.min("ord").alias("ord"))
-    parts = F.split(st.table_id(F.col("table_number")), r"\.")
-    above = F.transform(F.sequence(F.size(parts), F.lit(1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    keys = tables.select("id", F.posexplode(F.concat(F.array("source_clause_number"), above)).alias("priority", "clause_number"))
-    best = keys.join(first, "clause_number").groupBy("id").agg(F.min_by("ord", "priority").alias("ord"))
-    return tables.select("id").join(best, "id", "left")
+    """id, ord of the clause of its document that a table belongs to: by its number, by the parents that the number
+    names, by the number's heads; else the deepest clause on its page, the page before or the one behind.
+
+    Numbers become keys and clauses a row for each page they stand on, so that all steps are joins by document and key.
+    """
+    raw, number = F.col("table_number"), F.coalesce("table_number", F.lit(""))
+    parts = F.split(F.regexp_replace(raw, "Table ", ""), r"\.")
+    heads = F.transform(F.sequence(F.size(parts), F.lit(1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    named = tables.where((number != "") & ~number.startswith("MODAL_P"))
+    keys = named.select("document_id", "id", F.posexplode(F.concat(F.array(raw), st.candidate_parents(raw), heads)).alias("priority", "clause_number"))
+    by_number = keys.join(last_by_number(clauses), ["document_id", "clause_number"]).groupBy("document_id", "id").agg(F.min_by("ord", "priority").alias("by_number"))
+    # the deepest clause of each page, the first of several
+    pages = clauses.where("page_end >= page_start").select("document_id", "ord", "level", F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    deepest = pages.groupBy("document_id", "page").agg(F.max_by("ord", F.struct("level", -F.col("ord"))).alias("on_page"))
+    near = tables.select("document_id", "id", F.posexplode(F.array(F.col("page_start"), F.col("page_start") - 1, F.col("page_start") + 1)).alias("step", "page"))
+    by_page = near.join(deepest, ["document_id", "page"]).groupBy("document_id", "id").agg(F.min_by("on_page", "step").alias("by_page"))
+    found = tables.select("document_id", "id").join(by_number, ["document_id", "id"], "left").join(by_page, ["document_id", "id"], "left")
+    return found.select("document_id", "id", F.coalesce("by_number", "by_page").alias("ord"))
 
 
 def referenced_clause(tables: DataFrame, clauses: DataFrame) -> DataFrame:
-    """id, ord: the clause of the table's number, else the first that mentions the table, else its section's. Mentions
-    are read from the clauses once and joined by number, so no clause meets every table."""
-    first = clauses.groupBy("clause_number").agg(F.min("ord").alias("ord"))
+    """id, ord: the clause of the table's document with its number, else the first that mentions the table, else its
+    section's. Mentions are read from the clauses once and joined by number, so no clause meets every table."""
+    last = last_by_number(clauses)
     mentions = F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?:Table|table|TABLE) ([A-Z]?[0-9]+(?:\.[0-9]+)*)"), F.lit(1)))
-    mentioned = clauses.select("ord", F.explode(mentions).alias("canon")).groupBy("canon").agg(F.min("ord").alias("by_mention"))
-    t = tables.select("id", st.table_id(F.col("table_number")).alias("canon")).withColumn("section", F.regexp_extract("canon", "^([A-Z]?[0-9]+)", 1))
-    t = t.join(first.select(F.col("clause_number").alias("canon"), F.col("ord").alias("own")), "canon", "left").join(mentioned, "canon", "left")
-    t = t.join(first.select(F.col("clause_number").alias("section"), F.col("ord").alias("of_section")), "section", "left")
-    return t.select("id", F.coalesce("own", "by_mention", "of_section").alias("ord"))
+    mentioned = clauses.select("document_id", "ord", F.explode(mentions).alias("canon")).groupBy("document_id", "canon").agg(F.min("ord").alias("by_mention"))
+    t = tables.select("document_id", "id", st.table_id(F.col("table_number")).alias("canon")).withColumn("section", F.regexp_extract("canon", "^([A-Z]?[0-9]+)", 1))
+    own = lambda key, name: last.select("document_id", F.col("clause_number").alias(key), F.col("ord").alias(name))
+    t = t.join(own("canon", "own"), ["document_id", "canon"], "left").join(mentioned, ["document_id", "canon"], "left").join(own("section", "of_section"), ["document_id", "section"], "left")
+    return t.select("document_id", "id", F.coalesce("own", "by_mention", "of_section").alias("ord"))
 
 
 def _pairs(boxes: DataFrame, *conditions: str) -> DataFrame:

@@ -175,7 +175,7 @@ def _(v):
 _CATALOG = """SELECT e.codebook, d.id AS document_id, d.status, coalesce(c.n, 0) AS chunk_count, coalesce(t.n, 0) AS table_count, coalesce(m.n, 0) AS embedding_count, coalesce(d.status = 'ready_for_search' AND c.n > 0, false) AS ready, coalesce(d.status IN ('pdf_processing', 'admin_processing'), false) AS processing
     FROM (SELECT DISTINCT codebook FROM chunks) e LEFT JOIN (SELECT codebook, min(id) AS id, arg_min(status, id) AS status FROM docs WHERE is_shared_library GROUP BY codebook) d ON d.codebook = e.codebook
     LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) c ON c.document_id = d.id LEFT JOIN (SELECT document_id, count(*) AS n FROM tables GROUP BY document_id) t ON t.document_id = d.id
-    LEFT JOIN (SELECT vec_id % 50 AS document_id, count(*) AS n FROM embeddings GROUP BY vec_id % 50) m ON m.document_id = d.id"""
+    LEFT JOIN (SELECT vec_id // 4 AS document_id, count(*) AS n FROM embeddings GROUP BY vec_id // 4) m ON m.document_id = d.id"""
 
 
 def _catalog(v):
@@ -183,7 +183,7 @@ def _catalog(v):
     d = v.docs.where("is_shared_library").groupBy("codebook").agg(F.min("id").alias("document_id"), F.min_by("status", "id").alias("status"))
     n = lambda df, key, name: df.groupBy(key.alias("document_id")).agg(F.count("*").alias(name))
     j = e.join(d, "codebook", "left")
-    for df, key, name in ((v.chunks, F.col("document_id"), "chunk_count"), (v.tables, F.col("document_id"), "table_count"), (v.embeddings, F.col("vec_id") % 50, "embedding_count")):
+    for df, key, name in ((v.chunks, F.col("document_id"), "chunk_count"), (v.tables, F.col("document_id"), "table_count"), (v.embeddings, F.floor(F.col("vec_id") / 4), "embedding_count")):
         j = j.join(n(df, key, name), "document_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     yes = lambda c: F.coalesce(c, F.lit(False))
     return j.select("codebook", "document_id", "status", "chunk_count", "table_count", "embedding_count", yes((F.col("status") == "ready_for_search") & (F.col("chunk_count") > 0)).alias("ready"), yes(F.col("status").isin("pdf_processing", "admin_processing")).alias("processing"))
@@ -289,11 +289,11 @@ def _(v):
     return v.chunks.join(gone, "document_id", "left_anti").select("id")
 
 
-@query("S18_replace_cascade", "SELECT 'chunks' AS kind, count(*) AS left_ FROM chunks WHERE document_id <> 12 UNION ALL SELECT 'tables', count(*) FROM tables WHERE document_id <> 12 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id % 50 <> 12")
+@query("S18_replace_cascade", "SELECT 'chunks' AS kind, count(*) AS left_ FROM chunks WHERE document_id <> 12 UNION ALL SELECT 'tables', count(*) FROM tables WHERE document_id <> 12 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id // 4 <> 12")
 def _(v):
     gone = v.docs.where("id = 12").select(F.col("id").alias("document_id"))
     left = lambda kind, df: df.join(gone, "document_id", "left_anti").agg(F.count("*").alias("left_")).select(F.lit(kind).alias("kind"), "left_")
-    return left("chunks", v.chunks).unionAll(left("tables", v.tables)).unionAll(left("embeddings", v.embeddings.select((F.col("vec_id") % 50).alias("document_id"))))
+    return left("chunks", v.chunks).unionAll(left("tables", v.tables)).unionAll(left("embeddings", v.embeddings.select(F.floor(F.col("vec_id") / 4).alias("document_id"))))
 
 
 @query("S17_upsert", "SELECT chunk_id, arg_max(model, version) AS model FROM (SELECT vec_id AS chunk_id, 'a' AS model, 0 AS version FROM embeddings UNION ALL SELECT vec_id, 'b', 1 FROM embeddings WHERE vec_id % 3 = 0) GROUP BY chunk_id")

@@ -232,10 +232,10 @@ def _(v):
     return sg.with_parents(r, F.regexp_extract("number", r"^(.*)\.[^.]*$", 1))
 
 
-@query("J30_parent_clause", "SELECT c.ord, c.clause_id, p.clause_id AS parent FROM clauses c LEFT JOIN (SELECT clause_number, arg_max(clause_id, ord) AS clause_id FROM clauses GROUP BY clause_number) p ON p.clause_number = c.parent_clause_number")
+@query("J30_parent_clause", "SELECT c.ord, c.clause_id, p.clause_id AS parent FROM clauses c LEFT JOIN (SELECT document_id, clause_number, arg_max(clause_id, ord) AS clause_id FROM clauses GROUP BY ALL) p ON p.document_id = c.document_id AND p.clause_number = c.parent_clause_number")
 def _(v):
-    last = v.clauses.groupBy(_c("clause_number").alias("of")).agg(F.max_by("clause_id", "ord").alias("parent"))
-    return v.clauses.join(last, _c("parent_clause_number") == _c("of"), "left").select("ord", "clause_id", "parent")
+    last = v.clauses.groupBy("document_id", _c("clause_number").alias("parent_clause_number")).agg(F.max_by("clause_id", "ord").alias("parent"))
+    return v.clauses.join(last, ["document_id", "parent_clause_number"], "left").select("ord", "clause_id", "parent")
 
 
 _CARRY = "SELECT id, document_id, last_value(CASE WHEN k IN (1, 2) THEN number END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY id) AS clause, last_value(CASE WHEN k = 3 THEN title END IGNORE NULLS) OVER (PARTITION BY document_id, island ORDER BY id) AS caption, k FROM (SELECT *, coalesce(sum(CASE WHEN k = 5 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM pieces)"
@@ -394,12 +394,17 @@ def _(v):
     return v.tables.select("id", F.least(F.coalesce(following, _c("page_end") + 3), _c("page_end") + 3).cast("int").alias("scan_end"))
 
 
-@query("J28_table_to_clause", f"WITH c AS (SELECT clause_number, min(ord) AS ord FROM clauses GROUP BY clause_number), k AS (SELECT id, unnest(p) AS number, unnest(range(len(p))) AS priority FROM (SELECT id, list_prepend(source_clause_number, list_transform(range(len(string_split(tn, '.')), 0, -1), lambda n: array_to_string(string_split(tn, '.')[1:n], '.'))) AS p FROM (SELECT id, source_clause_number, {_TID} AS tn FROM tables))), r AS (SELECT id, ord, row_number() OVER (PARTITION BY id ORDER BY priority) AS n FROM k JOIN c ON c.clause_number = k.number) SELECT t.id, r.ord FROM tables t LEFT JOIN r ON r.id = t.id AND n = 1")
+_LAST = "c AS (SELECT document_id, clause_number, max(ord) AS ord FROM clauses WHERE clause_number <> '' GROUP BY ALL)"
+_PARENTS = f"CASE WHEN {_has(_RAWT, _NCCT)} THEN [{_get(_RAWT, _NCCT, 2)}] WHEN {_has(_RAWT, r'^\d+(?:\.\d+)+$')} THEN list_transform(range(len(string_split({_RAWT}, '.')), 0, -1), lambda n: array_to_string(string_split({_RAWT}, '.')[1:n], '.')) ELSE [] END"
+_HEADS = "list_transform(range(len(string_split(replace(table_number, 'Table ', ''), '.')), 0, -1), lambda n: array_to_string(string_split(replace(table_number, 'Table ', ''), '.')[1:n], '.'))"
+
+
+@query("J28_table_to_clause", f"WITH {_LAST}, k AS (SELECT document_id, id, unnest(p) AS clause_number, unnest(range(len(p))) AS priority FROM (SELECT document_id, id, list_concat([table_number], {_PARENTS}, {_HEADS}) AS p FROM tables WHERE table_number <> '' AND NOT starts_with(table_number, 'MODAL_P'))), n AS (SELECT document_id, id, arg_min(ord, priority) AS ord FROM k JOIN c USING (document_id, clause_number) GROUP BY ALL), g AS (SELECT document_id, ord, level, unnest(range(page_start, page_end + 1)) AS page FROM clauses), best AS (SELECT document_id, page, ord AS on_page FROM g QUALIFY row_number() OVER (PARTITION BY document_id, page ORDER BY level DESC, ord) = 1) SELECT t.document_id, t.id, coalesce(n.ord, a.on_page, b.on_page, d.on_page) AS ord FROM tables t LEFT JOIN n ON n.document_id = t.document_id AND n.id = t.id LEFT JOIN best a ON a.document_id = t.document_id AND a.page = t.page_start LEFT JOIN best b ON b.document_id = t.document_id AND b.page = t.page_start - 1 LEFT JOIN best d ON d.document_id = t.document_id AND d.page = t.page_start + 1")
 def _(v):
     return sg.clause_of_table(v.tables, v.clauses)
 
 
-@query("J29_table_by_reference", f"WITH c AS (SELECT clause_number, min(ord) AS ord FROM clauses GROUP BY clause_number), ref AS (SELECT x AS canon, min(ord) AS ord FROM (SELECT ord, unnest(list_distinct(regexp_extract_all(body, '(?:Table|table|TABLE) ([A-Z]?[0-9]+(?:\\.[0-9]+)*)', 1))) AS x FROM clauses) GROUP BY x), t AS (SELECT id, {_TID} AS canon FROM tables) SELECT t.id, coalesce(a.ord, ref.ord, b.ord) AS ord FROM t LEFT JOIN c a ON a.clause_number = canon LEFT JOIN ref ON ref.canon = t.canon LEFT JOIN c b ON b.clause_number = {_get('t.canon', '^([A-Z]?[0-9]+)', 1)}")
+@query("J29_table_by_reference", f"WITH {_LAST}, ref AS (SELECT document_id, x AS canon, min(ord) AS ord FROM (SELECT document_id, ord, unnest(list_distinct(regexp_extract_all(body, '(?:Table|table|TABLE) ([A-Z]?[0-9]+(?:\\.[0-9]+)*)', 1))) AS x FROM clauses) GROUP BY ALL), t AS (SELECT document_id, id, {_TID} AS canon FROM tables) SELECT t.document_id, t.id, coalesce(a.ord, ref.ord, b.ord) AS ord FROM t LEFT JOIN c a ON a.document_id = t.document_id AND a.clause_number = canon LEFT JOIN ref ON ref.document_id = t.document_id AND ref.canon = t.canon LEFT JOIN c b ON b.document_id = t.document_id AND b.clause_number = {_get('t.canon', '^([A-Z]?[0-9]+)', 1)}")
 def _(v):
     return sg.referenced_clause(v.tables, v.clauses)
 

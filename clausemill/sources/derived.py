@@ -15,7 +15,7 @@ QUESTIONS = 8
 
 VIEWS: dict[str, str] = {
     "chunks": """
-        SELECT doc_id AS id, doc_id % 50 AS document_id, doc_id % 10 AS user_id, doc_id AS chunk_index, text,
+        SELECT doc_id AS id, CAST((doc_id - doc_id % 4) / 4 AS BIGINT) AS document_id, doc_id % 10 AS user_id, doc_id AS chunk_index, text,
                split_part(substring(text, 1, 60), chr(10), 1) AS heading,
                concat(CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 7 + 1 AS STRING), '.', CAST(doc_id % 5 + 1 AS STRING)) AS clause_number,
                CAST(n_chars % 40 + 1 AS INT) AS page_number,
@@ -34,7 +34,7 @@ VIEWS: dict[str, str] = {
                CAST(DATE '2024-01-01' + CAST(k % 30 AS INT) AS TIMESTAMP) AS created_at,
                CASE WHEN k % 5 <> 0 THEN CAST(DATE '2024-01-02' + CAST(k % 28 AS INT) AS TIMESTAMP) END AS updated_at,
                n AS chunk_count, n AS refined_chunk_count
-        FROM (SELECT doc_id % 50 AS k, count(*) AS n FROM documents GROUP BY doc_id % 50) t""",
+        FROM (SELECT CAST((doc_id - doc_id % 4) / 4 AS BIGINT) AS k, count(*) AS n FROM documents GROUP BY CAST((doc_id - doc_id % 4) / 4 AS BIGINT)) t""",
     "companies": """
         SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'pending' WHEN 2 THEN 'active' ELSE 'inactive' END AS status,
                CAST(n_nationkey + 1 AS BIGINT) AS owner_user_id, CAST(3 + n_nationkey * 20 AS BIGINT) AS max_seats, concat('JOIN', CAST(n_nationkey AS STRING)) AS join_code,
@@ -118,7 +118,7 @@ VIEWS: dict[str, str] = {
         SELECT 'documents' AS bucket, concat('benchmarks/', CAST(k % 10 AS STRING), '/', CAST(k AS STRING), CASE WHEN k % 3 = 0 THEN '/other.json' ELSE '/benchmark_qna.json' END) AS path, k AS size
         FROM (SELECT DISTINCT doc_id % 80 AS k FROM documents) t""",
     "tables": """
-        SELECT doc_id AS id, doc_id % 50 AS document_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'Table ' ELSE '' END, CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 4 + 1 AS STRING)) AS table_number,
+        SELECT doc_id AS id, CAST((doc_id - doc_id % 4) / 4 AS BIGINT) AS document_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'Table ' ELSE '' END, CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 4 + 1 AS STRING)) AS table_number,
                CASE WHEN doc_id % 4 <> 1 THEN substring(text, 1, CAST(10 + doc_id % 30 AS INT)) END AS title,
                CASE WHEN doc_id % 5 <> 2 THEN concat(CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 7 + 1 AS STRING)) END AS source_clause_number,
                text, doc_id AS ord, CAST(doc_id % 12 + 1 AS INT) AS page_start, CAST(doc_id % 12 + 1 + doc_id % 3 AS INT) AS page_end, CAST(doc_id % 7 AS DOUBLE) * 10 AS y0
@@ -128,16 +128,12 @@ VIEWS: dict[str, str] = {
                split_part(text, ' ', 4) AS term1, split_part(text, ' ', 5) AS term2,
                concat(CAST(item_id % 9 + 1 AS STRING), CASE WHEN item_id % 2 = 0 THEN concat('.', CAST(item_id % 7 + 1 AS STRING)) ELSE '' END) AS heading1, split_part(text, ' ', 1) AS heading2
         FROM benchmark WHERE item_id < {QUESTIONS}""",
-    "lines": """
-        SELECT doc_id, page_id, line_no, line FROM (SELECT doc_id % 50 AS doc_id, doc_id AS page_id, 0 AS line_no, split_part(text, chr(10), 1) AS line FROM documents
-        UNION ALL SELECT doc_id % 50, doc_id, 1, split_part(text, chr(10), 2) FROM documents
-        UNION ALL SELECT doc_id % 50, doc_id, 2, split_part(text, chr(10), 3) FROM documents) t""",
     "clauses": """
-        SELECT doc_id AS ord, concat('c', CAST(doc_id AS STRING)) AS clause_id,
+        SELECT doc_id AS ord, CAST((doc_id - doc_id % 4) / 4 AS BIGINT) AS document_id, concat('c', CAST(doc_id AS STRING)) AS clause_id,
                CASE WHEN doc_id % 11 = 0 THEN CAST(doc_id % 9 + 1 AS STRING) WHEN doc_id % 4 = 0 THEN concat(CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 7 + 1 AS STRING))
                     ELSE concat(CAST(doc_id % 9 + 1 AS STRING), '.', CAST(doc_id % 7 + 1 AS STRING), '.', CAST(doc_id % 5 + 1 AS STRING)) END AS clause_number,
                CASE WHEN doc_id % 13 = 0 THEN 'Scope .......... 12' WHEN doc_id % 17 = 0 THEN 'TABLE 3 COPYRIGHT' ELSE substring(text, 1, 40) END AS title,
-               CASE WHEN doc_id % 6 = 0 THEN '' ELSE substring(text, 1, CAST(20 + doc_id % 300 AS INT)) END AS body,
+               CASE WHEN doc_id % 6 = 0 THEN '' ELSE text END AS body,
                CASE WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 11 = 0 THEN 1 ELSE 3 END AS level,
                CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 30 END AS INT) AS page_start, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 30 END + doc_id % 2 AS INT) AS page_end,
                CASE WHEN doc_id % 5 = 0 THEN concat('c', CAST(doc_id % 97 AS STRING)) WHEN doc_id % 19 = 0 THEN 'gone' END AS parent_clause_id,
