@@ -33,6 +33,9 @@ TOPICS = {
     "earthing": ["earthing", "earth", "rcd", "bonding", "men"],
 }
 WARNING_FIRST = ["ewis", "wip", "ewcie", "intercom"]
+#: Words of detection and of warning where the source is the standard of warning systems.
+DETECTION_ONLY = ["fdcie", "detector", "detectors", "smoke", "fip", "detection"]
+WARNING_WORDS = ["ewis", "warning", "intercom", "wip", "ewcie", "occupant", "speaker", "sound", "voice", "alarm"]
 SUPERSEDED = [["der_embedded", "solar_pv", "bess_storage", "embedded", "generation"], ["supply_switchboard", "maximum_demand"], ["metering", "energy_efficiency"], ["essential_services", "electrical", "installation"]]
 OUTCOMES = {"permitted": "appears **permitted**", "not_permitted": "appears **not to comply** or is **not permitted**", "depends": "apply the requirements below to the installation and use any verification items as applicable"}
 
@@ -76,12 +79,19 @@ def domain_tokens(domain: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
 
 
-def topic(domain: Column) -> Column:
-    """A key under which items on one topic meet: the first topic that shares a word, else the words."""
-    t = domain_tokens(domain)
+def _standard(source: Column, number: str) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(source, F.lit(""))), "[^a-z0-9]+", "").contains(number)
+
+
+def topic(domain: Column, source: Column | None = None) -> Column:
+    """A key under which items on one topic meet: the first topic that shares a word with the domain or the source, else
+    the words. What the standard of warning systems says is on warning, unless it is of detection and of nothing else."""
+    source = F.lit("") if source is None else source
+    t = F.array_union(domain_tokens(domain), domain_tokens(source))
     shares = lambda words: F.arrays_overlap(t, F.array(*map(F.lit, words)))
+    warning = _standard(source, "16704") & (~shares(DETECTION_ONLY) | shares(WARNING_WORDS))
     named = [F.when(shares(words), F.lit(k)) for k, words in TOPICS.items()]
-    return F.when(F.size(t) == 0, "general").when(shares(WARNING_FIRST), "ewis_warning").otherwise(F.coalesce(*named, F.array_join(F.slice(F.array_sort(t), 1, 5), " ")))
+    return F.when(F.size(t) == 0, "general").when(warning | shares(WARNING_FIRST), "ewis_warning").otherwise(F.coalesce(*named, F.array_join(F.slice(F.array_sort(t), 1, 5), " ")))
 
 
 def supersession_group(key: Column) -> Column:

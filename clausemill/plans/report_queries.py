@@ -24,7 +24,9 @@ _IDS = "list_filter(list_transform(string_split(evidence, ';'), lambda x: trim(x
 _S0 = "lower(trim(status))"
 _STATUS = f"(CASE WHEN {_S0} = 'compliant' THEN 'applies' WHEN {_S0} = 'non_compliant' THEN 'conflict' WHEN {_S0} = 'not_assessed' THEN 'conditional' WHEN {_S0} IN ('conflict', 'applies', 'conditional', 'needs_code', 'not_applicable') THEN {_S0} ELSE 'conditional' END)"
 _TOK = f"list_filter(list_distinct(string_split(trim(regexp_replace(lower(domain), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 2 AND NOT list_contains({_list(r.STOP_WORDS)}, w))"
-_TOPIC = "(CASE WHEN len({t}) = 0 THEN 'general' WHEN list_has_any({t}, {w}) THEN 'ewis_warning' ".format(t=_TOK, w=_list(r.WARNING_FIRST)) + " ".join(f"WHEN list_has_any({_TOK}, {_list(words)}) THEN '{k}'" for k, words in r.TOPICS.items()) + f" ELSE array_to_string(list_sort({_TOK})[1:5], ' ') END)"
+_BOTH = _TOK.replace("lower(domain)", "lower(concat(domain, ' ', label))")
+_AS4 = "contains(regexp_replace(lower(label), '[^a-z0-9]+', '', 'g'), '16704')"
+_TOPIC = "(CASE WHEN len({t}) = 0 THEN 'general' WHEN {a} AND (NOT list_has_any({t}, {d}) OR list_has_any({t}, {x})) OR list_has_any({t}, {w}) THEN 'ewis_warning' ".format(t=_BOTH, a=_AS4, d=_list(r.DETECTION_ONLY), x=_list(r.WARNING_WORDS), w=_list(r.WARNING_FIRST)) + " ".join(f"WHEN list_has_any({_BOTH}, {_list(words)}) THEN '{k}'" for k, words in r.TOPICS.items()) + f" ELSE array_to_string(list_sort({_BOTH})[1:5], ' ') END)"
 _RANK = "CASE status " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in r.STATUS_RANK.items()) + " ELSE 0 END"
 _M = f"""t AS (SELECT project, ord, domain, {_STATUS} AS status, summary, label, {_unique(_IDS)} AS ids, {_TOPIC} AS topic FROM items),
     g AS (SELECT project, topic, min(ord) AS first, arg_max(status, {{'r': {_RANK}, 'o': -ord}}) AS status, flatten(list(ids ORDER BY ord)) AS all_ids, arg_max(summary, {{'r': {_RANK}, 'n': len(ids), 'l': length(summary), 'o': -ord}}) AS summary, list(trim(label) ORDER BY ord) AS all_labels FROM t GROUP BY project, topic),
@@ -41,7 +43,7 @@ def _(v):
 
 @query("G14_topics", f"SELECT ord, {_TOPIC} AS topic FROM items")
 def _(v):
-    return v.items.select("ord", r.topic(_c("domain")).alias("topic"))
+    return v.items.select("ord", r.topic(_c("domain"), _c("label")).alias("topic"))
 
 
 @query("U7_token_overlap", f"SELECT ord, len(list_intersect({_TOK}, ['smoke', 'solar', 'fire', 'bonding', 'lighting'])) AS n FROM items")
@@ -141,18 +143,18 @@ def _(v):
     return n.join(rp.report(t), "project").select("project", "topics", "open", F.length("markdown").cast("long").alias("size"))
 
 
-_W = "w AS (SELECT project, CASE WHEN ord % 2 = 0 THEN '' ELSE 'written ' || (ord % 5) END AS text, topic FROM t WHERE ord % 30 < 4)"
+_W = "w AS (SELECT project, CASE WHEN ord % 2 = 0 THEN '' ELSE 'written ' || (ord % 5) END AS text, topic FROM t WHERE ord % 7 <> 0)"
 
 
 @query("J35_aligned_items", f"WITH {_M}, {_W} SELECT w.project, w.topic, coalesce(m.status, 'conditional') AS status, coalesce(nullif(trim(text), ''), m.summary) AS summary, true AS written FROM w LEFT JOIN m USING (project, topic) UNION ALL SELECT project, topic, status, summary, false FROM m WHERE status <> 'needs_code' AND NOT EXISTS (SELECT 1 FROM w WHERE w.project = m.project AND w.topic = m.topic)")
 def _(v):
-    w = v.items.where("ord % 30 < 4").select("project", "ord", "domain", F.when(_c("ord") % 2 == 0, "").otherwise(F.concat(F.lit("written "), (_c("ord") % 5).cast("string"))).alias("summary"))
+    w = v.items.where("ord % 7 <> 0").select("project", "ord", "domain", "label", F.when(_c("ord") % 2 == 0, "").otherwise(F.concat(F.lit("written "), (_c("ord") % 5).cast("string"))).alias("summary"))
     return rp.aligned(w, rp.merged(v.items))
 
 
 @query("G19_written_topics", f"WITH {_M}, {_W} SELECT project, count(DISTINCT topic) AS topics FROM w GROUP BY project")
 def _(v):
-    return v.items.where("ord % 30 < 4").groupBy("project").agg(F.countDistinct(r.topic(_c("domain"))).alias("topics"))
+    return v.items.where("ord % 7 <> 0").groupBy("project").agg(F.countDistinct(r.topic(_c("domain"), _c("label"))).alias("topics"))
 
 
 @query("G17_collected_sources", "SELECT project, id, label FROM (SELECT project, trim(x) AS id, label, row_number() OVER (PARTITION BY project, trim(x) ORDER BY ord, i) AS n FROM (SELECT project, ord, label, unnest(string_split(evidence, ';')) AS x, unnest(range(len(string_split(evidence, ';')))) AS i FROM items) WHERE trim(x) <> '') WHERE n = 1")
