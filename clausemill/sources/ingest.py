@@ -16,8 +16,11 @@ NUMBER = ["clause_number", "unit_label", "ncc_anchor", "anchor_id"]
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files with a header, all columns strings, in the order of the file."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8").withColumn("ord", F.monotonically_increasing_id())
+    """Rows of CSV files with a header, all columns strings; file, and ord: the row's place in its file, from 0. A file is
+    read by one task, as its quoted fields may hold line breaks, so rows are numbered in their order."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    return placed.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("ord")).cast("long") - 1)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -41,28 +44,31 @@ def _listed(title: str, column: Column) -> Column:
 
 
 def clause_rows(rows: DataFrame, codebook: str | None = None) -> DataFrame:
-    """chunk_index, text, clause_number, heading, page_number, record_id of rows(ord, ...). Rows with neither text nor
-    number go; chunk_index is the row's place all the same."""
+    """chunk_index, text, clause_number, heading, page_number, record_id of rows(ord, ...), and their file if they have it.
+    Rows with neither text nor number go; chunk_index is the row's place in its file all the same."""
     rich = "body" in rows.columns or "body_full" in rows.columns
     body = F.coalesce(F.nullif(_first(rows, ["body_full", "body"]), F.lit("")), _first(rows, BODY)) if rich else _first(rows, BODY)
     extra = [_listed(n.upper(), F.col(n)) for n in ("notes", "exceptions") if rich and n in rows.columns]
     number = _first(rows, NUMBER)
     page = st.first_page(_first(rows, ["page_number", "page"]))
-    out = rows.select(F.col("ord").alias("chunk_index"), F.concat(body, *extra).alias("text"), number.alias("clause_number"), _first(rows, ["heading", "title"]).alias("heading"), page.alias("page_number"))
+    file = ["file"] if "file" in rows.columns else []
+    out = rows.select(*file, F.col("ord").alias("chunk_index"), F.concat(body, *extra).alias("text"), number.alias("clause_number"), _first(rows, ["heading", "title"]).alias("heading"), page.alias("page_number"))
     out = out.withColumn("record_id", st.record_id(F.lit(codebook or ""), F.col("clause_number")) if codebook else F.lit(None).cast("string"))
     return out.where((F.trim("text") != "") | (F.col("clause_number") != ""))
 
 
 def table_rows(rows: DataFrame) -> DataFrame:
-    """table_number, title, text, source_clause_number: tables of one canonical number become one. Texts that differ from
-    the one before are appended; the longest title stays; clause references are joined."""
+    """table_number, title, text, source_clause_number, and the file if rows have it: tables of one canonical number in a
+    file become one. Texts that differ from the one before are appended; the longest title stays; clause references are
+    joined."""
+    file = ["file"] if "file" in rows.columns else []
     source = F.regexp_replace(_first(rows, ["source_clause_number", "clause_reference"]), r"(?i)^clause\s+", "")
-    t = rows.select("ord", _first(rows, ["table_number", "table_id", "table_label"]).alias("number"), _first(rows, ["title", "table_title"]).alias("title"), _first(rows, ["text", "table_content", "table_text"]).alias("text"), F.trim(source).alias("source"))
+    t = rows.select(*file, "ord", _first(rows, ["table_number", "table_id", "table_label"]).alias("number"), _first(rows, ["title", "table_title"]).alias("title"), _first(rows, ["text", "table_content", "table_text"]).alias("text"), F.trim(source).alias("source"))
     t = t.where("number <> '' AND text <> ''").withColumn("canon", st.canonical_table(F.col("number")))
-    w = Window.partitionBy("canon").orderBy("ord")
+    w = Window.partitionBy(*file, "canon").orderBy("ord")
     t = t.withColumn("fresh", ~F.coalesce(F.col("text").eqNullSafe(F.lag("text").over(w)), F.lit(False)))
     kept = lambda value: F.transform(F.array_sort(F.collect_list(value)), lambda s: s["x"])
-    return t.groupBy("canon").agg(
+    return t.groupBy(*file, "canon").agg(
         F.max_by("title", F.struct(F.length("title"), -F.col("ord"))).alias("title"),
         F.array_join(kept(F.when(F.col("fresh"), F.struct("ord", F.col("text").alias("x")))), "\n\n").alias("text"),
         F.array_join(F.array_distinct(kept(F.when(F.col("source") != "", F.struct("ord", F.col("source").alias("x"))))), "; ").alias("source_clause_number"),
@@ -72,7 +78,10 @@ def table_rows(rows: DataFrame) -> DataFrame:
 def listing(spark: SparkSession, path: str, depth: int = 6) -> DataFrame:
     """path, size, modified of the files below a folder, at most depth folders down; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    levels = F.size(F.split(F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "/")) - 1
+    # the root as Spark writes it: what is behind it counts, whatever folders below are called
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    levels = F.size(F.split(F.substr("path", F.lit(len(root) + 1)), "/")) - 1
     return files.where(levels <= depth)
 
 

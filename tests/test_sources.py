@@ -27,11 +27,23 @@ def test_tables_of_one_number_merge(spark, tmp_path):
     path = tmp_path / "tables.csv"
     path.write_text("table_number,title,text,clause_reference\n4.3,Short,one,Clause 4\nTable 4.3,Longer title,two,5\nTABLE 4.3,x,two,4\n,no number,z,\n9,t,,\n")
     rows = ingest.table_rows(ingest.read_csv(spark, str(path))).collect()
-    assert [tuple(r) for r in rows] == [("Table 4.3", "Longer title", "one\n\ntwo", "4; 5")]
+    assert [tuple(r)[1:] for r in rows] == [("Table 4.3", "Longer title", "one\n\ntwo", "4; 5")]
+
+
+def test_rows_of_several_files_count_from_their_own_start(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("table_number,title,text\n" + "".join(f"4.{i},{name},{name} {i}\n" for i in range(3)) + f"4.0,longer {name},again\n")
+    rows = ingest.read_csv(spark, str(tmp_path))
+    assert sorted((r.file[-5:], r.ord, r.text) for r in rows.collect()) == sorted((f"{n}.csv", i, t) for n in "ab" for i, t in enumerate([f"{n} 0", f"{n} 1", f"{n} 2", "again"]))
+    chunks = ingest.clause_rows(rows.withColumnRenamed("table_number", "clause_number"))
+    assert sorted((r.file[-5:], r.chunk_index) for r in chunks.collect()) == [(f"{n}.csv", i) for n in "ab" for i in range(4)]
+    tables = ingest.table_rows(rows)
+    assert sorted((r.file[-5:], r.table_number, r.title, r.text) for r in tables.collect()) == sorted((f"{n}.csv", f"Table 4.{i}", f"longer {n}" if i == 0 else n, f"{n} 0\n\nagain" if i == 0 else f"{n} {i}") for n in "ab" for i in range(3))
 
 
 def test_listing_is_as_deep_as_asked(spark, tmp_path):
-    for p in ("a.txt", "x/b.txt", "x/y/c.txt"):
+    tmp_path = tmp_path / "root"
+    for p in ("a.txt", "x/b.txt", "x/y/c.txt", "x/root/d.txt", "x/root/root/e.txt"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("12345")
     found = ingest.listing(spark, str(tmp_path), depth=1).collect()
