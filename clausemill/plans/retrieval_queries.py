@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions.text import joined
 from clausemill.operators import fusion, fuzzy, retrieval
+from clausemill.sources import indexes
 
 from . import retrieve
 from .registry import query
@@ -42,7 +43,10 @@ def _terms(v):
     return retrieval.clean_terms(v.queries, "term1", "term2")
 
 
-@query("R1_bm25", f"WITH {_bm25_sql(_CORPUS, _ASK)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} FROM bm WHERE score > 0) WHERE rank <= 40")
+_R1 = f"WITH {_bm25_sql(_CORPUS, _ASK)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} FROM bm WHERE score > 0) WHERE rank <= 40"
+
+
+@query("R1_bm25", _R1)
 def _(v):
     return fusion.ranked(retrieval.bm25(retrieve.corpus(v.chunks), _ask(v)), "bm25", 40).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -61,7 +65,10 @@ def _(v):
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query("R2_vector", f"SELECT query_id, chunk_id, rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, (row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COS}, 9) DESC, a.vec_id))::INT AS rank FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM queries)) b ON true WHERE a.vec_id IN (SELECT id FROM chunks)) WHERE rank <= 20")
+_R2 = f"SELECT query_id, chunk_id, rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, (row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COS}, 9) DESC, a.vec_id))::INT AS rank FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM queries)) b ON true WHERE a.vec_id IN (SELECT id FROM chunks)) WHERE rank <= 20"
+
+
+@query("R2_vector", _R2)
 def _(v):
     e = v.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(v.chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     return retrieval.vectors(e, retrieve.query_vectors(v), 20)
@@ -119,10 +126,13 @@ def _(v):
     return retrieval.any_word(mine, retrieval.clean_terms(v.queries, "term1"), 10)
 
 
-@query("R7_weighted_match", f"""WITH q AS (SELECT query_id, list_distinct(list_concat(regexp_extract_all(lower(trim(term1)), '{W}'), regexp_extract_all(lower(trim(term2)), '{W}'))) AS asked FROM queries),
+_R7 = f"""WITH q AS (SELECT query_id, list_distinct(list_concat(regexp_extract_all(lower(trim(term1)), '{W}'), regexp_extract_all(lower(trim(term2)), '{W}'))) AS asked FROM queries),
     c AS (SELECT id, regexp_extract_all(lower(heading), '{W}') AS a, regexp_extract_all(lower(clause_number), '{W}') AS b, regexp_extract_all(lower(text), '{W}') AS c FROM chunks),
     w AS (SELECT query_id, id AS chunk_id, list_transform(asked, lambda x: CASE WHEN list_contains(a, x) THEN 1.0 WHEN list_contains(b, x) THEN 0.4 WHEN list_contains(c, x) THEN 0.2 ELSE 0 END) AS ws FROM c, q WHERE len(asked) > 0)
-    SELECT query_id, chunk_id, round(list_sum(ws), 6)::DOUBLE AS score FROM w WHERE len(list_filter(ws, lambda x: x = 0)) = 0""")
+    SELECT query_id, chunk_id, round(list_sum(ws), 6)::DOUBLE AS score FROM w WHERE len(list_filter(ws, lambda x: x = 0)) = 0"""
+
+
+@query("R7_weighted_match", _R7)
 def _(v):
     return retrieval.weighted_match(v.chunks, _terms(v)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -478,3 +488,55 @@ def _(v):
 def _(v):
     key = F.concat_ws(":", F.lit("retrieval:v1"), (F.col("id") % 50).cast("string"), F.col("id").cast("string"))
     return v.chunks.select(key.alias("key")).where(~F.col("key").startswith("retrieval:v1:7:"))
+
+
+# -- by the persisted indexes: the same rows, read from the folders of the terms or lists asked for --------------------
+
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def _index(v, kind):
+    """The folder of the index over the tables of v, built once in a session."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, kind.__name__)
+    if key not in _built:
+        path = indexes.new_folder(v.spark, kind.__name__.lower())
+        if kind is indexes.Postings:
+            kind(v.spark, path).append(v.chunks)
+        else:
+            kind(v.spark, path).build(v.embeddings.join(v.chunks.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), LISTS)
+        _built[key] = path
+    return kind(v.spark, _built[key])
+
+
+#: Lists of the inverted file, and how many of them a question reads.
+LISTS, PROBES = 100, 75
+
+
+@query("R1_by_postings", _R1)
+def _(v):
+    return fusion.ranked(_index(v, indexes.Postings).bm25(_ask(v)), "bm25", 40).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("R6_by_postings", f"SELECT * FROM ({_WORDS}) WHERE rank <= 40")
+def _(v):
+    return _index(v, indexes.Postings).any_word(retrieval.clean_terms(v.queries, "term1"), 40)
+
+
+@query("R7_by_postings", _R7)
+def _(v):
+    return _index(v, indexes.Postings).weighted_match(_terms(v)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("R8_by_postings", f"WITH {_TRIG} SELECT query_id, term_pos, chunk_id, round(score, 6) AS score FROM ts WHERE score >= 0.3")
+def _(v):
+    return _index(v, indexes.Postings).trigram(_terms(v)).select("query_id", "term_pos", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("R2_all_lists", _R2)
+def _(v):
+    return _index(v, indexes.Vectors).search(retrieve.query_vectors(v), 20, LISTS)
+
+
+@query("R2_by_lists")
+def _(v):
+    return _index(v, indexes.Vectors).search(retrieve.query_vectors(v), 20, PROBES)
