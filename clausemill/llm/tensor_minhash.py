@@ -7,10 +7,10 @@ probability (1 - (1 - s**ROWS)**BANDS)**2, which is 0.9999 at 0.8.
 
 Links are found in rounds, each only between what the links before leave apart: each set with the one of its buckets'
 hubs that it shares most tables with, a hub being the member that meets most others; with the other hubs; and the
-members of buckets that are still of several components, all of them where no more than OUTSIDE are outside the largest.
-What is left, members of large buckets that hardly link, goes through an exact join on prefixes: two sets at 4/5 share
-one of the first fifth of their shingles, the rarest first. So no bucket makes more than OUTSIDE pairs for each member,
-and none is cut off. Of all pairs only those are compared whose bitmaps differ in no more bits than sets at 4/5 can.
+members of buckets that are still of several components, those outside the largest with all others. Of all pairs only
+those go on whose bitmaps differ in no more bits than sets at 4/5 can, which the join itself tells. A bucket that would
+take more than CHECKS of these tests is too crowded for a task; its members go through an exact join on prefixes: two
+sets at 4/5 share one of the first fifth of their shingles, the rarest first. So none is cut off.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from .components import connected_components
 LEAST = (4, 5)
 BANDS, ROWS = 10, 2
 SEED = 42
-#: Members outside a bucket's largest component up to which they are compared with all of the bucket.
-OUTSIDE = 16
+#: Tests of two bitmaps that a bucket may take in its task, about a second's work.
+CHECKS = 1 << 24
+#: Sets that hold a rare shingle, at most.
+RARE = 16
 #: Words of 64 bits in a set's bitmap.
 BITMAP = 8
 #: Keys of texts that are sent to all tasks instead of moving texts.
@@ -187,12 +189,12 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, nid, comp, main, outside: the members(key, nid) of buckets that still hold several components; main is the one
-    with most members, outside the number of those that aren't in it."""
+    """key, nid, comp, main, checks: the members(key, nid) of buckets that still hold several components; main is the one
+    with most members, checks the number of pairs of those that aren't in it with all members."""
     known = labelled(member.select("key", "nid"), labels, "nid", "comp")
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     buckets = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).where(F.col("main.c") < F.col("size"))
-    return known.join(buckets.select("key", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.c")).alias("outside")), "key")
+    return known.join(buckets.select("key", F.col("main.comp").alias("main"), ((F.col("size") - F.col("main.c")) * F.col("size")).alias("checks")), "key")
 
 
 def across(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -231,12 +233,12 @@ def by_prefixes(tables: Tables, crowd: DataFrame, sets: DataFrame, labels: DataF
     """a, b: every pair of crowd(nid, n, bits) of two components that can be as similar as LEAST, by an exact join.
 
     Of two sets of m and n shingles at similarity s or more, the first m - ceil(s * m) + 1 of the one and as many of the
-    other in a common order share one. In the order taken here, shingles that more than OUTSIDE sets hold come last, so
+    other in a common order share one. In the order taken here, shingles that more than RARE sets hold come last, so
     that what many texts share makes no pairs.
     """
     mine = tables.write("crowd_sets", sets.join(crowd.select("nid"), "nid", "left_semi"))
     each = mine.select("nid", "shingles").mapInArrow(_tokens, "nid long, token long")
-    common = each.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > OUTSIDE).select("token")
+    common = each.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > RARE).select("token")
     rare = each.join(common, "token", "left_anti").groupBy("nid").agg(F.collect_list("token").alias("rare"))
     kept = mine.join(rare, "nid", "left").select("nid", "shingles", "rare").mapInArrow(_prefixes, "nid long, key long")
     return across(tables.write("open_prefixes", open_buckets(tables.write("prefixes", kept), labels)), crowd)
@@ -297,8 +299,8 @@ def components(tables: Tables, docs: DataFrame, nodes: DataFrame, words: int, mo
     links.add((best if more is None else best.unionAll(more)).distinct())
     links.add(apart(star.select("a", "b").distinct(), links.labels))
     found = tables.write("open", open_buckets(member, links.labels))
-    links.add(across(found.where(F.col("outside") <= OUTSIDE), nodes).join(star, ["a", "b"], "left_anti"))
-    crowd = found.where(F.col("outside") > OUTSIDE).select("nid").distinct()
+    links.add(across(found.where(F.col("checks") <= CHECKS), nodes).join(star, ["a", "b"], "left_anti"))
+    crowd = found.where(F.col("checks") > CHECKS).select("nid").distinct()
     if crowd.limit(1).count():
         crowd = tables.write("crowd", nodes.select("nid", "n", "bits").join(crowd, "nid", "left_semi"))
         links.add(by_prefixes(tables, crowd, sets, links.labels).join(star, ["a", "b"], "left_anti"))

@@ -73,8 +73,9 @@ def test_a_large_group_and_a_common_passage(spark):
     assert found(spark, docs) == plainly(docs)
 
 
-def test_an_exact_join_for_crowds(spark):
+def test_an_exact_join_for_crowds(spark, monkeypatch):
     """Sets that share most of their shingles without linking crowd the buckets; pairs among them that do link are found."""
+    monkeypatch.setattr(tensor_minhash, "CHECKS", 100)
     base, docs = words(9, 100), []
     for i in range(80):
         r = random.Random(i)
