@@ -143,16 +143,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def members(tables: Tables, nodes: DataFrame) -> DataFrame:
-    """key, nid, hub: a row for each table in which a set shares its bucket. hub is the one of the bucket that meets most
+    """key, nid, t, hub: a row for each table t in which a set shares its bucket. hub is the one of the bucket that meets most
     sets over all tables: what others were copied from, if it is there."""
     a, b = F.slice("keys", 1, BANDS), F.slice("keys", BANDS + 1, BANDS)
     pairs = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.xxhash64(x, y, i * BANDS + j))))
-    each = nodes.select("nid", F.explode(pairs).alias("key"))
+    each = nodes.select("nid", F.posexplode(pairs).alias("t", "key"))
     shared = tables.write("buckets", each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     met = tables.write("met", each.join(shared, "key"))
     scored = met.join(met.groupBy("nid").agg(F.sum("size").alias("score")), "nid")
     hubs = scored.groupBy("key").agg(F.max(F.struct("score", "nid")).alias("hub"))
-    member = tables.write("members", met.join(hubs, "key").select("key", "nid", F.col("hub.nid").alias("hub")))
+    member = tables.write("members", met.join(hubs, "key").select("key", "nid", "t", F.col("hub.nid").alias("hub")))
     tables.drop("buckets", "met")
     return member
 
@@ -191,17 +191,28 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def open_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
     """key, nid, comp, main, checks: the members(key, nid) of buckets that still hold several components; main is the one
     with most members, checks the number of pairs of those that aren't in it with all members."""
-    known = labelled(member.select("key", "nid"), labels, "nid", "comp")
+    known = labelled(member.drop("hub"), labels, "nid", "comp")
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     buckets = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).where(F.col("main.c") < F.col("size"))
     return known.join(buckets.select("key", F.col("main.comp").alias("main"), ((F.col("size") - F.col("main.c")) * F.col("size")).alias("checks")), "key")
 
 
+def first_met(x: Column, y: Column, t: Column) -> Column:
+    """Whether t is the first table in which sets with the keys x and y meet: of each collection, the first key they share."""
+    i, j = F.floor(t / BANDS), t % BANDS
+    differ = lambda at, own: (own <= at % BANDS) | (F.get(x, at) != F.get(y, at))
+    return reduce(Column.__and__, [differ(at, i) for at in range(BANDS - 1)] + [differ(BANDS + at, j) for at in range(BANDS - 1)])
+
+
 def across(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: of open buckets, those outside the largest component with all others that can be as similar as LEAST."""
-    some = found.join(nodes.select("nid", "n", "bits"), "nid")
+    """a, b: of open buckets, those outside the largest component with all others that can be as similar as LEAST; in
+    buckets of tables, a pair comes from the first that it meets in."""
+    tables = "t" in found.columns
+    some = found.join(nodes.select("nid", "n", "bits", *(["keys"] if tables else [])), "nid")
     x, y = some.where(F.col("comp") != F.col("main")).alias("x"), some.alias("y")
     may = fits(*(F.col(c) for c in ("x.n", "y.n", "x.bits", "y.bits")))
+    if tables:
+        may = may & (F.col("x.t") == F.col("y.t")) & first_met(F.col("x.keys"), F.col("y.keys"), F.col("x.t"))
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & may)
     return both.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
 

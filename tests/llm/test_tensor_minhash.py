@@ -121,3 +121,20 @@ def test_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "p q r s t"), (7, "p q r s t"), (7, "p q r s t"), (None, "alone here"), (None, None)], "doc_id long, text string")
     rows = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in tensor_minhash.near_duplicates(df).collect()))
     assert rows == [(0, 0, 0, True), (0, 1, 0, True), (0, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True)]
+
+
+def test_each_pair_comes_from_the_first_table_it_meets_in(spark):
+    r = np.random.default_rng(8)
+    b = tensor_minhash.BANDS
+    rows = []
+    for _ in range(60):
+        x = r.integers(0, 3, 2 * b).tolist()
+        y = r.integers(0, 3, 2 * b).tolist()
+        rows += [(len(rows) // (b * b), x, y, t) for t in range(b * b)]
+    df = spark.createDataFrame(rows, "k long, x array<long>, y array<long>, t int")
+    found = {}
+    for k, x, y, t in df.where(tensor_minhash.first_met(df.x, df.y, df.t)).where("x[floor(t / 10)] = y[floor(t / 10)] and x[10 + t % 10] = y[10 + t % 10]").collect():
+        found.setdefault(k, []).append(t)
+    for k, x, y, _ in rows[:: b * b]:
+        meet = [i * b + j for i in range(b) for j in range(b) if x[i] == y[i] and x[b + j] == y[b + j]]
+        assert found.get(k, []) == meet[:1]
