@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from clausemill.functions import structure as st
-from clausemill.sources import ingest
+from clausemill.functions.notes import with_notes
+from clausemill.sources import exports, ingest
 
 from .registry import query
 
@@ -172,3 +173,34 @@ def _(v):
 def _(v):
     field = lambda n: F.get_json_object("metadata", n)
     return v.chunks.select("id", F.concat_ws(":", "codebook", "clause_number").alias("record_id"), F.coalesce(field("$.k"), F.lit("")).alias("level"), F.when(field("$.is_table") == "true", "table").otherwise("clause").alias("kind"))
+
+
+_PARENT = "array_to_string(string_split(clause_number, '.')[1:len(string_split(clause_number, '.')) - 1], '.')"
+
+
+@query("S12_clause_export", f"SELECT 'NCC_2022_VOL3:' || clause_number AS id, clause_number, title AS heading, body, CASE WHEN has_notes THEN concat('first', chr(10), 'second') ELSE '' END AS notes, '' AS exceptions, level, {_PARENT} AS parent_number, CASE WHEN {_PARENT} = '' THEN '' ELSE 'NCC_2022_VOL3:' || {_PARENT} END AS parent_id, CASE WHEN page_start = 0 OR page_end = 0 THEN '' WHEN page_start = page_end THEN page_start::VARCHAR ELSE concat(page_start, '-', page_end) END AS page, 'high' AS confidence, false AS appendix_flag, true AS embeddable, ord % 8 = 0 OR length(trim(body)) < 10 AS is_heading_only, false AS had_duplicate_merge, '[]' AS source_rows, 'NCC_2022_VOL3' AS codebook FROM clauses")
+def _(v):
+    notes = F.when(_c("has_notes"), F.array(F.lit("first"), F.lit("second")))
+    return exports.clauses(v.clauses.withColumns({"notes": notes, "exceptions": F.lit(None).cast("array<string>"), "confidence": F.lit("high"), "has_body": _c("ord") % 8 != 0}), "NCC 2022 Vol3")
+
+
+_BARE = "trim(regexp_replace(table_number, '^(?i)table\\s+', ''))"
+
+
+@query("S13_table_export", f"WITH t AS (SELECT *, {_BARE} AS bare, CASE WHEN id % 4 = 0 THEN source_clause_number END AS pr, CASE WHEN id % 4 = 1 THEN '7.2' END AS pn, CASE WHEN id % 3 = 0 THEN 'Described.' END AS de FROM tables), c AS (SELECT *, coalesce(pn, pr, bare) AS cid, coalesce(pr, pn, bare) AS ref FROM t) SELECT 'Vol2' AS volume, string_split(bare, '.')[1] AS part_code, string_split(bare, '.')[1] AS section_code, table_number AS table_id, 'table' AS unit_type, coalesce(title, '') AS table_title, concat(coalesce(de, concat(table_number, ' (', coalesce(nullif(title, ''), 'Untitled'), ') contains technical specifications.')), CASE WHEN id % 5 = 0 THEN concat(chr(10), chr(10), 'Notes:', chr(10), 'n1', chr(10), 'n2') ELSE '' END) AS table_content, 1 AS content_part, 1 AS content_parts_total, '' AS called_in, 'Clause ' || ref AS clause_reference, 'NCC 2022 vol2' AS source, '' AS context, 1 AS clause_count, cid AS first_clause_id, cid AS last_clause_id, 'false' AS archived, '' AS state_territory, 'tables.json' AS source_file, 'NCC 2022' AS version FROM c")
+def _(v):
+    k = _c("id")
+    some = {
+        "parent_reference": F.when(k % 4 == 0, _c("source_clause_number")),
+        "parent_number": F.when(k % 4 == 1, "7.2"),
+        "description": F.when(k % 3 == 0, "Described."),
+        "footer_notes": F.when(k % 5 == 0, F.array(F.lit("n1"), F.lit(" "), F.lit(" n2 "))),
+    }
+    return exports.tables(v.tables.withColumns(some), "NCC 2022 vol2", "NCC 2022")
+
+
+@query("C20_footer_notes")
+def _(v):
+    below = F.element_at(F.array(*map(F.lit, ["NOTES:\n1. First note\ngoes on\n(a) Second", "EXCEPTIONS\n1) One case\n2) Another case", "NOTE - A single note.\nCOPYRIGHT\nnot this", "nothing below"])), (_c("id") % 4 + 1).cast("int"))
+    page = F.concat_ws("\n", F.lit("TABLE 77.7\nNOTES\n1. Of another table"), F.concat(F.lit("Table "), F.regexp_replace("table_number", "Table ", "")), "text", below, F.lit("TABLE 88.8\nNOTES\n1. Of the next table"))
+    return with_notes(v.tables, page, _c("table_number"), _c("title")).select("id", F.posexplode_outer("notes").alias("place", "note")).where("place IS NOT NULL")
