@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from typing import IO
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,7 +141,7 @@ class WordReader(DataSourceReader):
                 with store.open_input_file(path) as f:
                     for block in blocks(f):
                         yield (path, *block)
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+            except (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, pa.ArrowInvalid) as e:  # the last for files too short to be one
                 if not self.permissive:
                     raise ValueError(f"{path} isn't a Word file: {e}") from e
                 yield path, -1, "unreadable", str(e), None
