@@ -103,9 +103,9 @@ def dropped(tables: DataFrame) -> DataFrame:
     blob = F.array_join(F.concat(F.flatten("h"), F.flatten("d")), " ")
     reason = (
         F.when(F.size("d") == 0, "no_data_rows")
-        .when(blob.rlike(r"(?i)\bfigure\s+[0-9]"), "figure_not_table")
-        .when(blob.rlike(r"(?i)\bbibliography\b"), "bibliography")
-        .when(blob.rlike(r"(?i)\bdesigner.s statement\b"), "form_not_table")
+        .when(blob.rlike(st.edged(r"(?i)\bfigure\s+[0-9]")), "figure_not_table")
+        .when(blob.rlike(st.edged(r"(?i)\bbibliography\b")), "bibliography")
+        .when(blob.rlike(st.edged(r"(?i)\bdesigner.s statement\b")), "form_not_table")
         .when(F.col("table_number").startswith("MODAL_P"), "fallback_id_no_real_table")
         .when(st.glossary(F.flatten("d")), "glossary_not_table")
     )

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.functions.structure import edged
+
 TOC = r"\.{3,}"
 TOC_LINE = r"(?m)\.{3,}.*\d+\s*$"
 PROSE_TITLE = r"(?i)\b(shall|must not|must|in accordance with)\b"
@@ -133,7 +135,7 @@ def empty_tables(tables: DataFrame) -> DataFrame:
 
 def suspicious_title(tables: DataFrame) -> DataFrame:
     t = F.trim("title")
-    bad = (F.coalesce("title", F.lit("")) != "") & ((F.length(t) > 100) | t.rlike(PROSE_TITLE) | t.rlike(r"^\d+(?:\.\d+)+\s+\S+"))
+    bad = (F.coalesce("title", F.lit("")) != "") & ((F.length(t) > 100) | t.rlike(edged(PROSE_TITLE)) | t.rlike(r"^\d+(?:\.\d+)+\s+\S+"))
     shown = F.when(F.length("title") <= 100, F.col("title")).otherwise(F.concat(F.substring("title", 1, 97), F.lit("...")))
     return found(tables, _issue(bad, "suspicious_table_title", "warning", _say("Table ", F.col("table_number"), " title may include clause prose: ", shown)))
 

@@ -125,7 +125,7 @@ def _(v):
 @query("F26_degraded_rows", "SELECT document_id, sum(hits)::BIGINT AS unknown, count(*) AS lines, sum(hits) >= 5 AND sum(hits) / count(*) >= 0.02 AS degraded FROM (SELECT document_id, len(regexp_extract_all(CASE WHEN k < 3 THEN 'Unknown ' || title ELSE title END, '\\bUnknown\\b')) AS hits FROM pieces WHERE trim(title) <> '') GROUP BY document_id")
 def _(v):
     text = F.when(_c("k") < 3, F.concat(F.lit("Unknown "), "title")).otherwise(_c("title"))
-    t = v.pieces.where(F.trim("title") != "").select("document_id", F.regexp_count(text, F.lit(r"\bUnknown\b")).alias("hits"))
+    t = v.pieces.where(F.trim("title") != "").select("document_id", F.regexp_count(text, F.lit(st.edged(r"\bUnknown\b"))).alias("hits"))
     total = F.sum("hits")
     return t.groupBy("document_id").agg(total.cast("long").alias("unknown"), F.count("*").alias("lines"), ((total >= 5) & (total / F.count("*") >= 0.02)).alias("degraded"))
 
