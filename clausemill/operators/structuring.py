@@ -5,6 +5,8 @@ Everything orders inside a document (or a page), so windows and groups are as la
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +88,14 @@ def evidence_block(is_table: Column, number: Column, title: Column, page: Column
     return F.concat(kind, number, F.lit("] "), title, F.when(page.isNull(), "").otherwise(F.concat(F.lit(" (page "), page, F.lit(")"))), F.lit("\n"), body)
 
 
-def quality(tables: DataFrame) -> DataFrame:
+def quality(tables: DataFrame, garbled: Callable[[Column], Column] = st.garbled) -> DataFrame:
     """tables(table_number, h, d) with reason: why a table isn't one, or null."""
     rows, number = F.concat("h", "d"), F.col("table_number")
     reason = (
         F.when(F.size("d") == 0, "empty")
         .when((F.size(F.get("d", F.lit(0))) <= 2) & ((number == "") | number.startswith("MODAL_P")), "narrow")
         .when(st.density(rows) < 0.1, "low_density")
-        .when(st.garbled(rows), "garbled")
+        .when(garbled(rows), "garbled")
         .when(st.duplicate_columns(F.col("d")), "duplicate_columns")
     )
     return tables.withColumn("reason", reason)

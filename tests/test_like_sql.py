@@ -17,3 +17,10 @@ def test_words_beside_letters_beyond_ascii(spark, tmp_path, name):
     words = ["ÉNT! rest", "ACTé and", "éSA Table", "çTable 3.1 é", "Tableé 3.1", "Table 3.1é", "COPYRIGHTé", "éspecifies", "éfigure", "éUnknown Unknown"]
     d = documents(spark, tmp_path, [w for w in words for _ in range(9)])
     assert differences(spark, d, catalog.QUERIES[name], catalog.SQL[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["F13_garbled", "F11_quality_filters"])
+def test_tables_with_odd_letters(spark, tmp_path, name):
+    texts = ["daa daa daa daa daa", "• •• •• •• ••", "COPYRIGHT a b c d", "a b COPYRIGHT c d", "plain words of a text"]
+    d = documents(spark, tmp_path, [t for t in texts for _ in range(14)])
+    assert differences(spark, d, catalog.QUERIES[name], catalog.SQL[name]) == ""
