@@ -199,9 +199,9 @@ def _(v):
     return _catalog(v).select("codebook", "ready", "processing", (F.col("chunk_count") + F.col("table_count")).alias("items"))
 
 
-@query("B27_document_tables", "SELECT id, table_number, title FROM tables WHERE document_id = 7 ORDER BY table_number, id")
+@query("B27_document_tables", "SELECT document_id, id, table_number, title FROM tables ORDER BY document_id, table_number, id")
 def _(v):
-    return v.tables.where("document_id = 7").select("id", "table_number", "title").orderBy("table_number", "id")
+    return v.tables.select("document_id", "id", "table_number", "title").orderBy("document_id", "table_number", "id")
 
 
 @query("B28_shared_documents", "SELECT id FROM docs WHERE is_shared_library AND codebook = 'src7' AND status = 'ready_for_search'")
