@@ -219,9 +219,10 @@ def _(v):
     return v.admin_queue.orderBy(F.desc("priority"), "created_at", "id").offset(10).limit(20).select("id", "priority")
 
 
-@query("T12_chunk_page", "SELECT id, clause_number FROM chunks WHERE document_id = 4 ORDER BY chunk_index LIMIT 5 OFFSET 3")
+@query("T12_chunk_page", "SELECT document_id, page, id, clause_number FROM (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) - 1) // 5 AS page FROM chunks)")
 def _(v):
-    return v.chunks.where("document_id = 4").orderBy("chunk_index").offset(3).limit(5).select("id", "clause_number")
+    at = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "id")) - 1
+    return v.chunks.select("document_id", F.floor(at / 5).alias("page"), "id", "clause_number")
 
 
 @query("S4_paged_scan", "SELECT id, chunk_index FROM chunks WHERE document_id IN (3, 5, 8) ORDER BY chunk_index")

@@ -9,6 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 #: query -> view
 SCANS = {
     "B27_document_tables": "tables",
+    "T12_chunk_page": "chunks",
 }
 
 
