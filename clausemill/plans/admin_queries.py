@@ -225,9 +225,9 @@ def _(v):
     return v.chunks.select("document_id", F.floor(at / 5).alias("page"), "id", "clause_number")
 
 
-@query("S4_paged_scan", "SELECT id, chunk_index FROM chunks WHERE document_id IN (3, 5, 8) ORDER BY chunk_index")
+@query("S4_paged_scan", "SELECT id, chunk_index FROM chunks ORDER BY chunk_index, id")
 def _(v):
-    return v.chunks.where(F.col("document_id").isin(3, 5, 8)).select("id", "chunk_index").orderBy("chunk_index")
+    return v.chunks.select("id", "chunk_index").orderBy("chunk_index", "id")
 
 
 @query("S5_ordered_scan", "SELECT id, page_number FROM chunks WHERE document_id = 9 ORDER BY page_number, id")

@@ -10,6 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 SCANS = {
     "B27_document_tables": "tables",
     "T12_chunk_page": "chunks",
+    "S4_paged_scan": "chunks",
 }
 
 
