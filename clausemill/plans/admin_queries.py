@@ -230,9 +230,9 @@ def _(v):
     return v.chunks.select("id", "chunk_index").orderBy("chunk_index", "id")
 
 
-@query("S5_ordered_scan", "SELECT id, page_number FROM chunks WHERE document_id = 9 ORDER BY page_number, id")
+@query("S5_ordered_scan", "SELECT document_id, id, page_number FROM chunks ORDER BY document_id, page_number, id")
 def _(v):
-    return v.chunks.where("document_id = 9").select("id", "page_number").orderBy("page_number", "id")
+    return v.chunks.select("document_id", "id", "page_number").orderBy("document_id", F.asc_nulls_last("page_number"), "id")
 
 
 @query("S6_table_scan", "SELECT id, table_number FROM tables WHERE document_id IN (1, 2) ORDER BY table_number, id")

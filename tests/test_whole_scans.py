@@ -11,6 +11,7 @@ SCANS = {
     "B27_document_tables": "tables",
     "T12_chunk_page": "chunks",
     "S4_paged_scan": "chunks",
+    "S5_ordered_scan": "chunks",
 }
 
 
