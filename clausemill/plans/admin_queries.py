@@ -235,9 +235,9 @@ def _(v):
     return v.chunks.select("document_id", "id", "page_number").orderBy("document_id", F.asc_nulls_last("page_number"), "id")
 
 
-@query("S6_table_scan", "SELECT id, table_number FROM tables WHERE document_id IN (1, 2) ORDER BY table_number, id")
+@query("S6_table_scan", "SELECT id, table_number FROM tables ORDER BY table_number, id")
 def _(v):
-    return v.tables.where("document_id IN (1, 2)").select("id", "table_number").orderBy("table_number", "id")
+    return v.tables.select("id", "table_number").orderBy("table_number", "id")
 
 
 @query("S7_fetch_in_order", "SELECT c.id, r.rank, c.heading FROM chunks c JOIN (SELECT id + 7 AS id, id AS rank FROM chunks WHERE id % 50 = 0) r USING (id) ORDER BY r.rank")

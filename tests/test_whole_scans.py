@@ -12,6 +12,7 @@ SCANS = {
     "T12_chunk_page": "chunks",
     "S4_paged_scan": "chunks",
     "S5_ordered_scan": "chunks",
+    "S6_table_scan": "tables",
 }
 
 
