@@ -1,8 +1,10 @@
 """Queries against their SQL over hand-made rows that the test tables hardly have."""
 
 import pytest
+from pyspark.sql import functions as F
 from twins import differences
 
+from clausemill.operators import reports
 from clausemill.plans import catalog
 
 
@@ -24,3 +26,10 @@ def test_tables_with_odd_letters(spark, tmp_path, name):
     texts = ["daa daa daa daa daa", "• •• •• •• ••", "COPYRIGHT a b c d", "a b COPYRIGHT c d", "plain words of a text"]
     d = documents(spark, tmp_path, [t for t in texts for _ in range(14)])
     assert differences(spark, d, catalog.QUERIES[name], catalog.SQL[name]) == ""
+
+
+def test_pairs_of_one_code_come_from_many_tasks(spark):
+    docs = spark.range(50).selectExpr("id AS document_id", "'src1' AS codebook")
+    wants = spark.range(2000).select("id", F.array(F.lit("src1")).alias("sources"))
+    tasks = {r.t for r in reports.routed(wants, docs).select(F.spark_partition_id().alias("t")).distinct().collect()}
+    assert len(tasks) > 16
