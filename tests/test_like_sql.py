@@ -28,6 +28,16 @@ def test_tables_with_odd_letters(spark, tmp_path, name):
     assert differences(spark, d, catalog.QUERIES[name], catalog.SQL[name]) == ""
 
 
+def test_scope_of_many_requirements(spark):
+    docs = spark.range(9000).selectExpr("id AS document_id", "concat('src', id % 3) AS codebook")
+    wants = spark.createDataFrame([(1, ["SRC 1", "src-1", "x"]), (2, []), (3, ["gone"]), (4, ["src0", "src2"]), (5, None)], "id long, sources array<string>")
+    found = {r.id: r["count"] for r in reports.routed(wants, docs).groupBy("id").count().collect()}
+    assert found == {1: 3000, 2: 9000, 4: 6000}
+    many = wants.crossJoin(spark.range(100_000).withColumnRenamed("id", "copy")).select(F.col("copy").alias("id"), "sources")
+    one = reports.scope_estimate(many, docs).first()
+    assert (one.requirements, one.calls, one.level) == (500_000, 100_000 * (3000 + 9000 + 1 + 6000 + 1), "block")
+
+
 def test_pairs_of_one_code_come_from_many_tasks(spark):
     docs = spark.range(50).selectExpr("id AS document_id", "'src1' AS codebook")
     wants = spark.range(2000).select("id", F.array(F.lit("src1")).alias("sources"))
