@@ -23,9 +23,8 @@ def _first(v) -> str:
     return v.queries.agg({"term1": "min"}).first()[0].replace("'", "''")
 
 
-def _ids(v) -> str:
-    """All documents' ids as a literal: a call names the documents it searches."""
-    return "array(" + ", ".join(f"{r.id}L" for r in v.docs.select("id").orderBy("id").collect()) + ")"
+#: All documents that the user may see.
+_ALL = "CAST(NULL AS ARRAY<BIGINT>)"
 
 
 @query("FN_has_active_subscription", f"SELECT p.id AS user_id, a.plan IS NOT NULL OR t.trial IS NOT NULL AS has_active FROM profiles p LEFT JOIN {_PAID} a ON a.user_id = p.id LEFT JOIN {_TRIAL} t ON t.user_id = p.id")
@@ -47,20 +46,20 @@ def _(v):
     w AS (SELECT id, asked, list_transform(asked, lambda x: CASE WHEN list_contains(a, x) THEN 1.0 WHEN list_contains(b, x) THEN 0.4 WHEN list_contains(c, x) THEN 0.2 ELSE 0 END) AS ws FROM t)
     SELECT id AS chunk_id, round(list_sum(ws), 6)::DOUBLE AS rank FROM w WHERE len(asked) > 0 AND len(list_filter(ws, lambda x: x = 0)) = 0 ORDER BY rank DESC, id LIMIT 40""")
 def _(v):
-    return _sql(v, f"SELECT chunk_id, round(rank, 6) AS rank FROM search_chunks_fts(3L, {_ids(v)}, '{_first(v)}')")
+    return _sql(v, f"SELECT chunk_id, round(rank, 6) AS rank FROM search_chunks_fts(3L, {_ALL}, '{_first(v)}')")
 
 
 @query("FN_search_trgm", f"""WITH g AS (SELECT id, {_gram_sql("heading || ' ' || clause_number")} AS h, {_gram_sql("substring(text, 1, 2000)")} AS x, {_gram_sql(_TERM)} AS t FROM {_VISIBLE}),
     s AS (SELECT id, greatest(len(list_intersect(h, t))::DOUBLE / len(list_distinct(list_concat(h, t))), len(list_intersect(x, t))::DOUBLE / len(list_distinct(list_concat(x, t)))) AS s FROM g)
     SELECT id AS chunk_id, round(s, 6) AS similarity FROM s WHERE s >= 0.3 ORDER BY round(s, 9) DESC, id LIMIT 25""")
 def _(v):
-    return _sql(v, f"SELECT chunk_id, round(similarity, 6) AS similarity FROM search_chunks_trgm(3L, {_ids(v)}, '{_first(v)}', p_limit => 25)")
+    return _sql(v, f"SELECT chunk_id, round(similarity, 6) AS similarity FROM search_chunks_trgm(3L, {_ALL}, '{_first(v)}', p_limit => 25)")
 
 
 @query("FN_search_heading", f"""SELECT * FROM (SELECT id AS chunk_id, CASE WHEN lower(clause_number) = n THEN 100 WHEN lower(clause_number) LIKE n || '.%' THEN 95 WHEN n LIKE lower(clause_number) || '.%' THEN 90
     WHEN contains(lower(heading), n) THEN 80 WHEN contains(lower(substring(text, 1, 200)), n) THEN 20 ELSE 0 END AS score FROM {_VISIBLE}, (SELECT '3.4' AS n)) WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 40""")
 def _(v):
-    return _sql(v, f"SELECT * FROM search_chunks_heading(3L, {_ids(v)}, ' 3.4 ')")
+    return _sql(v, f"SELECT * FROM search_chunks_heading(3L, {_ALL}, ' 3.4 ')")
 
 
 @query("FN_search_vector", f"""SELECT c.id AS chunk_id, c.document_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS similarity, c.heading FROM embeddings e JOIN {_VISIBLE} c ON c.id = e.vec_id, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) q

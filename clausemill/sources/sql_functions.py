@@ -2,7 +2,8 @@
 
 register(spark, tables) names the tables as temporary views and the functions over them. A function's body is SQL that
 Spark puts in place of the call, so a call in a query over many users is one plan of joins, not a call for each. Times
-are a parameter that is now unless given.
+are a parameter that is now unless given. A list of documents narrows what is searched; null searches all that the user
+may see.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def definitions(view: dict[str, str]) -> dict[str, str]:
     """name -> parameters, kind of result and body, over views of these names."""
     seats = _SEATS.format(**view)
     visible = f"""SELECT c.* FROM {view["chunks"]} c JOIN {view["docs"]} d ON d.id = c.document_id {seats}
-        WHERE {_SEEN} AND array_contains(p_document_ids, c.document_id) AND (p_codebook IS NULL OR c.codebook = p_codebook)"""
+        WHERE {_SEEN} AND (p_document_ids IS NULL OR array_contains(p_document_ids, c.document_id)) AND (p_codebook IS NULL OR c.codebook = p_codebook)"""
     asked = _WORDS.format(x="p_query")
     best = "CASE WHEN array_contains(a, w) THEN 1.0D WHEN array_contains(b, w) THEN 0.4D WHEN array_contains(c, w) THEN 0.2D ELSE 0.0D END"
     fts = f"""SELECT chunk_id, aggregate(transform(asked, w -> {best}), 0.0D, (x, y) -> x + y) AS rank FROM (

@@ -43,3 +43,14 @@ def test_pairs_of_one_code_come_from_many_tasks(spark):
     wants = spark.range(2000).select("id", F.array(F.lit("src1")).alias("sources"))
     tasks = {r.t for r in reports.routed(wants, docs).select(F.spark_partition_id().alias("t")).distinct().collect()}
     assert len(tasks) > 16
+
+
+def test_a_search_names_documents_or_none(spark):
+    from clausemill.plans import function_queries as fq
+    from clausemill.sources.derived import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    found = lambda ids: sorted(r.chunk_id for r in fq._sql(v, f"SELECT chunk_id FROM search_chunks_heading(3L, {ids}, 'e', p_limit => 500)").collect())
+    every = "array(" + ", ".join(f"{r.id}L" for r in v.docs.select("id").collect()) + ")"
+    assert found("CAST(NULL AS ARRAY<BIGINT>)") == found(every) != []
+    assert found("array(-1L)") == []
