@@ -43,6 +43,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _spread(chunks: DataFrame) -> DataFrame:
+    """Chunks dealt over the cores: a file with few row groups is read by few tasks, however large it is."""
+    tasks = max(4 * chunks.sparkSession.sparkContext.defaultParallelism, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return chunks.repartition(tasks, "id")
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -75,15 +81,19 @@ class Postings:
     def append(self, chunks: DataFrame) -> Postings:
         """Add chunks as a new generation. A chunk that is there already has to be deleted first."""
         generation = F.lit(self.generations()).alias("generation")
-        own = chunks.select(F.col("id").alias("chunk_id"), tokens(retrieval.search_text()).alias("words"), tokens(F.col("text")).alias("body"), tokens(F.col("heading")).alias("head"), tokens(F.col("clause_number")).alias("number"), "text", "heading", "clause_number")
-        place = F.when(F.array_contains("head", F.col("word")), 1.0).when(F.array_contains("number", F.col("word")), 0.4).when(F.array_contains("body", F.col("word")), 0.2).otherwise(0.0)
-        each = own.select("chunk_id", F.size("words").alias("dl"), "body", "head", "number", F.explode("words").alias("word"))
-        counted = each.groupBy("chunk_id", "word").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.first(F.array_contains("body", F.col("word"))).alias("in_text"), F.first(place).alias("weight"))
+        cuts = _spread(chunks).select(F.col("id").alias("chunk_id"), "text", "heading", "clause_number", *[tokens(F.col(c)).alias(n) for c, n in (("text", "body"), ("heading", "head"), ("clause_number", "number"))])
+        # the words of the search text are those of its parts, and a word's place tells its part; sizes are taken before
+        # words part, so that none carries the chunk's arrays
+        own = cuts.select("chunk_id", "text", "heading", "clause_number", F.concat("body", "head", "number").alias("words"), F.size("body").alias("b"), (F.size("body") + F.size("head")).alias("h")).withColumn("dl", F.size("words"))
+        each = own.select("chunk_id", "dl", "b", "h", F.posexplode("words").alias("i", "word"))
+        weight = F.when(F.col("i") < F.col("b"), 0.2).when(F.col("i") < F.col("h"), 1.0).otherwise(0.4)
+        counted = each.groupBy("chunk_id", "word", "dl").agg(F.count("*").cast("int").alias("tf"), F.max(F.col("i") < F.col("b")).alias("in_text"), F.max(weight).alias("weight"))
+        counted = counted.select("chunk_id", "word", "tf", "dl", "in_text", "weight")
         self._write("words", counted, "word", generation)
         head = trigrams(F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("clause_number", F.lit(""))))
         sides = own.select("chunk_id", F.posexplode(F.array(head, trigrams(F.substring("text", 1, CHARS)))).alias("side", "grams"))
-        self._write("grams", sides.select("chunk_id", "side", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "gram", generation)
-        kept = own.select("chunk_id", F.size("words").alias("dl"), F.array_distinct("words").alias("words"), generation)
+        self._write("grams", sides.withColumn("n", F.size("grams")).select("chunk_id", "side", "n", F.explode("grams").alias("gram")), "gram", generation)
+        kept = own.select("chunk_id", "dl", F.array_distinct("words").alias("words"), generation)
         kept.write.mode("append").parquet(f"{self.path}/chunks")
         kept.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).write.mode("append").parquet(f"{self.path}/vocabulary")
         return self
