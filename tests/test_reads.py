@@ -12,5 +12,23 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_two_signals_read_chunks_three_times(spark):
+    assert plan(catalog.QUERIES["R12_retrieve_two_signals"](spark, SMALL)).count("Relation [doc_id") == 3
+
+
 def test_proxy_reads_chunks_once(spark):
     assert plan(catalog.QUERIES["R3_vector_proxy"](spark, SMALL)).count("Relation [doc_id") == 1
+
+
+def test_bm25_without_some_chunks_is_that_of_the_rest(spark):
+    v = Views(spark, SMALL)
+    corpus = retrieve.corpus(v.chunks).cache()
+    gone = [(q, c) for q in range(0, 8, 2) for c in range(q, 200, 3)]
+    exclude = spark.createDataFrame(gone, "query_id long, chunk_id long")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want = []
+    for q in (0, 1, 2):
+        mine = corpus.where(~corpus.chunk_id.isin([c for x, c in gone if x == q]))
+        want += rows(retrieval.bm25(mine, _ask(v).where(f"query_id = {q}")))
+    found = [rows(retrieval.bm25(corpus, _ask(v), exclude, counts, tf).where("query_id < 3")) for counts, tf in ((None, None), (retrieval.word_counts(corpus), retrieval.chunk_frequencies(v.chunks, retrieval.words_asked(_ask(v)))))]
+    assert want and found == [want, want]
