@@ -20,6 +20,25 @@ def test_proxy_reads_chunks_once(spark):
     assert plan(catalog.QUERIES["R3_vector_proxy"](spark, SMALL)).count("Relation [doc_id") == 1
 
 
+def test_trace_finds_words_without_its_chunks(spark):
+    """The frequencies of the batch's words are there before the plan."""
+    v = Views(spark, SMALL)
+    r = retrieve.Retrieval(v.chunks, v.queries, retrieve.chunk_vectors(v), retrieve.query_vectors(v))
+    assert "lower(coalesce(text" not in plan(r.signals(["fts"]))
+
+
+def test_excluding_searches_nothing_fuzzily(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "partial", lambda *_: 1 / 0)
+    catalog.QUERIES["R12_excluding"](spark, SMALL)
+
+
+def test_a_retry_counts_the_vocabulary_once(spark, monkeypatch):
+    calls, count = [], retrieval.word_counts
+    monkeypatch.setattr(retrieval, "word_counts", lambda c: calls.append(1) or count(c))
+    catalog.QUERIES["R12_retry"](spark, SMALL)
+    assert len(calls) == 1
+
+
 def test_bm25_without_some_chunks_is_that_of_the_rest(spark):
     v = Views(spark, SMALL)
     corpus = retrieve.corpus(v.chunks).cache()
