@@ -32,6 +32,31 @@ def test_excluding_searches_nothing_fuzzily(spark, monkeypatch):
     catalog.QUERIES["R12_excluding"](spark, SMALL)
 
 
+def test_excluding_splits_its_chunks_once(spark, monkeypatch):
+    """Frequencies and the vocabulary's counts are there before BM25 is planned, less what is excluded, and the signals before
+    the fusion."""
+    monkeypatch.setattr(retrieval, "_counted", lambda *_: 1 / 0)
+    assert "Relation [doc_id" not in plan(catalog.QUERIES["R12_excluding"](spark, SMALL))
+
+
+def test_excluded_ids_meet_their_chunks_by_either_join(spark, monkeypatch):
+    rows = lambda: sorted(map(tuple, catalog.QUERIES["R12_excluding"](spark, SMALL).collect()))
+    few = rows()
+    monkeypatch.setattr(retrieve, "FEW", 0)
+    assert few and rows() == few
+
+
+def test_headings_lower_no_more_than_the_texts_start(spark):
+    """The start is that of the lowered text, also where a sigma stands last in it."""
+    texts = ["x" * 199 + "\u03a3y needle", "x" * 194 + "needle", "x" * 195 + "NEEDLE", "\u0130" * 97 + "needle", "x" * 199 + "\u03a3"]
+    chunks = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], "id long, text string, heading string, clause_number string")
+    needles = spark.createDataFrame([(1, 0, "needle"), (2, 0, "\u03c3"), (3, 0, "\u03c2")], "query_id long, term_pos int, term string")
+    found = {(r.query_id, r.chunk_id) for r in retrieval.heading_sum(chunks, needles).collect()}
+    assert found == {(1, 1), (1, 3), (2, 0), (3, 4)}
+    start = plan(retrieval.heading_sum(chunks, needles)).replace(" ", "")
+    assert "lower(coalesce(text" not in start
+
+
 def test_a_retry_counts_the_vocabulary_once(spark, monkeypatch):
     calls, count = [], retrieval.word_counts
     monkeypatch.setattr(retrieval, "word_counts", lambda c: calls.append(1) or count(c))
