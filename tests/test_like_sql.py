@@ -45,6 +45,22 @@ def test_pairs_of_one_code_come_from_many_tasks(spark):
     assert len(tasks) > 16
 
 
+def test_written_pairs_are_small(spark, tmp_path):
+    """Their number is the product of both sides, so a disk holds them only in few bytes each."""
+    docs = spark.range(6000).selectExpr("id AS document_id", "concat('src', id % 3) AS codebook")
+    wants = spark.range(900).select("id", F.when(F.col("id") % 2 == 0, F.array(F.lit("src1"))).otherwise(F.array().cast("array<string>")).alias("sources"))
+    reports.routed(wants, docs).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.count() == found.distinct().count() == 450 * 2000 + 450 * 6000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * found.count()
+
+
+def test_pairs_keep_ids_that_are_null(spark):
+    docs = spark.createDataFrame([(None, "src1"), (2, None)], "document_id long, codebook string")
+    wants = spark.createDataFrame([(None, []), (7, ["src1"])], "id long, sources array<string>")
+    assert {tuple(x) for x in reports.routed(wants, docs).collect()} == {(None, None), (None, 2), (7, None)}
+
+
 def test_a_search_names_documents_or_none(spark):
     from clausemill.plans import function_queries as fq
     from clausemill.sources.derived import Views
