@@ -21,7 +21,7 @@ from clausemill.operators import fusion, retrieval
 
 #: Folders of terms, and files that a generation has in each at most.
 BUCKETS, FILES = 256, 4
-#: Characters of a text that trigrams are taken of.
+#: Characters of a text that trigrams are taken of, unless an index is to have them of whole texts.
 CHARS = 2000
 #: Vectors that lists are fitted on, for each list in expectation, and rounds of the fit.
 SAMPLE, ROUNDS = 256, 12
@@ -61,10 +61,12 @@ class Postings:
     chunks         chunk_id, dl, words: for statistics and deletes
     vocabulary     word, df: negative where chunks were deleted
     tombstones     chunk_id, before: the generation from which on the chunk may be back
+
+    chars: characters of a text that its trigrams are taken of, None for the whole text.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, chars: int | None = CHARS):
+        self.spark, self.path, self.chars = spark, path, chars
 
     def _read(self, table: str, schema: str) -> DataFrame:
         path = f"{self.path}/{table}"
@@ -91,7 +93,8 @@ class Postings:
         counted = counted.select("chunk_id", "word", "tf", "dl", "in_text", "weight")
         self._write("words", counted, "word", generation)
         head = trigrams(F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("clause_number", F.lit(""))))
-        sides = own.select("chunk_id", F.posexplode(F.array(head, trigrams(F.substring("text", 1, CHARS)))).alias("side", "grams"))
+        start = F.col("text") if self.chars is None else F.substring("text", 1, self.chars)
+        sides = own.select("chunk_id", F.posexplode(F.array(head, trigrams(start))).alias("side", "grams"))
         self._write("grams", sides.withColumn("n", F.size("grams")).select("chunk_id", "side", "n", F.explode("grams").alias("gram")), "gram", generation)
         kept = own.select("chunk_id", "dl", F.array_distinct("words").alias("words"), generation)
         kept.write.mode("append").parquet(f"{self.path}/chunks")
@@ -160,7 +163,7 @@ class Postings:
         return hits.join(need, "query_id").where("has = need").select("query_id", "chunk_id", "score")
 
     def trigram(self, terms: DataFrame, threshold: float = retrieval.TRIGRAM_THRESHOLD) -> DataFrame:
-        """query_id, term_pos, chunk_id, score, as retrieval.trigram."""
+        """query_id, term_pos, chunk_id, score, as retrieval.trigram over as many characters."""
         asked = terms.select("query_id", "term_pos", trigrams(F.col("term")).alias("all")).select("query_id", "term_pos", F.size("all").alias("m"), F.explode("all").alias("gram"))
         hits = self.grams(asked).join(asked, "gram").groupBy("query_id", "term_pos", "chunk_id", "side", "n", "m").agg(F.count("*").alias("hits"))
         score = F.max(F.col("hits") / (F.col("n") + F.col("m") - F.col("hits")))

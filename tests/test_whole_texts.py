@@ -2,6 +2,7 @@
 
 import re
 
+from clausemill.functions.text import trigrams
 from clausemill.plans import catalog
 
 FILL = "zz " * 80
@@ -34,6 +35,30 @@ def test_trigrams_of_2000_characters(spark, tmp_path):
     assert [r.n for r in catalog.QUERIES["U8_best_score"](spark, d).collect()] == [2]
 
 
+def found_by_postings(spark, d):
+    return {(r.query_id, r.term_pos, r.chunk_id) for r in catalog.QUERIES["R8_by_postings"](spark, d).collect()}
+
+
+def test_postings_have_trigrams_of_whole_texts(spark, tmp_path):
+    d = folder(spark, tmp_path, ["zz " * 700 + "earthing", "zz " * 7000 + "conductor", FILL])
+    assert found_by_postings(spark, d) == {(1, 0, 0), (1, 1, 1)}
+
+
+def test_postings_are_those_of_the_rows_that_are_there(spark, tmp_path):
+    """Rows that come into a table after the session's index of it was built are searched too."""
+    d = folder(spark, tmp_path, [FILL + "earthing", FILL])
+    assert found_by_postings(spark, d) == {(1, 0, 0)}
+    more = spark.createDataFrame([(2, FILL + "conductor", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    more.write.mode("append").parquet(f"{d}/documents.parquet")
+    assert found_by_postings(spark, d) == {(1, 0, 0), (1, 1, 2)}
+
+
+def test_trigrams_of_long_words(spark):
+    words = ["a" * 63 + "b", "\U00010400" + "xyz" * 21, "ab\U00010428" * 30, "c" * 62, "ab ab cd"]
+    rows = spark.createDataFrame([(w,) for w in words], "text string").select("text", trigrams("text").alias("grams")).collect()
+    assert all(len(r.grams) == len(set(r.grams)) and set(r.grams) == grams(r.text) for r in rows)
+
+
 def test_clause_number_in_the_whole_text_only(spark, tmp_path):
     d = folder(spark, tmp_path, [FILL + "see 2.4.3", "no number", FILL])
     found = {(r.query_id, r.id) for r in catalog.QUERIES["R14_clause_number_search"](spark, d).collect()}
