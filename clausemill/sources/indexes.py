@@ -142,8 +142,11 @@ class Postings:
         """query_id, chunk_id, score > 0, as retrieval.bm25."""
         asked = terms.select("query_id", F.explode(tokens(F.col("term"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
         size = self.chunks().agg(F.count("*").alias("size"), F.avg("dl").alias("avgdl"))
-        idf = self.vocabulary().crossJoin(F.broadcast(size)).select("word", "avgdl", (F.log(F.col("size") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
-        weights = asked.join(idf, "word").crossJoin(F.broadcast(idf.agg(F.avg("idf").alias("mean"))))
+        idf = (F.log(F.col("size") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")
+        # of the vocabulary only how many words have which count is summed up, as in retrieval.bm25
+        kinds = self.vocabulary().groupBy("df").agg(F.count("*").alias("words")).crossJoin(F.broadcast(size)).select("words", idf)  # one row
+        mean = kinds.agg((F.sum(F.col("words") * F.col("idf")) / F.sum("words")).alias("mean"))
+        weights = asked.join(self.vocabulary(), "word").crossJoin(F.broadcast(size)).select("query_id", "word", "times", "avgdl", idf).crossJoin(F.broadcast(mean))
         w = F.col("times") * F.when(F.col("idf") < 0, retrieval.EPSILON * F.col("mean")).otherwise(F.col("idf"))
         part = w * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / F.col("avgdl")))
         return self.words(asked).join(weights, "word").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
